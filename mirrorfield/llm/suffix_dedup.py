@@ -19,12 +19,13 @@ Identifiers are 64-bit hashes; the texts themselves move once, to be cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType, _parse_datatype_string
 
 from mirrorfield.llm.common import NULL_KEY, pieces, table, text_bytes
 
@@ -276,7 +277,7 @@ def _mixed(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, rn, text, spans of (a, b)) -> key, rn, what is left, and the maximal removed runs."""
+    """(key, more, text, spans of (a, b)) -> key, more, what is left, and the maximal removed runs."""
     for batch in pieces(batches, 256):
         left, n_bytes, starts, ends = [], [], [], []
         for text, spans in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3)):
@@ -293,23 +294,25 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_bytes.append(len(text))
             starts.append(a)
             ends.append(b)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(left, pa.binary()), pa.array(n_bytes, pa.int64()), pa.array([list(map(int, a)) for a in starts], pa.list_(pa.int64())), pa.array([list(map(int, b)) for b in ends], pa.list_(pa.int64()))], ["key", "rn", "kept", "n_bytes", "starts", "ends"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(left, pa.binary()), pa.array(n_bytes, pa.int64()), pa.array([list(map(int, a)) for a in starts], pa.list_(pa.int64())), pa.array([list(map(int, b)) for b in ends], pa.list_(pa.int64()))], ["key", "more", "kept", "n_bytes", "starts", "ends"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_limit: int = BUCKET_LIMIT, keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, kept binary, n_bytes, starts, ends) for each row: what is left of its bytes, the runs that went.
 
+    keep: other columns to carry along, of any names.
+
     Null texts count as empty. Rows with the same doc_id keep a row each and are ordered by their text; of equal rows
-    any one counts as the first. A null doc_id comes before all others. Texts shorter than length stay whole. Other
-    columns are ignored; no rows give no rows.
+    any one counts as the first. A null doc_id comes before all others. Texts shorter than length stay whole. Columns
+    not in keep are ignored; no rows give no rows.
     """
     scheme = _Scheme(length, gram, bucket_limit)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(0).alias("none")]).alias("more"))
     if docs.groupBy("key").count().where("count > 1").take(1):
-        docs = docs.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("text")))
+        docs = docs.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("text", "more")))
     else:
         docs = docs.withColumn("rn", F.lit(0))
-    docs = docs.select("key", "rn", "text")
+    whole, docs = docs.select("key", "rn", "text", "more"), docs.select("key", "rn", "text")
     samples = docs.mapInArrow(scheme.samples, "gram long, key long, rn int, place long")
     shared = samples.groupBy("gram").count().where("count > 1")
     found = samples.join(shared, "gram").groupBy("key", "rn").agg(F.collect_list(F.struct("place", "gram", "count")).alias("s"))
@@ -319,9 +322,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     rows = rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "key", "rn", "start")
     gone = rows.mapInArrow(scheme.refine, "key long, rn int, a long, b long")
     gone = gone.groupBy("key", "rn").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    cut = docs.join(gone, ["key", "rn"], "left").select("key", "rn", "text", "spans")
-    cut = cut.mapInArrow(_cut, "key long, rn int, kept binary, n_bytes long, starts array<long>, ends array<long>")
-    return cut.select(F.nullif("key", F.lit(NULL_KEY)).alias("doc_id"), "rn", "kept", "n_bytes", "starts", "ends")
+    if keep:
+        cut = whole.join(gone, ["key", "rn"], "left").select("key", "more", "text", "spans")
+    else:
+        cut = docs.join(gone, ["key", "rn"], "left").select("key", F.struct(F.lit(0).alias("none")).alias("more"), "text", "spans")
+    cut = cut.mapInArrow(_cut, StructType([StructField("key", LongType()), cut.schema["more"], *_parse_datatype_string("kept binary, n_bytes long, starts array<long>, ends array<long>")]))
+    return cut.select(F.nullif("key", F.lit(NULL_KEY)).alias("doc_id"), "kept", "n_bytes", "starts", "ends", *[F.col(f"more.`{c}`") for c in keep])
 
 
 def removed(starts: str = "starts", ends: str = "ends"):
