@@ -104,8 +104,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cover: fl
     there = _slots(_terms(texts, "doc_id"), "doc_id").withColumnRenamed("value", "other")
     pairs = copies.join(item_slots, "item_id").withColumn("at", F.col("at") + F.col("copy")).join(there, ["doc_id", "at", "type"]).groupBy("doc_id", "item_id", "copy", "type", "value", "other").count()
     dominant = pairs.groupBy("doc_id", "item_id", "copy", "type", "value").agg(F.max("count").alias("top"), F.sum("count").alias("all"))
-    share = dominant.groupBy("doc_id", "item_id", "copy").agg((F.sum("top") / F.sum("all")).alias("share"), F.sum("all").alias("n"))
-    share = share.groupBy("doc_id", "item_id").agg(F.max_by("share", "n").alias("consistency"))
+    repeated = F.col("all") > 1  # a value that stands once is consistent with anything
+    share = dominant.groupBy("doc_id", "item_id", "copy").agg((F.sum(F.when(repeated, F.col("top"))) / F.sum(F.when(repeated, F.col("all")))).alias("share"), F.sum("all").alias("n"))
+    share = share.groupBy("doc_id", "item_id").agg(F.max_by(F.coalesce("share", F.lit(1.0)), "n").alias("consistency"))
     both = found.join(share, ["doc_id", "item_id"], "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
     return both.where(F.col("consistency") >= consistent)
 
