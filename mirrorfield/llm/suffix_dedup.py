@@ -5,7 +5,8 @@ covers it also starts earlier. Suffixes are sampled: of each LENGTH-byte window
 hash lowest, so equal windows hold equal samples at equal offsets and none is missed.
 
 1. Initial buckets: sampled suffixes with the same first GRAM bytes. Buckets of one suffix are closed.
-2. Refinement: within a bucket, windows are sorted on the identifiers that their later and earlier offsets have,
+2. Refinement: a bucket whose runs, all windows of a sample with their bytes, are all the same is closed: what is not its first
+   is a repeat. Within the other buckets, windows are sorted on the identifiers that their later and earlier offsets have,
    hashes of all LENGTH bytes around the sample, taken from one table of prefix hashes a text. A refined bucket's
    pointer is its first position; a window whose pointer is not its own position is a repeat.
 3. Repeats are unions of windows, so what goes of each text is a union of intervals.
@@ -14,7 +15,7 @@ Buckets of up to BUCKET_LIMIT suffixes are refined whole in one task. Windows of
 refined identifier itself, each batch of texts sending the first window of an identifier only, so a passage that a
 third of all texts share never meets in one task.
 
-Identifiers are 64-bit hashes; the texts themselves move once, to be cut.
+Identifiers are 64-bit hashes; the texts themselves move once, compressed, to be looked at and to be cut.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType, _parse_datatype_string
 
 from mirrorfield.llm.common import NULL_KEY, pieces, table, text_bytes
 
@@ -79,9 +81,9 @@ def _buffers(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def sampled(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """For each run of windows with the same sample: hash of its first bytes, sample, first and last window."""
+    """For each run of windows with the same sample: hash of its first bytes, sample, first and last window, hash of the whole run."""
     ends = np.repeat(offsets[1:], np.diff(offsets))
-    out: list[list[np.ndarray]] = [[], [], [], []]
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
     for lo, hi in _buffers(offsets):
         if hi - lo < length:
             continue
@@ -103,7 +105,9 @@ def sampled(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tup
         sample = (least[starts] & low).astype(np.int64)
         first = np.flatnonzero(np.r_[True, (sample[1:] != sample[:-1]) | (starts[1:] != starts[:-1] + 1)])
         last = np.r_[first[1:], len(starts)] - 1
-        for have, add in zip(out, (grams[sample[first]].view(np.int64), sample[first] + lo, starts[first] + lo, starts[last] + lo)):
+        # the same bytes with the sample at the same place; a run of another length ends in other bytes or has another hash
+        run = _hashes(prefix, starts[first], starts[last] + length) + (sample[first] - starts[first]).astype(np.uint64) * np.uint64(_BASE) + (starts[last] - starts[first]).astype(np.uint64)
+        for have, add in zip(out, (grams[sample[first]].view(np.int64), sample[first] + lo, starts[first] + lo, starts[last] + lo, run.view(np.int64))):
             have.append(add)
     return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
 
@@ -164,30 +168,32 @@ class _Scheme:
         self.length, self.gram, self.limit = length, gram, limit
 
     def samples(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, rn, text) -> (gram, key, rn, place): place packs the run's first window, the sample's distance, the run's length."""
+        """(key, rn, text) -> (gram, run, key, rn, place): place packs the run's first window, the sample's distance, the run's length."""
         for batch in pieces(batches, 512):
             raw, offsets = text_bytes(batch.column(2))
-            gram, sample, first, last = sampled(raw, offsets, self.length, self.gram)
+            gram, sample, first, last, run = sampled(raw, offsets, self.length, self.gram)
             doc = _owner(offsets, first)
             place = (first - offsets[doc]) << (_LEFT + _RIGHT) | (sample - first) << _RIGHT | (last - first)
-            yield from _batches({"gram": pa.array(gram), "key": batch.column(0).take(pa.array(doc)), "rn": batch.column(1).take(pa.array(doc)), "place": pa.array(place)})
+            yield from _batches({"gram": pa.array(gram), "run": pa.array(run), "key": batch.column(0).take(pa.array(doc)), "rn": batch.column(1).take(pa.array(doc)), "place": pa.array(place)})
 
     def windows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, rn, text, places, grams, counts) -> rows of three kinds.
+        """(key, rn, more, packed, open (place, count), closed places) -> rows of three kinds.
 
         0: an interval that goes; 1: a run's bytes, for its gram's bucket; 2: a window, by its own identifier.
         """
         for batch in pieces(batches, 512):
-            raw, offsets = text_bytes(batch.column(2))
-            lists = [batch.column(i) for i in (3, 4, 5)]
-            places, grams, counts = (x.flatten().to_numpy() for x in lists)
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(lists[0].offsets.to_numpy()))
+            raw, offsets = _unpacked(batch.column(3))
+            open_, closed = batch.column(4), batch.column(5)
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(open_.offsets.to_numpy()))
+            places, counts = (x.to_numpy() for x in open_.flatten().flatten())
+            done_doc = np.repeat(np.arange(batch.num_rows), np.diff(closed.offsets.to_numpy()))
+            done = closed.flatten().to_numpy()
             # positions in order: by key, then row, then place
             keys, rns = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             rank = np.empty(batch.num_rows, np.int64)
             rank[np.lexsort((rns, keys))] = np.arange(batch.num_rows)
             order = np.lexsort((places, rank[doc]))
-            places, grams, counts, doc = (x[order] for x in (places, grams, counts, doc))
+            places, counts, doc = (x[order] for x in (places, counts, doc))
             start = places >> (_LEFT + _RIGHT)
             many = (places & ((1 << _RIGHT) - 1)) + 1
             hot = counts > self.limit
@@ -197,9 +203,12 @@ class _Scheme:
                 for k, v in zip(out, (np.full(len(doc), kind), bucket, doc, start, size)):
                     out[k].append(np.asarray(v, np.int64))
 
-            spans: list[pa.Array] = []
+            spans: list[pa.Array] = [pa.nulls(len(done), pa.binary())]
+            at = done >> (_LEFT + _RIGHT)
+            add(0, _mixed(done_doc, at), done_doc, at, (done & ((1 << _RIGHT) - 1)) + self.length)
             cold = np.flatnonzero(~hot)
-            add(1, grams[cold], doc[cold], start[cold], many[cold])
+            sample = offsets[doc[cold]] + start[cold] + (places[cold] >> _RIGHT & ((1 << _LEFT) - 1))
+            add(1, self.grams(raw, sample), doc[cold], start[cold], many[cold])
             begin = offsets[doc[cold]] + start[cold]
             size = many[cold] + self.length - 1
             inside, _ = _spread(begin, size)
@@ -223,6 +232,12 @@ class _Scheme:
             doc = pa.array(got.pop("doc"))
             yield from _batches({"kind": pa.array(got["kind"]), "bucket": pa.array(got["bucket"]), "key": batch.column(0).take(doc), "rn": batch.column(1).take(doc), "start": pa.array(got["start"]), "size": pa.array(got["size"]), "span": pa.concat_arrays(spans)}, 4096)
 
+    def grams(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        ascending = np.argsort(at, kind="stable")
+        out = np.empty(len(at), np.int64)
+        out[ascending] = _window_ids(raw, at[ascending], self.gram).view(np.int64)
+        return out
+
     def refine(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by (kind, bucket, key, rn, start) -> intervals (key, rn, a, b) that go.
 
@@ -276,12 +291,27 @@ def _mixed(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ((doc * 1_000_003 + at) * 0x5851F42D4C957F2D % (1 << 61)).astype(np.int64) if len(doc) else doc
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, rn, more, text) with texts compressed: they are what moves most."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in pieces(batches):
+        texts = batch.column(3).cast(pa.binary()).to_pylist()
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([pack(t or b"") for t in texts], pa.binary())], ["key", "rn", "more", "packed"])
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    texts = [unpack(t) for t in column.to_pylist()]
+    return np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, more, text, spans of (a, b)) -> key, more, what is left, and the maximal removed runs."""
+    """(key, more, packed, spans of (a, b)) -> key, more, what is left, and the maximal removed runs."""
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in pieces(batches, 256):
         left, n_bytes, starts, ends = [], [], [], []
-        for text, spans in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3)):
-            text = text or b""
+        for text, spans in zip(batch.column(2).to_pylist(), batch.column(3)):
+            text = unpack(text)
             a, b = [], []
             if spans.is_valid:
                 values = spans.values
@@ -312,20 +342,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
         docs = docs.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("text", "more")))
     else:
         docs = docs.withColumn("rn", F.lit(0))
-    whole, docs = docs.select("key", "rn", "text", "more"), docs.select("key", "rn", "text")
-    samples = docs.mapInArrow(scheme.samples, "gram long, key long, rn int, place long")
+    docs = docs.select("key", "rn", "more", "text")
+    samples = docs.select("key", "rn", "text").mapInArrow(scheme.samples, "gram long, run long, key long, rn int, place long")
     shared = samples.groupBy("gram").count().where("count > 1")
-    found = samples.join(shared, "gram").groupBy("key", "rn").agg(F.collect_list(F.struct("place", "gram", "count")).alias("s"))
-    found = found.select("key", "rn", F.col("s.place").alias("places"), F.col("s.gram").alias("grams"), F.col("s.count").alias("counts"))
-    rows = docs.join(found, ["key", "rn"]).select("key", "rn", "text", "places", "grams", "counts")
+    # a small bucket whose runs are all the same is closed at once: all but its pointer, the first, are repeats
+    bucket = Window.partitionBy("gram", "part")
+    joined = samples.join(shared, "gram").withColumn("part", F.when(F.col("count") > bucket_limit, F.pmod(F.xxhash64("key", "place"), F.lit(1 << 20))).otherwise(-1))
+    pure = (F.col("part") == -1) & (F.min("run").over(bucket) == F.max("run").over(bucket))
+    joined = joined.withColumn("pure", pure).withColumn("nth", F.when(F.col("pure"), F.row_number().over(bucket.orderBy("key", "rn", "place"))))
+    found = joined.where("not pure or nth > 1").groupBy("key", "rn").agg(
+        F.collect_list(F.when(~F.col("pure"), F.struct("place", "count"))).alias("open"), F.collect_list(F.when(F.col("pure"), F.col("place"))).alias("closed")
+    )
+    packed = docs.mapInArrow(_pack, StructType([StructField("key", LongType()), StructField("rn", IntegerType()), docs.schema["more"], StructField("packed", BinaryType())]))
+    rows = packed.join(found, ["key", "rn"]).select("key", "rn", "more", "packed", "open", "closed")
     rows = rows.mapInArrow(scheme.windows, "kind long, bucket long, key long, rn int, start long, size long, span binary")
     rows = rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "key", "rn", "start")
     gone = rows.mapInArrow(scheme.refine, "key long, rn int, a long, b long")
     gone = gone.groupBy("key", "rn").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    if keep:
-        cut = whole.join(gone, ["key", "rn"], "left").select("key", "more", "text", "spans")
-    else:
-        cut = docs.join(gone, ["key", "rn"], "left").select("key", F.struct(F.lit(0).alias("none")).alias("more"), "text", "spans")
+    cut = packed.join(gone, ["key", "rn"], "left").select("key", "more", "packed", "spans")
     cut = cut.mapInArrow(_cut, StructType([StructField("key", LongType()), cut.schema["more"], *_parse_datatype_string("kept binary, n_bytes long, starts array<long>, ends array<long>")]))
     return cut.select(F.nullif("key", F.lit(NULL_KEY)).alias("doc_id"), "kept", "n_bytes", "starts", "ends", *[F.col(f"more.`{c}`") for c in keep])
 
