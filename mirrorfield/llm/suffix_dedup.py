@@ -353,7 +353,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     found = joined.where("not pure or nth > 1").groupBy("key", "rn").agg(
         F.collect_list(F.when(~F.col("pure"), F.struct("place", "count"))).alias("open"), F.collect_list(F.when(F.col("pure"), F.col("place"))).alias("closed")
     )
-    packed = docs.mapInArrow(_pack, StructType([StructField("key", LongType()), StructField("rn", IntegerType()), docs.schema["more"], StructField("packed", BinaryType())]))
+    packed = docs.mapInArrow(_pack, StructType([StructField("key", LongType(), False), StructField("rn", IntegerType(), False), docs.schema["more"], StructField("packed", BinaryType())]))
     rows = packed.join(found, ["key", "rn"]).select("key", "rn", "more", "packed", "open", "closed")
     rows = rows.mapInArrow(scheme.windows, "kind long, bucket long, key long, rn int, start long, size long, span binary")
     rows = rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "key", "rn", "start")
