@@ -90,31 +90,36 @@ def fit(examples: list[tuple[int, np.ndarray]], epochs: int = EPOCHS, seed: int
     seen = np.bincount(np.concatenate([terms for _, terms in examples]), minlength=size) >= min(min_rows, positive)
     factors[~seen] = 0
     examples = [(label, terms[seen[terms]]) for label, terms in examples]
-    g_w, g_v, g_b = np.full(size, 1e-2), np.full((size, FACTORS), 1e-2), 1e-2
+    # only terms that can have weight, renumbered
+    used = np.flatnonzero(seen)
+    number = np.zeros(size, np.int64)
+    number[used] = np.arange(len(used))
+    rows = [number[terms] for _, terms in examples]
+    w, v = weights[used], factors[used]
+    g_w, g_v, g_b = np.full(len(used), 1e-2), np.full((len(used), FACTORS), 1e-2), 1e-2
     labels = np.array([label for label, _ in examples], np.float64)
     for _ in range(epochs):
-        order = rng.permutation(len(examples))
+        order = rng.permutation(len(rows))
         for at in range(0, len(order), 64):
             part = order[at : at + 64]
-            part = part[[len(examples[i][1]) > 0 for i in part]]
-            if not len(part):
-                continue
-            lengths = np.array([len(examples[i][1]) for i in part])
-            terms, offsets = np.concatenate([examples[i][1] for i in part]), np.r_[0, np.cumsum(lengths)]
-            error = model.scores(terms, offsets) - labels[part]
-            v = factors[terms]
-            total = np.add.reduceat(v, offsets[:-1], axis=0)
-            each = np.repeat(error, lengths)
-            down = each[:, None] * (np.repeat(total, lengths, axis=0) - v)
-            used, place = np.unique(terms, return_inverse=True)
-            d_w = np.bincount(place, each) / len(part) + l2 * weights[used]
-            d_v = np.stack([np.bincount(place, down[:, f]) for f in range(FACTORS)], 1) / len(part) + l2 * factors[used]
-            g_w[used] += d_w**2
-            g_v[used] += d_v**2
+            lengths = np.array([len(rows[i]) for i in part])
+            terms, of = np.concatenate([rows[i] for i in part]), np.repeat(np.arange(len(part)), lengths)
+            mine = v[terms]
+            per_row = lambda x: np.bincount(of, x, len(part))
+            total = np.stack([per_row(mine[:, f]) for f in range(FACTORS)], 1)
+            margin = model.bias + per_row(w[terms]) + 0.5 * ((total**2).sum(1) - per_row((mine**2).sum(1)))
+            error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[part]
+            each = error[of]
+            d_w = np.bincount(terms, each, len(used)) / len(part) + l2 * w
+            down = each[:, None] * (total[of] - mine)
+            d_v = np.stack([np.bincount(terms, down[:, f], len(used)) for f in range(FACTORS)], 1) / len(part) + l2 * v
+            g_w += d_w**2
+            g_v += d_v**2
             g_b += (d_b := error.mean()) ** 2
-            weights[used] -= rate * d_w / np.sqrt(g_w[used])
-            factors[used] -= 0.2 * rate * d_v / np.sqrt(g_v[used])
+            w -= rate * d_w / np.sqrt(g_w)
+            v -= 0.2 * rate * d_v / np.sqrt(g_v)
             model.bias -= rate * d_b / np.sqrt(g_b)
+    weights[used], factors[used] = w, v
     return model
 
 
