@@ -1,11 +1,203 @@
-"""Queries and their SQL."""
+"""Queries over the driver's tables and the same in SQL.
+
+The design matrix is that of embeddings: the first half of a vector holds features, the second half stands for their control
+copies (three copies: quarters), and label is the response. Sums of doubles are rounded to six places.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from mirrorfield.operators import filtering
+
+Query = Callable[[SparkSession, str], DataFrame]
+LEVELS = filtering.LEVELS
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("x"), F.col("label").cast("double").alias("y"))
+
+
+def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _design(spark, sf_dir).select("row_id", F.posexplode("x").alias("feature_id", "v"), "y")
+
+
+def _rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in columns})
+
+
+def _scores(spark: SparkSession, sf_dir: str, copies: int = 1) -> DataFrame:
+    scores = filtering.marginal_scores(_design(spark, sf_dir), copies)
+    # rounded before anything is compared, so that ties and cuts don't hang on the order of sums
+    return scores.select("feature_id", F.round("t0", 6).alias("t0"), F.transform("tk", lambda t: F.round(t, 6)).alias("tk"))
+
+
+_LONG = "long as (select vec_id as row_id, generate_subscripts(embedding, 1) - 1 as feature_id, unnest(embedding)::double as v, label::double as y from embeddings)"
+_T = _LONG + ", t as (select feature_id as j, round(pow((count(*) - 1) * corr(v, y), 2) / count(*), 6) as t from long group by 1)"
+_W1 = _T + ", w as (select a.j as feature_id, abs(a.t) - abs(b.t) as w from t a join t b on b.j = a.j + 32 where a.j < 32)"
+_LEVELS = "levels as (select unnest([0.01, 0.05, 0.1, 0.25, 0.5]::double[]) as fdr)"
+_TAU1 = _W1 + ", " + _LEVELS + """, c as (
+  select distinct abs(w) as t, (select count(*) from w y where y.w >= abs(x.w)) as up, (select count(*) from w y where y.w <= -abs(x.w)) as down from w x where w <> 0
+), tau as (select fdr, coalesce(min(t), 'infinity'::double) as threshold from levels left join c on up > 0 and (1 + down) / up::double <= fdr group by fdr)"""
+_MK = _T + """, s as (
+  select a.j as feature_id, a.t as t0, b.t as t1, c.t as t2, d.t as t3 from t a join t b on b.j = a.j + 16 join t c on c.j = a.j + 32 join t d on d.j = a.j + 48 where a.j < 16
+), o as (select *, list_sort([t0, t1, t2, t3]) as e, list_sort([t1, t2, t3]) as k from s
+), mk as (select feature_id, greatest(case when t1 > t0 then 1 else 0 end, case when t2 > t0 then 2 else 0 end, case when t3 > t0 then 3 else 0 end) as kappa, e[4] - e[2] as tau,
+  t0 - k[2] as lead from o), m as (select feature_id, kappa, tau, case when kappa = 0 then lead else 0 end as w from mk)"""
+
+
+def marginal_scores(spark, sf_dir):
+    return _scores(spark, sf_dir).select("feature_id", "t0", F.get("tk", F.lit(0)).alias("t1"))
+
+
+def difference_statistics(spark, sf_dir):
+    return _rounded(filtering.difference_statistics(_scores(spark, sf_dir)), "w")
+
+
+def fdr_threshold(spark, sf_dir):
+    return _rounded(filtering.threshold(filtering.difference_statistics(_scores(spark, sf_dir)), LEVELS), "threshold")
+
+
+def fdr_selection(spark, sf_dir):
+    stats = filtering.difference_statistics(_scores(spark, sf_dir))
+    return _rounded(filtering.select_features(stats, filtering.threshold(stats, LEVELS)), "w")
+
+
+def multiple_statistics(spark, sf_dir):
+    return _rounded(filtering.multiple_statistics(_scores(spark, sf_dir, 3)), "tau", "w")
+
+
+def multiple_threshold(spark, sf_dir):
+    return _rounded(filtering.multiple_threshold(filtering.multiple_statistics(_scores(spark, sf_dir, 3)), 3, LEVELS), "threshold")
+
+
+def group_importance(spark, sf_dir):
+    scores = _scores(spark, sf_dir)
+    groups = scores.select("feature_id", F.floor(F.col("feature_id") / 5).alias("group_id"))
+    found = filtering.group_scores(scores, groups)
+    return _rounded(found.select(F.col("feature_id").alias("group_id"), "t0", F.get("tk", F.lit(0)).alias("t1")), "t0", "t1")
+
+
+def column_norms(spark, sf_dir):
+    """Columns over their norms, taken before centring: the largest and the mean entry of each."""
+    per = Window.partitionBy("feature_id")
+    long = _long(spark, sf_dir)
+    norms = long.groupBy("feature_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.max("v").alias("top"), F.avg("v").alias("mean"))
+    return _rounded(norms.select("feature_id", "norm", (F.col("top") / F.col("norm")).alias("top"), (F.col("mean") / F.col("norm")).alias("mean")), "norm", "top", "mean")
+
+
+def standardised(spark, sf_dir):
+    """Each entry as a z-score, n - 1 in the deviation."""
+    long = _long(spark, sf_dir)
+    of = long.groupBy("feature_id").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"))
+    return _rounded(long.join(F.broadcast(of), "feature_id").select("row_id", "feature_id", ((F.col("v") - F.col("mean")) / F.col("sd")).alias("z")), "z", places=5)
+
+
+def correlation(spark, sf_dir):
+    """Correlation of all pairs of features, from sums of products made where the rows are; p^2 numbers per task move."""
+    x = _design(spark, sf_dir)
+    pairs = x.select(F.explode(F.flatten(F.transform("x", lambda a, i: F.transform(F.slice("x", 1, i + 1), lambda b, j: F.struct(i.alias("i"), j.alias("j"), a.alias("a"), b.alias("b")))))).alias("q"))
+    return _rounded(pairs.groupBy("q.i", "q.j").agg(F.corr("q.a", "q.b").alias("v")).select("i", "j", "v"), "v", places=5)
+
+
+def window_partition(spark, sf_dir):
+    return _long(spark, sf_dir).select("feature_id").distinct().select("feature_id", F.floor(F.col("feature_id") / 10).alias("window_id"))
+
+
+def auc(spark, sf_dir):
+    pairs = _design(spark, sf_dir).select(F.round(F.get("x", F.lit(0)), 2).alias("score"), (F.col("y") >= 5).cast("int").alias("event"))
+    return _rounded(filtering.auc(pairs), "auc")
+
+
+def r_squared(spark, sf_dir):
+    pairs = _read(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500.0).alias("yhat"))
+    return _rounded(filtering.r_squared(pairs), "r2")
+
+
+def nearest_match(spark, sf_dir):
+    left = _read(spark, sf_dir, "part").select((F.col("p_partkey") * 7).alias("z_pos"))
+    right = _read(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 131).alias("h_pos"))
+    return filtering.nearest_match(left, right)
+
+
+def power_and_fdp(spark, sf_dir):
+    """Share of the true features found, and of the found that are not true, for each rate; even features count as true."""
+    found = fdr_selection(spark, sf_dir)
+    levels = spark.createDataFrame([(float(q),) for q in LEVELS], "fdr double")
+    per = levels.join(found, "fdr", "left").groupBy("fdr").agg(F.count_if(F.col("feature_id") % 2 == 0).alias("hit"), F.count("feature_id").alias("n"))
+    return per.select("fdr", F.round(F.col("hit") / 16, 6).alias("power"), F.round((F.col("n") - F.col("hit")) / F.greatest(F.lit(1), F.col("n")), 6).alias("fdp"))
+
+
+def explained_variance(spark, sf_dir):
+    """Factor count by 90 % of the variance, over prices per brand in the place of eigenvalues."""
+    values = _read(spark, sf_dir, "part").groupBy("p_brand").agg(F.round(F.sum("p_retailprice"), 2).alias("v"))
+    order = Window.orderBy(F.col("v").desc(), "p_brand")
+    run = values.select(F.row_number().over(order).alias("k"), F.sum("v").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("c"), F.sum("v").over(Window.partitionBy()).alias("all"))
+    return run.where(F.col("c") / F.col("all") > 0.9).agg(F.min("k").alias("k"))
+
+
+def imputed_genotypes(spark, sf_dir):
+    """Genotypes 0/1/2, sevens missing, mean-imputed per variant and standardised."""
+    g = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"), (F.col("o_custkey") % 50).alias("variant_id"), F.when(F.col("o_orderkey") % 7 == 0, None).otherwise(F.col("o_orderkey") % 3).alias("g"))
+    of = g.groupBy("variant_id").agg(F.avg("g").alias("mean"))
+    return _rounded(g.join(F.broadcast(of), "variant_id").select("sample_id", "variant_id", (F.coalesce("g", "mean") - F.col("mean")).alias("x")), "x", places=5)
+
+
+def block_covariance(spark, sf_dir):
+    """Within-group correlation 0.4, between groups 0.2 of that, from the groups of nations by region."""
+    n = _read(spark, sf_dir, "nation")
+    a, b = n.select(F.col("n_nationkey").alias("i"), F.col("n_regionkey").alias("gi")), n.select(F.col("n_nationkey").alias("j"), F.col("n_regionkey").alias("gj"))
+    return a.join(F.broadcast(b)).select("i", "j", F.when(F.col("i") == F.col("j"), 1.0).when(F.col("gi") == F.col("gj"), 0.4).otherwise(F.round(F.lit(0.4) * 0.2, 6)).alias("v"))
+
+
+def group_sizes(spark, sf_dir):
+    return _read(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("group_id")).agg(F.count("*").alias("members"))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return {
+        f.__name__: f
+        for f in (
+            marginal_scores, difference_statistics, fdr_threshold, fdr_selection, multiple_statistics, multiple_threshold, group_importance, column_norms, standardised,
+            correlation, window_partition, auc, r_squared, nearest_match, power_and_fdp, explained_variance, imputed_genotypes, block_covariance, group_sizes,
+        )
+    }
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {
+        "marginal_scores": f"with {_T} select a.j as feature_id, a.t as t0, b.t as t1 from t a join t b on b.j = a.j + 32 where a.j < 32",
+        "difference_statistics": f"with {_W1} select feature_id, round(w, 6) as w from w",
+        "fdr_threshold": f"with {_TAU1} select fdr, round(threshold, 6) as threshold from tau",
+        "fdr_selection": f"with {_TAU1} select fdr, feature_id, round(w, 6) as w from w join tau on w >= threshold",
+        "multiple_statistics": f"with {_MK} select feature_id, kappa, round(tau, 6) as tau, round(w, 6) as w from m",
+        "multiple_threshold": f"""with {_MK}, {_LEVELS}, c as (
+  select distinct tau as t, (select count(*) from m y where y.kappa = 0 and y.tau >= x.tau) as up, (select count(*) from m y where y.kappa >= 1 and y.tau >= x.tau) as down from m x where tau > 0
+) select fdr, round(coalesce(min(t), 'infinity'::double), 6) as threshold from levels left join c on (1 + down) / (3.0::double * greatest(1, up)) <= fdr group by fdr""",
+        "group_importance": f"with {_T} select a.j // 5 as group_id, round(sum(abs(a.t)), 6) as t0, round(sum(abs(b.t)), 6) as t1 from t a join t b on b.j = a.j + 32 where a.j < 32 group by 1",
+        "column_norms": f"with {_LONG} select feature_id, round(sqrt(sum(v * v)), 6) as norm, round(max(v) / sqrt(sum(v * v)), 6) as top, round(avg(v) / sqrt(sum(v * v)), 6) as mean from long group by 1",
+        "standardised": f"with {_LONG} select row_id, feature_id, round((v - avg(v) over p) / stddev_samp(v) over p, 5) as z from long window p as (partition by feature_id)",
+        "correlation": f"with {_LONG} select a.feature_id as i, b.feature_id as j, round(corr(a.v, b.v), 5) as v from long a join long b on a.row_id = b.row_id and b.feature_id <= a.feature_id group by 1, 2",
+        "window_partition": f"with {_LONG} select distinct feature_id, feature_id // 10 as window_id from long",
+        "auc": """with p as (select round(embedding[1]::double, 2) as score, (label >= 5)::int as event from embeddings),
+  r as (select event, avg(rn) over (partition by score) as rank from (select *, row_number() over (order by score) as rn from p))
+  select round((sum(rank) filter (event = 1) - sum(event) * (sum(event) + 1) / 2.0) / (sum(event) * sum(1 - event)), 6) as auc from r""",
+        "r_squared": "select round(1 - sum(pow(l_extendedprice - l_quantity * 1500.0, 2)) / (var_pop(l_extendedprice) * count(*)), 6) as r2 from lineitem",
+        "nearest_match": """select z_pos, h_pos from (select p_partkey * 7 as z_pos, s_suppkey * 131 as h_pos, row_number() over (partition by p_partkey order by abs(p_partkey * 7 - s_suppkey * 131), s_suppkey) as n
+  from part, supplier) where n = 1""",
+        "power_and_fdp": f"""with {_TAU1}, s as (select l.fdr, w.feature_id from levels l join tau using (fdr) left join w on w >= threshold)
+  select fdr, round(count(*) filter (feature_id % 2 = 0) / 16.0::double, 6) as power, round(count(*) filter (feature_id % 2 = 1) / greatest(1, count(feature_id))::double, 6) as fdp from s group by fdr""",
+        "explained_variance": """with v as (select p_brand, round(sum(p_retailprice), 2) as v from part group by 1),
+  r as (select row_number() over o as k, sum(v) over o / sum(v) over () as c from v window o as (order by v desc, p_brand rows unbounded preceding)) select min(k) as k from r where c > 0.9""",
+        "imputed_genotypes": """with g as (select o_orderkey as sample_id, o_custkey % 50 as variant_id, case when o_orderkey % 7 = 0 then null else o_orderkey % 3 end as g from orders)
+  select sample_id, variant_id, round(coalesce(g::double, avg(g) over p) - avg(g) over p, 5) as x from g window p as (partition by variant_id)""",
+        "block_covariance": "select a.n_nationkey as i, b.n_nationkey as j, case when a.n_nationkey = b.n_nationkey then 1.0::double when a.n_regionkey = b.n_regionkey then 0.4::double else 0.08::double end as v from nation a, nation b",
+        "group_sizes": "select n_regionkey as group_id, count(*) as members from nation group by 1",
+    }
