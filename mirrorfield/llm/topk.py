@@ -26,6 +26,8 @@ PIVOTS = 32
 #: The pivots are chosen among this many vectors, those with the lowest hash of their id.
 SAMPLE = 2048
 BLOCK_ROWS = 1024
+#: Rows that a task packs.
+TASK_ROWS = 16 * BLOCK_ROWS
 _BLOCK = "pivot int, near double, far double, norm double, tau double, ids binary, sides binary, vectors binary"
 
 
@@ -152,10 +154,16 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, pivots: int = PIVO
     index = _Index(choose_pivots(vectors, sizes[0], pivots, sample), sizes[0], k)
     keyed = vectors.mapInArrow(index.key, "vec_id long, pivot int, r double, v array<long>")
     sort = ["pivot", "r", "vec_id"]
-    blocks = checkpointed(keyed.repartitionByRange(*sort).sortWithinPartitions(*sort).mapInArrow(index.pack, _BLOCK))
+    keyed = checkpointed(keyed)
+
+    def packed(rows: DataFrame) -> DataFrame:
+        """Blocks follow the rows, not the partitions that a session happens to have: fewer, fuller ones where rows are few."""
+        parts = max(1, -(rows.count() // -TASK_ROWS))
+        return rows.repartitionByRange(parts, *sort).coalesce(parts).sortWithinPartitions(*sort).mapInArrow(index.pack, _BLOCK)
+
+    blocks = checkpointed(packed(keyed))
     asked = keyed.where(F.pmod("vec_id", F.lit(every)) == 0)
-    asked = asked.repartitionByRange(*sort).sortWithinPartitions(*sort).mapInArrow(index.pack, _BLOCK)
-    asked = asked.withColumnsRenamed({c: "q_" + c for c in blocks.columns})
+    asked = packed(asked).withColumnsRenamed({c: "q_" + c for c in blocks.columns})
     columns = ["q_ids", "q_sides", "q_vectors", "pivot", "ids", "sides", "vectors"]
     # the home annulus: of the blocks of the query block's pivot the nearest one
     middle = (F.col("q_near") + F.col("q_far")) / 2
