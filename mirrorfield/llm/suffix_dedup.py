@@ -13,7 +13,7 @@ hash lowest, so equal windows hold equal samples at equal offsets and none is mi
 
 Buckets of up to BUCKET_LIMIT suffixes are refined whole in one task. Windows of larger buckets are dealt out by the
 refined identifier itself, each batch of texts sending the first window of an identifier only, so a passage that a
-third of all texts share never meets in one task.
+third of all texts share never meets in one task. The largest buckets are dealt out before their size is joined to them.
 
 Identifiers are 64-bit hashes; the texts themselves move once, compressed, to be looked at and to be cut.
 """
@@ -34,6 +34,8 @@ from mirrorfield.llm.common import NULL_KEY, pieces, table, text_bytes
 LENGTH = 100
 GRAM = 20
 BUCKET_LIMIT = 2048
+HEAVY = 1024
+SALTS = 64
 _BITS = 18
 _BUFFER = 1 << _BITS
 _LEFT = 7
@@ -344,10 +346,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
         docs = docs.withColumn("rn", F.lit(0))
     docs = docs.select("key", "rn", "more", "text")
     samples = docs.select("key", "rn", "text").mapInArrow(scheme.samples, "gram long, run long, key long, rn int, place long")
+    samples = samples.where("gram is not null")  # as every join would add: so all counts are one shuffle, used again
     shared = samples.groupBy("gram").count().where("count > 1")
+    # fewer than HEAVY buckets can hold over 1 / HEAVY of the suffixes each: those are dealt to SALTS tasks
+    heavy = shared.where((F.col("count") > bucket_limit) & (F.col("count") > shared.agg(F.sum("count")).scalar() / HEAVY))
+    salted = samples.join(F.broadcast(heavy.select("gram", F.lit(SALTS).alias("salts"))), "gram", "left")
+    salted = salted.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("key", "place"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+    copies = shared.join(F.broadcast(heavy.select("gram", F.lit(SALTS).alias("salts"))), "gram", "left")
+    copies = copies.select("gram", "count", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
     # a small bucket whose runs are all the same is closed at once: all but its pointer, the first, are repeats
-    bucket = Window.partitionBy("gram", "part")
-    joined = samples.join(shared, "gram").withColumn("part", F.when(F.col("count") > bucket_limit, F.pmod(F.xxhash64("key", "place"), F.lit(1 << 20))).otherwise(-1))
+    bucket = Window.partitionBy("gram", "salt", "part")
+    joined = salted.join(copies, ["gram", "salt"]).withColumn("part", F.when(F.col("count") > bucket_limit, F.pmod(F.xxhash64("key", "place"), F.lit(1 << 20))).otherwise(-1))
     pure = (F.col("part") == -1) & (F.min("run").over(bucket) == F.max("run").over(bucket))
     joined = joined.withColumn("pure", pure).withColumn("nth", F.when(F.col("pure"), F.row_number().over(bucket.orderBy("key", "rn", "place"))))
     found = joined.where("not pure or nth > 1").groupBy("key", "rn").agg(
