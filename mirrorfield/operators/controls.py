@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirrorfield.operators import solvers
+from mirrorfield.operators import grouping, solvers
 
 
 @dataclass
@@ -203,3 +203,58 @@ def summary(z: np.ndarray, d: np.ndarray, sigma_inverse: np.ndarray, m: int = 1,
     c = 2 * d - d @ sigma_inverse @ d
     own = (e[1:] - e[1:].mean(0)) @ _root(d).T
     return z - d @ sigma_inverse @ z + e[0] @ _root(c - (m - 1) / m * d).T + (own if m > 1 else 0)
+
+
+def by_representatives(rows: DataFrame, groups, method: str = "maxent", threshold: float = 0.5, m: int = 1, seed: int = 1, enforce: bool = False) -> Controls:
+    """Group controls whose S is solved on the groups' representatives and extended to all features.
+
+    enforce: S is solved on the covariance that makes the rest independent given the representatives; x is still conditioned on sigma.
+    """
+    found = moments(rows)
+    sigma = found.shrunk()
+    reps = grouping.representatives(sigma, groups, threshold)
+    used = grouping.conditionally_independent(sigma, groups, reps) if enforce else sigma
+    d = grouping.solve_by_representatives(used, groups, reps, method, m)[1]
+    return Controls(condition(rows, found.mean, sigma, d, m, seed), found.mean, sigma, d, m)
+
+
+def fixed(rows: DataFrame, method: str = "maxent", seed: int = 1) -> Controls:
+    """Fixed-X controls: with U orthonormal and orthogonal to x, x (I - G^-1 D) + U C, C'C = 2 D - D G^-1 D, G = x'x.
+
+    Columns are scaled to norm 1. Noise columns are summed along with x in one pass; what of them lies in x's span goes
+    by the Gram matrix alone. At least twice as many rows as features are needed.
+    """
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _array(batch, 1)
+            both = np.hstack([x, _noise(batch.column(0).to_numpy(), seed, x.shape[1] if len(x) else 0)])
+            offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * both.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(both.ravel()))], ["row_id", "x"])
+
+    wide = rows.select("row_id", F.col("x").cast("array<double>").alias("x")).mapInArrow(widen, "row_id long, x array<double>")
+    found = moments(wide)
+    p = len(found.mean) // 2
+    if found.n < 2 * p:
+        raise ValueError("at least twice as many rows as features are needed")
+    norm = np.sqrt(np.diag(found.gram)[:p])
+    gram = found.gram[:p, :p] / np.outer(norm, norm)
+    cross = found.gram[:p, p:] / norm[:, None]
+    into = np.linalg.solve(gram, cross)
+    rest = found.gram[p:, p:] - cross.T @ into
+    s = solvers.solve_s(gram, method)
+    d = np.diag(s)
+    pull = np.linalg.solve(gram, d)
+    turn = np.linalg.inv(np.linalg.cholesky((rest + rest.T) / 2)).T @ _root(2 * d - d @ pull).T
+    shared = rows.sparkSession.sparkContext.broadcast((norm, pull + into @ turn, turn))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        norm, back, turn = shared.value
+        for batch in batches:
+            both = _array(batch, 1)
+            x, noise = both[:, : len(norm)] / norm, both[:, len(norm) :]
+            out = x - x @ back + noise @ turn
+            offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(norm))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.ListArray.from_arrays(offsets, pa.array(a.ravel())) for a in (x, out)]], ["row_id", "x", "xko"])
+
+    return Controls(wide.mapInArrow(run, "row_id long, x array<double>, xko array<double>"), np.zeros(p), gram, s, 1)
