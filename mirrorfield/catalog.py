@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mirrorfield.operators import filtering
+from mirrorfield.functions import markov
+from mirrorfield.operators import chains, controls, filtering, grouping
+from mirrorfield.plans import selection
 
 Query = Callable[[SparkSession, str], DataFrame]
 LEVELS = filtering.LEVELS
@@ -161,12 +164,128 @@ def group_sizes(spark, sf_dir):
     return _read(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("group_id")).agg(F.count("*").alias("members"))
 
 
+_HAP = """h as (select n_nationkey as j, k, n_regionkey / 5.0::double + 0.1 as r, (1 + (n_nationkey + k) % 3) / 6.0::double as alpha, ((n_nationkey * 3 + k) % 7 + 1) / 10.0::double as theta from nation, range(3) t(k)
+), t as (select x.j, x.k as a, y.k as b, (1 - exp(-y.r)) * y.alpha + case when x.k = y.k then exp(-y.r) else 0 end as p from h x join h y using (j)
+), pr as (select x.j, x.k as a, y.k as b, x.alpha as aa, y.alpha as ab, x.theta as ta, y.theta as tb from h x join h y on x.j = y.j and x.k <= y.k)"""
+_ETA = """with b as (select q as fdr, q * 2 as a0, list_transform(range(64), lambda j: ((j % 5) - 2) * q) as beta from (select unnest([0.01, 0.05, 0.1, 0.25, 0.5]::double[]) as q)),
+  e as (select vec_id as row_id, fdr, a0 + list_dot_product(embedding::double[], beta::double[]) as eta from embeddings, b)"""
+
+
+def _haplotypes(spark, sf_dir):
+    """Three haplotypes at 25 variants, by rule: nations are the variants."""
+    j = F.col("j")
+    both = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("j"), F.col("n_regionkey").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"))
+    return both.select("j", "k", (F.col("g") / 5.0 + 0.1).alias("r"), ((1 + (j + F.col("k")) % 3) / 6.0).alias("alpha"), (((j * 3 + F.col("k")) % 7 + 1) / 10.0).alias("theta"))
+
+
+def pair_to_index(spark, sf_dir):
+    n = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("b"), F.explode(F.sequence(F.lit(0).cast("int"), F.col("n_nationkey").cast("int"))).alias("a"))
+    return n.select((F.col("a") + 1).alias("a"), (F.col("b") + 1).alias("b"), markov.pair_index(F.col("a") + 1, F.col("b") + 1, 25).alias("i"))
+
+
+def haplotype_transition(spark, sf_dir):
+    return _rounded(markov.haplotype_transitions(_haplotypes(spark, sf_dir)), "p")
+
+
+def genotype_transition(spark, sf_dir):
+    return _rounded(markov.genotype_transitions(_haplotypes(spark, sf_dir)), "p")
+
+
+def initial_probabilities(spark, sf_dir):
+    return _rounded(markov.initial(_haplotypes(spark, sf_dir)), "p")
+
+
+def genotype_emission(spark, sf_dir):
+    return _rounded(markov.genotype_emissions(_haplotypes(spark, sf_dir)), "p")
+
+
+def linear_predict(spark, sf_dir):
+    beta = spark.createDataFrame([(q, q * 2, [((j % 5) - 2) * q for j in range(64)]) for q in LEVELS], "fdr double, a0 double, beta array<double>")
+    return _rounded(filtering.predict(_design(spark, sf_dir), beta), "yhat", places=5)
+
+
+def logistic_predict(spark, sf_dir):
+    beta = spark.createDataFrame([(q, q * 2, [((j % 5) - 2) * q for j in range(64)]) for q in LEVELS], "fdr double, a0 double, beta array<double>")
+    return _rounded(filtering.predict(_design(spark, sf_dir), beta, logistic=True), "yhat", places=5)
+
+
+def _groups(spark, sf_dir):
+    return grouping.partition(controls.moments(_design(spark, sf_dir)).shrunk(), 0.05, min_clusters=16, linkage="average")
+
+
+def _made(kind: str, *args, **options) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _design(spark, sf_dir)
+        labels = [_groups(spark, sf_dir)] if kind == "by_representatives" else []
+        if options.get("groups") == "clusters":
+            made = getattr(controls, kind)(rows, *args, **options | {"groups": _groups(spark, sf_dir)})
+        else:
+            made = getattr(controls, kind)(rows, *labels, *args, **options)
+        return made if isinstance(made, DataFrame) else made.rows
+
+    return query
+
+
+def hc_groups(spark, sf_dir):
+    """Groups of features by each linkage."""
+    sigma = controls.moments(_design(spark, sf_dir)).shrunk()
+    found = {k: grouping.partition(sigma, 0.05, min_clusters=8, linkage=k) for k in grouping.LINKAGES} | {"contiguous": grouping.partition(sigma, 0.05, min_clusters=8, contiguous=True)}
+    return spark.createDataFrame([(k, j, int(g)) for k, v in found.items() for j, g in enumerate(v)], "linkage string, feature_id int, group_id int")
+
+
+def group_representatives(spark, sf_dir):
+    sigma = controls.moments(_design(spark, sf_dir)).shrunk()
+    return spark.createDataFrame([(int(j),) for j in grouping.representatives(sigma, _groups(spark, sf_dir))], "feature_id int")
+
+
+def hmm_controls(spark, sf_dir):
+    """Genotypes are the features' signs and sizes in three classes; haplotypes by rule."""
+    x = _design(spark, sf_dir).select("row_id", F.transform("x", lambda v: F.when(v < -0.05, 0).when(v < 0.05, 1).otherwise(2)).alias("x"))
+    j, k = np.arange(64)[:, None], np.arange(3)
+    return chains.genotypes(x, chains.Haplotypes(np.full(64, 0.3), (1 + (j + k) % 3) / 6, ((j * 3 + k) % 7 + 1) / 10))
+
+
+def markov_controls(spark, sf_dir):
+    x = _design(spark, sf_dir).select("row_id", F.transform("x", lambda v: (v > 0).cast("int")).alias("x"))
+    return chains.markov(x, np.array([0.5, 0.5]), np.broadcast_to(np.array([[0.6, 0.4], [0.4, 0.6]]), (64, 2, 2)))
+
+
+def fit_lasso(spark, sf_dir):
+    return selection.fit_lasso(_design(spark, sf_dir)).selected
+
+
+def fit_lasso_copies(spark, sf_dir):
+    return selection.fit_lasso(_design(spark, sf_dir), m=3).selected
+
+
+def fit_lasso_groups(spark, sf_dir):
+    return selection.fit_lasso(_design(spark, sf_dir), groups=_groups(spark, sf_dir).tolist()).selected
+
+
+def fit_marginal(spark, sf_dir):
+    return selection.fit_marginal(_design(spark, sf_dir)).selected
+
+
+#: Queries that draw or solve, so that SQL can't express them.
+GENERATORS: dict[str, Query] = {
+    **{f"modelx_{k}": _made("gaussian", k) for k in ("equi", "sdp", "mvr", "maxent", "sdp_ccd")},
+    "modelx_copies": _made("gaussian", "maxent", m=5),
+    "windowed_controls": _made("windowed", 16),
+    **{f"factor_{k}": _made("factor", k) for k in ("er", "gr", "ve")},
+    "fixed_controls": _made("fixed"),
+    **{f"group_{k}": _made("gaussian", k, groups="clusters") for k in ("equi", "sdp", "mvr", "maxent")},
+    "representative_controls": _made("by_representatives"),
+    **{f.__name__: f for f in (hc_groups, group_representatives, hmm_controls, markov_controls, fit_lasso, fit_lasso_copies, fit_lasso_groups, fit_marginal)},
+}
+
+
 def queries() -> dict[str, Query]:
-    return {
+    return GENERATORS | {
         f.__name__: f
         for f in (
             marginal_scores, difference_statistics, fdr_threshold, fdr_selection, multiple_statistics, multiple_threshold, group_importance, column_norms, standardised,
             correlation, window_partition, auc, r_squared, nearest_match, power_and_fdp, explained_variance, imputed_genotypes, block_covariance, group_sizes,
+            pair_to_index, haplotype_transition, genotype_transition, initial_probabilities, genotype_emission, linear_predict, logistic_predict,
         )
     }
 
@@ -199,5 +318,12 @@ def oracle_sql() -> dict[str, str]:
         "imputed_genotypes": """with g as (select o_orderkey as sample_id, o_custkey % 50 as variant_id, case when o_orderkey % 7 = 0 then null else o_orderkey % 3 end as g from orders)
   select sample_id, variant_id, round(coalesce(g::double, avg(g) over p) - avg(g) over p, 5) as x from g window p as (partition by variant_id)""",
         "block_covariance": "select a.n_nationkey as i, b.n_nationkey as j, case when a.n_nationkey = b.n_nationkey then 1.0::double when a.n_regionkey = b.n_regionkey then 0.4::double else 0.08::double end as v from nation a, nation b",
+        "pair_to_index": "select a.n_nationkey + 1 as a, b.n_nationkey + 1 as b, row_number() over (order by a.n_nationkey, b.n_nationkey) as i from nation a join nation b on a.n_nationkey <= b.n_nationkey",
+        "haplotype_transition": f"with {_HAP} select j, a, b, round(p, 6) as p from t",
+        "genotype_transition": f"with {_HAP} select x.j, x.a, y.a as b, least(x.b, y.b) as c, greatest(x.b, y.b) as d, round(sum(x.p * y.p), 6) as p from t x join t y on x.j = y.j and x.a <= y.a group by all",
+        "initial_probabilities": f"with {_HAP} select j, a, b, round(aa * ab * case when a = b then 1 else 2 end, 6) as p from pr",
+        "genotype_emission": f"with {_HAP} select j, a, b, x, round(case x when 0 then (1 - ta) * (1 - tb) when 1 then ta * (1 - tb) + (1 - ta) * tb else ta * tb end, 6) as p from pr, range(3) g(x)",
+        "linear_predict": f"{_ETA} select row_id, fdr, round(eta, 5) as yhat from e",
+        "logistic_predict": f"{_ETA} select row_id, fdr, round(1 / (1 + exp(-eta)), 5) as yhat from e",
         "group_sizes": "select n_regionkey as group_id, count(*) as members from nation group by 1",
     }

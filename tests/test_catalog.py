@@ -26,3 +26,12 @@ def test_same_as_sql(spark, duck, name):
     assert len(rows) == len(wanted)
     for a, b in zip(rows, wanted):
         assert a == pytest.approx(b, abs=2e-6)
+
+
+@pytest.mark.parametrize("name", sorted(catalog.GENERATORS))
+def test_runs(spark, name):
+    df = catalog.queries()[name](spark, SF)
+    rows = df.collect()
+    if "xko" in df.columns:
+        assert len(rows) == spark.read.parquet(f"{SF}/embeddings.parquet").count()
+        assert all(len(r.xko) % len(r.x) == 0 and r.xko != r.x for r in rows)
