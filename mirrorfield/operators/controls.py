@@ -258,3 +258,33 @@ def fixed(rows: DataFrame, method: str = "maxent", seed: int = 1) -> Controls:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.ListArray.from_arrays(offsets, pa.array(a.ravel())) for a in (x, out)]], ["row_id", "x", "xko"])
 
     return Controls(wide.mapInArrow(run, "row_id long, x array<double>, xko array<double>"), np.zeros(p), gram, s, 1)
+
+
+def residual(variants: DataFrame, windowsize: int = 100, seed: int = 1) -> DataFrame:
+    """(variant_id, g, gko) of (variant_id, g array<double>), g over the samples: per feature the fit on its window's others
+    and on the copies made before it there, plus that fit's residuals in shuffled order.
+
+    A window is windowsize neighbouring variant_ids and one task's work: two windowsize x samples matrices. Missing values
+    count as the feature's mean, a feature without any value as 0. Shuffles are seeded by (seed, variant_id). No rows give no rows.
+    """
+    if windowsize <= 1:
+        raise ValueError("windowsize must exceed 1")
+
+    def run(window: pa.Table) -> pa.Table:
+        window = window.sort_by("variant_id")
+        ids = window.column("variant_id").to_pylist()
+        x = np.array([[np.nan if v is None else v for v in g] for g in window.column("g").to_pylist()], np.float64).reshape(len(ids), -1)
+        some = ~np.isnan(x)
+        mean = np.where(some, x, 0).sum(1) / np.maximum(some.sum(1), 1)
+        x = np.where(some, x, mean[:, None])
+        n = x.shape[1]
+        copies = np.empty_like(x)
+        for j, key in enumerate(ids):
+            design = np.vstack([np.ones((1, n)), np.delete(x, j, 0), copies[:j]]).T
+            fit = design @ np.linalg.lstsq(design, x[j], rcond=None)[0]
+            copies[j] = fit + np.random.default_rng([seed, key & (2**63 - 1)]).permutation(x[j] - fit)
+        offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * n)
+        return pa.table([pa.array(ids, pa.int64()), *[pa.ListArray.from_arrays(offsets, pa.array(a.ravel())) for a in (x, copies)]], ["variant_id", "g", "gko"])
+
+    rows = variants.select(F.col("variant_id").cast("long").alias("variant_id"), F.col("g").cast("array<double>").alias("g"), F.floor(F.col("variant_id") / windowsize).alias("window"))
+    return rows.groupBy("window").applyInArrow(run, "variant_id long, g array<double>, gko array<double>")

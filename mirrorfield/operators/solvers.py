@@ -114,6 +114,121 @@ def group_equi(sigma: np.ndarray, groups: np.ndarray, m: int = 1) -> np.ndarray:
     return min(1.0, (m + 1) / m * max(np.linalg.eigvalsh(half @ sigma @ half)[0], 0.0)) * d
 
 
+def group_subopt(sigma: np.ndarray, groups: np.ndarray, m: int = 1, lam: float = 0.5, mu: float = 0.8, niter: int = 60) -> np.ndarray:
+    """Each group's block of sigma times a gamma in [0, 1]: the largest sum of group size times gamma that positivity allows.
+
+    Coordinate ascent under a logarithmic barrier whose weight shrinks each sweep.
+    """
+    top = (m + 1) / m * sigma
+    s = 0.5 * group_equi(sigma, groups, m)
+    blocks = []
+    for g in np.unique(groups):
+        at = np.flatnonzero(groups == g)
+        w, u = np.linalg.eigh(sigma[np.ix_(at, at)])
+        blocks.append((at, u * np.sqrt(np.maximum(w, 0))))
+    for weight in lam * mu ** np.arange(niter):
+        for at, root in blocks:
+            own = np.ix_(at, at)
+            gamma = s[at[0], at[0]] / sigma[at[0], at[0]]
+            # move t changes the barrier by weight * sum log(1 - t v)
+            v = np.linalg.eigvalsh(root.T @ np.linalg.inv(top - s)[own] @ root)
+            low, high = -gamma, min(1 - gamma, (1 - 1e-9) / v[-1])
+            for _ in range(60):
+                t = (low + high) / 2
+                low, high = (t, high) if len(at) > weight * (v / (1 - t * v)).sum() else (low, t)
+            s[own] = (gamma + low) * sigma[own]
+    return s
+
+
+def single_sdp(block: np.ndarray, upper: np.ndarray, niter: int = 300, tol: float = 1e-7) -> np.ndarray:
+    """The S closest to block in sum of absolute differences with S and upper - S positive semidefinite: splitting into the three parts, averaged."""
+    if len(block) == 1:
+        return np.clip(block, 0, upper)
+    z = np.zeros_like(block)
+    duals = [np.zeros_like(block) for _ in range(3)]
+    parts = (
+        lambda a: block + np.sign(a - block) * np.maximum(np.abs(a - block) - 0.1, 0),
+        _positive,
+        lambda a: upper - _positive(upper - a),
+    )
+    for _ in range(niter):
+        near = [f(z - d) for f, d in zip(parts, duals)]
+        new = sum(x + d for x, d in zip(near, duals)) / 3
+        duals = [d + x - new for x, d in zip(near, duals)]
+        done, z = np.abs(new - z).max() < tol, new
+        if done and max(np.abs(x - z).max() for x in near) < 1e-5:
+            break
+    return _within(z, upper)
+
+
+def _positive(a: np.ndarray) -> np.ndarray:
+    w, u = np.linalg.eigh((a + a.T) / 2)
+    return (u * np.maximum(w, 0)) @ u.T
+
+
+def _within(s: np.ndarray, upper: np.ndarray) -> np.ndarray:
+    """s made positive semidefinite and scaled until upper - s is, too."""
+    s = _positive(s)
+    half = np.linalg.inv(np.linalg.cholesky(upper))
+    return s / max(1.0, np.linalg.eigvalsh(half @ s @ half.T)[-1])
+
+
+def single_mvr(upper: np.ndarray, weight: np.ndarray, start: np.ndarray, m: int = 1, niter: int = 200, tol: float = 1e-10) -> np.ndarray:
+    """Minimises m^2 tr(S^-1) + tr(weight (upper - S)^-1) by descent along S G S, G the gradient, with halved steps."""
+
+    def value(s: np.ndarray) -> float:
+        if min(np.linalg.eigvalsh(s)[0], np.linalg.eigvalsh(upper - s)[0]) <= 0:
+            return np.inf
+        return m * m * np.trace(np.linalg.inv(s)) + np.trace(weight @ np.linalg.inv(upper - s))
+
+    s, size = start, 1.0
+    now = value(s)
+    for _ in range(niter):
+        back, rest = np.linalg.inv(s), np.linalg.inv(upper - s)
+        way = s @ (rest @ weight @ rest - m * m * back @ back) @ s
+        way = (way + way.T) / 2
+        size *= 4
+        while size > 1e-14 and not (then := value(s - size * way)) < now:
+            size /= 2
+        if size <= 1e-14:
+            break
+        s, before, now = s - size * way, now, then
+        if before - now < tol * abs(now):
+            break
+    return s
+
+
+def group_blocks(sigma: np.ndarray, groups: np.ndarray, method: str, m: int = 1, niter: int = 100, tol: float = 1e-4) -> np.ndarray:
+    """Block descent: each group's block is solved whole, the others held; upper is the Schur complement it must stay below.
+
+    method: maxent_block (in closed form), mvr_block or sdp_block.
+    """
+    top = (m + 1) / m * sigma
+    s = 0.5 * group_equi(sigma, groups, m) + 1e-8 * np.eye(len(sigma))
+    members = [np.flatnonzero(groups == g) for g in np.unique(groups)]
+    for _ in range(niter):
+        worst = 0.0
+        for at in members:
+            own, rest = np.ix_(at, at), np.flatnonzero(~np.isin(np.arange(len(sigma)), at))
+            d = top - s
+            into = np.linalg.solve(d[np.ix_(rest, rest)] + 1e-8 * np.eye(len(rest)), d[np.ix_(rest, at)])
+            upper = top[own] - d[np.ix_(at, rest)] @ into
+            upper = (upper + upper.T) / 2
+            if method == "maxent_block":
+                new = m / (m + 1) * upper
+            elif method == "mvr_block":
+                new = single_mvr(upper, np.eye(len(at)) + into.T @ into, s[own], m)
+            elif method == "sdp_block":
+                new = single_sdp(sigma[own], (1 - 1e-6) * upper)
+            else:
+                raise ValueError("method must be maxent_block, mvr_block or sdp_block")
+            worst = max(worst, np.abs(new - s[own]).max())
+            s[own] = new
+        if worst < tol:
+            break
+    return s
+
+
 def _objective(top: np.ndarray, s: np.ndarray, sigma: np.ndarray, m: int, method: str) -> float:
     rest = top - s
     if method == "maxent":
@@ -124,7 +239,7 @@ def _objective(top: np.ndarray, s: np.ndarray, sigma: np.ndarray, m: int, method
 
 
 def solve_s_group(sigma: np.ndarray, groups, method: str = "maxent", m: int = 1, niter: int = 100, tol: float = 1e-4) -> np.ndarray:
-    """S, zero between groups, for equi, maxent, mvr or sdp, on the scale of sigma.
+    """S, zero between groups, for equi, maxent, mvr, sdp, sdp_subopt or maxent_block, mvr_block and sdp_block, on the scale of sigma.
 
     maxent and mvr: coordinate ascent along the directions v v', v the eigenvectors of the groups' blocks, unit vectors
     and pairs within groups; both inverses follow by rank-one corrections. sdp: the same moves, each as large as the objective and positivity let it.
@@ -135,11 +250,15 @@ def solve_s_group(sigma: np.ndarray, groups, method: str = "maxent", m: int = 1,
     if len(groups) != len(sigma):
         raise ValueError("a group for each feature is needed")
     if len(np.unique(groups)) == len(groups):
-        return np.diag(solve_s(sigma, "sdp_ccd" if method == "sdp" else method, m))
+        return np.diag(solve_s(sigma, "sdp_ccd" if method.startswith("sdp") else method.removesuffix("_block"), m))
     cor, sd = to_correlation(sigma)
     scale = np.outer(sd, sd)
     if method == "equi":
         return group_equi(cor, groups, m) * scale
+    if method == "sdp_subopt":
+        return group_subopt(cor, groups, m) * scale
+    if method.endswith("_block"):
+        return group_blocks(cor, groups, method, m, niter, tol) * scale
     top = (m + 1) / m * cor
     s = 0.5 * group_equi(cor, groups, m) + 1e-8 * np.eye(len(cor))
     directions = []

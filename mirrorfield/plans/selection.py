@@ -36,8 +36,14 @@ def filtered(scores: DataFrame, m: int, fdrs: Sequence[float], plus: bool = True
     return stats, cut, filtering.select_features(stats, cut)
 
 
-def fit_lasso(rows: DataFrame, fdrs: Sequence[float] = filtering.LEVELS, method: str = "maxent", m: int = 1, groups: Sequence[int] | None = None, mean=None, sigma=None, plus: bool = True, debias: bool = True, seed: int = 1) -> Selection:
-    """rows (row_id, x, y): controls, one pass of Gram matrices, lasso importances, the filter, coefficients per target rate."""
+def fit_lasso(rows: DataFrame, fdrs: Sequence[float] = filtering.LEVELS, method: str = "maxent", m: int = 1, groups: Sequence[int] | None = None, mean=None, sigma=None, plus: bool = True, debias: str | None = "ls", stringent: bool = False, seed: int = 1) -> Selection:
+    """rows (row_id, x, y): controls, one pass of Gram matrices, lasso importances, the filter, coefficients per target rate.
+
+    debias: least squares (ls) or a lasso (lasso) on what was selected, or None for the first lasso's coefficients. With
+    groups all members of a selected group are refitted, if stringent only those with a coefficient.
+    """
+    if debias not in ("ls", "lasso", None):
+        raise ValueError("debias must be ls, lasso or None")
     made = controls.gaussian(rows, method, mean, sigma, m, seed, groups)
     spark, p = rows.sparkSession, len(made.mean)
     grams = importance.fold_grams(made.rows.join(rows.select("row_id", "y"), "row_id"))
@@ -55,8 +61,10 @@ def fit_lasso(rows: DataFrame, fdrs: Sequence[float] = filtering.LEVELS, method:
         support = np.array([j for j in range(p) if (groups[j] if groups is not None else j) in set(ids)], int)
         beta = np.zeros(p)
         a0 = fit.intercept
+        if stringent:
+            support = support[fit.beta[support] != 0]
         if debias:
-            again = importance.debiased(whole, support)
+            again = importance.debiased(whole, support) if debias == "ls" else importance.debiased_lasso(grams, support)
             beta, a0 = again.beta[:p], again.intercept
         else:
             beta[support] = fit.beta[support]

@@ -102,3 +102,76 @@ def test_false_discoveries_on_average():
         chosen = np.flatnonzero(w >= min(fits, default=np.inf))
         shares.append((chosen % 4 != 0).sum() / max(1, len(chosen)))
     assert np.mean(shares) < 0.2 + 3 * np.std(shares) / 4
+
+
+GROUPS = np.repeat(np.arange(6), 3)
+
+
+@pytest.mark.parametrize("method", ["sdp_subopt", "maxent_block", "mvr_block", "sdp_block"])
+@pytest.mark.parametrize("m", [1, 4])
+def test_group_blocks_feasible(method, m):
+    sigma = ar(18, 0.6)
+    s = solvers.solve_s_group(sigma, GROUPS, method, m)
+    assert np.array_equal(s, solvers.block_diagonal(s, GROUPS))
+    assert np.linalg.eigvalsh(s)[0] > -1e-9
+    assert np.linalg.eigvalsh((m + 1) / m * sigma - s)[0] > -1e-6
+
+
+@pytest.mark.parametrize("m", [1, 4])
+@pytest.mark.parametrize("method", ["maxent", "mvr"])
+def test_blocks_reach_the_same_optimum(method, m):
+    sigma = ar(18, 0.6)
+    top = (m + 1) / m * sigma
+    whole = solvers.solve_s_group(sigma, GROUPS, method, m, niter=400, tol=1e-9)
+    blocks = solvers.solve_s_group(sigma, GROUPS, method + "_block", m, niter=400, tol=1e-7)
+    a, b = (solvers._objective(top, s, sigma, m, method) for s in (whole, blocks))
+    assert b == pytest.approx(a, rel=1e-4, abs=1e-3)
+
+
+def test_subopt_beats_one_factor():
+    sigma = ar(18, 0.6)
+    sigma[:9, 9:] = sigma[9:, :9] = 0
+    gain = np.trace(solvers.group_subopt(sigma, GROUPS)) - np.trace(solvers.group_equi(sigma, GROUPS))
+    assert gain > -1e-6
+
+
+def test_single_sdp():
+    block = ar(4, 0.7)
+    assert np.allclose(solvers.single_sdp(block, 2 * block), block, atol=1e-4)
+    for upper in (0.5 * block, np.diag([0.5, 1.0, 2.0, 0.3])):
+        s = solvers.single_sdp(block, upper)
+        assert np.linalg.eigvalsh(upper - s)[0] > -1e-9
+        rivals = [t * upper for t in np.linspace(0, 1, 21)]
+        assert np.abs(block - s).sum() <= min(np.abs(block - r).sum() for r in rivals) + 1e-3
+
+
+def test_debiased_lasso():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((500, 6))
+    y = 1 + x[:, 0] - 2 * x[:, 3] + 0.1 * rng.standard_normal(500)
+    a, fold = np.c_[np.ones(500), x, y], rng.integers(0, 5, 500)
+    grams = [a[fold == k].T @ a[fold == k] for k in range(5)]
+    fit = importance.debiased_lasso(grams, np.array([0, 3, 4]))
+    assert fit.beta[[1, 2, 5]].tolist() == [0, 0, 0]
+    assert fit.beta[[0, 3]] == pytest.approx([1, -2], abs=0.1)
+    assert importance.debiased_lasso(grams, np.array([], int)).intercept == pytest.approx(y.mean())
+
+
+def test_residual_controls(spark):
+    rng = np.random.default_rng(4)
+    g = rng.integers(0, 3, (7, 60)).astype(float)
+    rows = [(j, [None if j == 2 and i == 0 else float(v) for i, v in enumerate(r)]) for j, r in enumerate(g)]
+    df = spark.createDataFrame(rows, "variant_id long, g array<double>")
+    got = controls.residual(df, 4, seed=5).orderBy("variant_id").collect()
+    assert [r.variant_id for r in got] == list(range(7))
+    assert got[2].g[0] == pytest.approx(g[2, 1:].mean())
+    again = controls.residual(df.repartition(3), 4, seed=5).orderBy("variant_id").collect()
+    assert np.allclose([r.gko for r in got], [r.gko for r in again])
+    x, k = np.array([r.g for r in got]), np.array([r.gko for r in got])
+    for j in range(7):
+        first = j // 4 * 4
+        others = [i for i in range(first, min(first + 4, 7)) if i != j]
+        design = np.vstack([np.ones(60), x[others], k[first:j]]).T
+        fit = design @ np.linalg.lstsq(design, x[j], rcond=None)[0]
+        assert np.allclose(np.sort(k[j] - fit), np.sort(x[j] - fit))
+    assert controls.residual(df.limit(0), 4).count() == 0
