@@ -250,6 +250,13 @@ def markov_controls(spark, sf_dir):
     return chains.markov(x, np.array([0.5, 0.5]), np.broadcast_to(np.array([[0.6, 0.4], [0.4, 0.6]]), (64, 2, 2)))
 
 
+def residual_controls(spark, sf_dir):
+    """The design turned round, a row per feature, and its copies by windows of 16."""
+    long = _design(spark, sf_dir).select("row_id", F.posexplode("x").alias("variant_id", "v"))
+    turned = long.groupBy("variant_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("row_id", "v"))), lambda r: r["v"]).alias("g"))
+    return controls.residual(turned, 16)
+
+
 def fit_lasso(spark, sf_dir):
     return selection.fit_lasso(_design(spark, sf_dir)).selected
 
@@ -273,9 +280,9 @@ GENERATORS: dict[str, Query] = {
     "windowed_controls": _made("windowed", 16),
     **{f"factor_{k}": _made("factor", k) for k in ("er", "gr", "ve")},
     "fixed_controls": _made("fixed"),
-    **{f"group_{k}": _made("gaussian", k, groups="clusters") for k in ("equi", "sdp", "mvr", "maxent")},
+    **{f"group_{k}": _made("gaussian", k, groups="clusters") for k in ("equi", "sdp", "mvr", "maxent", "sdp_subopt", "mvr_block", "maxent_block")},
     "representative_controls": _made("by_representatives"),
-    **{f.__name__: f for f in (hc_groups, group_representatives, hmm_controls, markov_controls, fit_lasso, fit_lasso_copies, fit_lasso_groups, fit_marginal)},
+    **{f.__name__: f for f in (hc_groups, group_representatives, hmm_controls, markov_controls, residual_controls, fit_lasso, fit_lasso_copies, fit_lasso_groups, fit_marginal)},
 }
 
 
