@@ -97,6 +97,13 @@ def test_simhash_odd(spark, odd):
     assert simhash.near_duplicates(odd.where("false")).count() == 0
 
 
+def test_keep_one_decides_by_row(spark):
+    texts = {i: " ".join(f"t{i}w{j}" for j in range(30)) for i in range(6)}
+    rows = [(None, texts[0], "s"), (None, texts[1], "s"), (None, texts[2], "s"), (7, texts[2], "s"), (8, texts[3], "s"), (8, texts[4], "s"), (9, texts[5], "s"), (8, texts[5], "s"), (9, texts[5], "s")]
+    got = sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(docs(spark, rows)).collect())
+    assert got == sorted([(0, texts[0]), (0, texts[1]), (7, texts[2]), (8, texts[3]), (8, texts[4]), (8, texts[5])])
+
+
 def test_token_counts(spark, odd):
     from tokenizers import Tokenizer
 
