@@ -9,7 +9,7 @@ Within a cell the Manhattan bound is tested first, then the differing bits exact
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mirrorfield.llm import jaccard
 from mirrorfield.llm.common import checkpointed, components, pieces, table
 
 RADIUS = 3
@@ -46,17 +47,16 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * votes > len(shingles), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, keep: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, fp long) for each row, and its columns keep (longs); a null text counts as empty and has fingerprint 0."""
+def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """(doc_id, fp long) for each row; a null text counts as empty and has fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             prints = np.fromiter((fingerprint(t or b"", width) for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), *batch.columns[2:]], ["doc_id", "fp", *keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["doc_id", "fp"])
 
-    schema = ", ".join(["doc_id long, fp long", *(f"{c} long" for c in keep)])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def embed(prints: np.ndarray) -> np.ndarray:
@@ -147,35 +147,35 @@ def near_links(prints: DataFrame) -> DataFrame:
     return _linked(cells.join(hot, ["which", "cell"], "left_anti")).unionByName(fine)
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, keep: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, fp, component_id) for each row; component_id is the smallest doc_id reachable over links. With columns keep, those and the root too.
+def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
+    """(doc_id, fp, component_id) for each row; component_id is the smallest doc_id reachable over links.
 
     Equal fingerprints are one node. Empty, null and blank texts share fingerprint 0. Repeated rows stay, each with
     the same component. A null doc_id stays null and never becomes a component's id unless all members' ids are null.
     Other columns are ignored; no rows give no rows.
     """
-    prints = checkpointed(fingerprints(docs, width, keep))
+    prints = checkpointed(fingerprints(docs, width))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     roots = components(near_links(nodes.select("fp"))).withColumnRenamed("node", "fp")
     named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     of_root = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return prints.join(named.join(of_root, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "component_id", *(["root", *keep] if keep else []))
+    return prints.join(named.join(of_root, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
-    """One row of docs for each component: the one with the smallest doc_id, null ids last, ties by a hash of the whole row.
+def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
+    """One row of docs for each component of shingle sets that are equal or of Jaccard similarity 0.8 or more, exactly (mirrorfield.llm.jaccard).
 
-    Rows are told apart by doc_id, fingerprint and that hash, so different texts under one doc_id, or under none, each have a
-    verdict of their own; of rows equal in all columns one stays.
+    The row with the smallest doc_id stays, null ids last, ties by the set and a hash of the whole row. Rows are told apart by
+    doc_id and that hash, so different texts under one doc_id, or under none, each have a verdict of their own; of rows equal
+    in all columns one stays. A fingerprint isn't used: 64 bits don't bound a similarity of 0.8.
     """
-    whole = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and "variant" not in t])
-    kept = near_duplicates(docs.withColumn("_row", whole), width, keep=["_row"])
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp", "_row")
-    kept = kept.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("_id"), F.col("o._row").alias("_kept"))
-    rows = docs.withColumn("_row", whole)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_kept"))
-    stay = rows.join(kept.distinct(), same, "left_semi")
-    repeated = rows.groupBy("doc_id", "_row").count().where("count > 1").take(1)
+    sets = checkpointed(jaccard.shingle_sets(docs, width))
+    found = sets.drop("shingles").join(jaccard.roots(sets), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "row")
+    kept = found.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("_id"), F.col("o.row").alias("_kept"))
+    rows = docs.withColumn("_row", jaccard.whole_row(docs))
+    stay = rows.join(kept.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_kept")), "left_semi")
+    repeated = sets.groupBy("doc_id", "row").count().where("count > 1").take(1)
     return (stay.dropDuplicates(["doc_id", "_row"]) if repeated else stay).drop("_row")
 
 

@@ -104,6 +104,33 @@ def test_keep_one_decides_by_row(spark):
     assert got == sorted([(0, texts[0]), (0, texts[1]), (7, texts[2]), (8, texts[3]), (8, texts[4]), (8, texts[5])])
 
 
+@pytest.mark.parametrize("limit", [64, 3])
+def test_keep_one_near_copies(spark, monkeypatch, limit):
+    from mirrorfield.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "GROUP_LIMIT", limit)
+    rng = random.Random(8)
+    base = [[rng.choice("abcdefghijkl") * rng.randint(1, 4) for _ in range(rng.randint(3, 120))] for _ in range(30)]
+    common = [f"c{i}" for i in range(40)]
+    texts = [" ".join(b) for b in base] + ["", None, "A b"]
+    for b in base:
+        for edits in (1, 1, 2, 3, 4):
+            c = list(b)
+            for _ in range(edits):
+                c[rng.randrange(len(c))] = "edited"
+            texts.append(" ".join(c))
+        texts.append(" ".join(b + common))
+    sets = [set(jaccard.shingle_set((t or "").encode()).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    links = [(i, j) for i in root for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    assert len(set(root)) < len(set(map(frozenset, sets))) - 20  # there are near copies, not only equal ones
+    got = simhash.keep_one(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), width=5)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(root))
+
+
 def test_token_counts(spark, odd):
     from tokenizers import Tokenizer
 
