@@ -1,9 +1,10 @@
 r"""Benchmark decontamination by template canonicalisation. DataFrame expressions only.
 
 1. Numbers, units that follow them and names become typed placeholders; what else is a letter run is lower-cased.
-   Placeholder terms keep what they stand for. A name is a capitalised word that does not open a sentence.
-2. Windows of WIDTH terms are hashed by template: a placeholder counts by its type. The benchmark's windows are joined
-   with the documents' on the hash.
+   Placeholder terms keep what they stand for. A name is a capitalised word within a sentence; one that opens a text,
+   a sentence or a quotation (an opener) may be a name or a word.
+2. Windows of WIDTH terms are hashed by template: a placeholder counts by its type, and an opener both ways, so that a
+   window with k openers has 2 ** k hashes. The benchmark's windows are joined with the documents' on the hash.
 3. A document holds an item if it has a share of at least COVER of the item's distinct windows and the slots are
    consistent: within a copy, an item's slot value always stands for one and the same value, at least a share CONSISTENT
    of the time. So a question with other numbers or names is found, and a chance likeness of templates is not.
@@ -11,7 +12,9 @@ r"""Benchmark decontamination by template canonicalisation. DataFrame expression
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mirrorfield.llm.common import checkpointed, table
@@ -23,6 +26,7 @@ BROADCAST_WINDOWS = 200_000
 UNITS = ("km", "cm", "mm", "m", "kg", "g", "mg", "l", "ml", "s", "ms", "min", "h", "hours", "minutes", "seconds", "days", "years", "miles", "feet", "inches", "pounds", "dollars", "euros", "percent")
 #: Opens a placeholder; the letter after it is the type, the rest is the value.
 MARK = "\u0001"
+OPENER = MARK + "o"
 #: Stands for a dot or comma within a number.
 POINT = "\u0002"
 
@@ -36,6 +40,8 @@ def _terms(docs: DataFrame, key: str) -> DataFrame:
     odd = F.contains(text, F.lit(MARK)) | F.contains(text, F.lit(POINT))
     plain = docs.select(F.col(key), F.when(odd, F.translate(text, MARK + POINT, "  ")).otherwise(text).alias("x"))
     named = plain.select(key, F.regexp_replace("x", r"\p{Lu}(?<=[\p{Ll}\d,;:] \p{Lu})\p{L}*", MARK + "n$0").alias("x"))
+    # what is left opens something, but for the later words of a run of capitals
+    named = named.select(key, F.regexp_replace("x", r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})(?:(?<!\p{Lu} \p{Lu})|(?=\p{Ll}))\p{L}*", MARK + "o$0").alias("x"))
     counted = F.regexp_replace("x", r"(?<=\d)[.,](?=\d)", POINT)
     counted = F.regexp_replace(counted, rf"\d(?<![\p{{L}}\p{{N}}{POINT}]\d)[\d{POINT}]*", MARK + "d$0")
     counted = F.regexp_replace(counted, rf"({MARK}d[\d{POINT}]+) ?({'|'.join(sorted(UNITS, key=len, reverse=True))})\b", f"$1 {MARK}u$2")
@@ -52,28 +58,52 @@ def _marked(term: Column) -> Column:
 
 
 def _hashed(words: DataFrame, key: str) -> DataFrame:
-    """(key, t): the terms' hashes, of a placeholder by its type."""
-    by_type = F.transform("w", lambda t: F.xxhash64(F.when(_marked(t), F.substring(t, 1, 2)).otherwise(t)))
-    return words.select(key, F.when(F.col("marked"), by_type).otherwise(F.transform("w", lambda t: F.xxhash64(t))).alias("t"))
+    """(key, t, o): the terms' hashes, of a placeholder by its type and of an opener by its word; 1 for openers, else 0."""
+    kind = lambda t: F.substring(t, 1, 2)
+    by_type = F.transform("w", lambda t: F.xxhash64(F.when(kind(t) == OPENER, F.substring(t, 3, 1 << 30)).when(_marked(t), kind(t)).otherwise(t)))
+    opens = F.transform("w", lambda t: (kind(t) == OPENER).cast("int"))
+    return words.select(key, F.when(F.col("marked"), by_type).otherwise(F.transform("w", lambda t: F.xxhash64(t))).alias("t"), F.when(F.col("marked"), opens).otherwise(F.transform("w", lambda t: F.lit(0))).alias("o"))
+
+
+def _of_size(size: int, base: bool) -> Column:
+    """Structs of the windows of a row: at, h, and with base the hash with all openers as words."""
+    starts = F.when(F.size("t") >= size, F.sequence(F.lit(0), F.size("t") - size))
+    name = F.xxhash64(F.lit(MARK + "n"))
+
+    def plain(i: Column) -> Column:
+        return F.xxhash64(*[F.get("t", i + j) for j in range(size)])
+
+    def chosen(i: Column, mask: Column) -> Column:
+        return F.xxhash64(*[F.when(mask.bitwiseAND(1 << j) == 0, F.get("t", i + j)).otherwise(name) for j in range(size)])
+
+    def row(i: Column, h: Column) -> Column:
+        return F.struct(i.alias("at"), h.alias("h"), *([plain(i).alias("base")] if base else []))
+
+    def choices(bits: Column) -> Column:
+        several = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit((1 << size) - 1)), lambda m: m.bitwiseAND(bits)))
+        return F.when(bits.bitwiseAND(bits - 1) == 0, F.array(bits)).otherwise(F.filter(several, lambda m: m > 0))
+
+    # start and bits of the openers of each window that has some; each non-empty choice of them stands for names
+    opened = F.transform(starts, lambda i: F.struct(i.alias("i"), reduce(lambda a, b: a + b, [F.get("o", i + j) * F.lit(1 << j) for j in range(size)]).alias("bits")))
+    named = F.transform(F.filter(opened, lambda s: s["bits"] > 0), lambda s: F.transform(choices(s["bits"]), lambda m: row(s["i"], chosen(s["i"], m))))
+    return F.concat(F.transform(starts, lambda i: row(i, plain(i))), F.flatten(named))
 
 
-def _windows(words: DataFrame, key: str, sizes: list[int]) -> DataFrame:
-    """(key, size, at, h): hash of each template window, from its terms' hashes."""
+def _windows(words: DataFrame, key: str, sizes: list[int], base: bool = False) -> DataFrame:
+    """(key, size, at, h): hashes of each template window, from its terms' hashes, with openers as words and as names; base: also the one with all as words."""
     out = None
     for size in sizes:
-        starts = F.when(F.size("t") >= size, F.sequence(F.lit(0), F.size("t") - size))
-        window = F.transform(starts, lambda i: F.xxhash64(*[F.get("t", i + j) for j in range(size)]))
         # outer, as else the optimizer computes the windows twice, to see first that there are some
-        part = _hashed(words, key).select(key, F.lit(size).alias("size"), F.posexplode_outer(window).alias("at", "h"))
+        part = _hashed(words, key).select(key, F.explode_outer(_of_size(size, base)).alias("x")).select(key, F.lit(size).alias("size"), "x.*")
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def _slots(words: DataFrame, key: str) -> DataFrame:
-    """(key, at, type, value) of each placeholder."""
+    """(key, at, type, value, opens) of each placeholder; an opener is of the names' type."""
     numbered = F.transform("w", lambda t, i: F.struct(i.alias("at"), F.when(_marked(t), t).alias("t")))
     listed = words.where("marked").select(key, F.explode_outer(F.filter(numbered, lambda x: x["t"].isNotNull())).alias("s")).where("s is not null")
-    return listed.select(key, F.col("s.at").alias("at"), F.substring("s.t", 2, 1).alias("type"), F.substring("s.t", 3, 1 << 30).alias("value"))
+    return listed.select(key, F.col("s.at").alias("at"), F.translate(F.substring("s.t", 2, 1), "o", "n").alias("type"), F.substring("s.t", 3, 1 << 30).alias("value"), (F.substring("s.t", 1, 2) == OPENER).alias("opens"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cover: float = COVER, consistent: float = CONSISTENT) -> DataFrame:
@@ -86,23 +116,25 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cover: fl
     words = _filled(_terms(items, "item_id"))
     sized = words.select("item_id", F.least(F.lit(width), F.size("w")).alias("size")).where("size > 0")
     sizes = sorted(r["size"] for r in sized.select("size").distinct().collect()) or [width]
-    asked = _windows(words, "item_id", sizes).where("h is not null").join(sized, ["item_id", "size"], "left_semi")
-    asked = checkpointed(asked.select("item_id", "size", F.col("at").alias("item_at"), "h"))
-    totals = asked.groupBy("item_id").agg(F.countDistinct("h", "size").alias("total"))
+    asked = _windows(words, "item_id", sizes, base=True).where("h is not null").join(sized, ["item_id", "size"], "left_semi")
+    asked = checkpointed(asked.select("item_id", "size", F.col("at").alias("item_at"), "h", "base"))
+    totals = asked.groupBy("item_id").agg(F.countDistinct("base", "size").alias("total"))
     small = asked.count() <= BROADCAST_WINDOWS
     hits = _windows(_terms(docs, "doc_id"), "doc_id", sizes).join(F.broadcast(asked) if small else asked, ["size", "h"])
-    hits = checkpointed(hits.select("doc_id", "item_id", "size", "h", "at", "item_at"))
-    found = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("h", "size").alias("n")).join(F.broadcast(totals) if small else totals, "item_id")
+    hits = checkpointed(hits.select("doc_id", "item_id", "size", "base", "at", "item_at"))
+    found = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("base", "size").alias("n")).join(F.broadcast(totals) if small else totals, "item_id")
     found = found.withColumn("coverage", F.col("n") / F.col("total")).where(F.col("coverage") >= cover).select("doc_id", "item_id", "coverage")
-    item_slots = checkpointed(_slots(words, "item_id"))
+    # an opener that is nowhere else a name is a slot only where it is changed
+    unnamed = F.min("opens").over(Window.partitionBy("item_id", "value"))
+    item_slots = checkpointed(_slots(words, "item_id").withColumn("opens", unnamed))
     slotted = found.join(item_slots.select("item_id").distinct(), "item_id", "left_semi")
     if not slotted.take(1):
         return found.withColumn("consistency", F.lit(1.0))
     # a placeholder of the item and the one of the same type at the same distance, in each copy that a window places
     copies = hits.join(slotted.select("doc_id", "item_id"), ["doc_id", "item_id"]).select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("copy")).distinct()
     texts = docs.select("doc_id", "text").join(slotted.select("doc_id").distinct(), "doc_id")
-    there = _slots(_terms(texts, "doc_id"), "doc_id").withColumnRenamed("value", "other")
-    pairs = copies.join(item_slots, "item_id").withColumn("at", F.col("at") + F.col("copy")).join(there, ["doc_id", "at", "type"]).groupBy("doc_id", "item_id", "copy", "type", "value", "other").count()
+    there = _slots(_terms(texts, "doc_id"), "doc_id").drop("opens").withColumnRenamed("value", "other")
+    pairs = copies.join(item_slots, "item_id").withColumn("at", F.col("at") + F.col("copy")).join(there, ["doc_id", "at", "type"]).where(~F.col("opens") | (F.col("value") != F.col("other"))).groupBy("doc_id", "item_id", "copy", "type", "value", "other").count()
     dominant = pairs.groupBy("doc_id", "item_id", "copy", "type", "value").agg(F.max("count").alias("top"), F.sum("count").alias("all"))
     repeated = F.col("all") > 1  # a value that stands once is consistent with anything
     share = dominant.groupBy("doc_id", "item_id", "copy").agg((F.sum(F.when(repeated, F.col("top"))) / F.sum(F.when(repeated, F.col("all")))).alias("share"), F.sum("all").alias("n"))

@@ -229,6 +229,20 @@ def test_decontaminate(spark, odd):
     assert decontaminate.contaminated(odd.where("false"), b.where("false")).count() == 0
 
 
+def test_decontaminate_names_that_open_sentences(spark):
+    ask = "{0} has {2} apples. {1} gives him {3} more apples. {0} then eats {4} of them. How many apples does {0} have now?"
+    b = spark.createDataFrame([(1, ask.format("Jim", "Sue", 3, 2, 1)), (2, "The cat sat on the mat. Then the dog came home.")], "item_id long, text string")
+    rows = [
+        (1, ask.format("Bob", "Eve", 7, 8, 5), "s"),
+        (2, "intro words. \"" + ask.format("Bob", "Eve", 7, 8, 5).replace("How", "how") + "\"", "s"),
+        (3, "Bob has 7 apples. Eve gives him 8 more apples. Al then eats 5 of them. How many apples does Joe have now?", "s"),
+        (4, "we saw the cat sat on the mat. then the dog came home.", "s"),
+        (5, "A. B. C. D. E. F. NEW YORK TIMES", "s"),
+    ]
+    got = {r.doc_id: list(r["items"]) for r in decontaminate.contaminated(docs(spark, rows), b).collect()}
+    assert got == {1: [1], 2: [1], 3: [], 4: [2], 5: []}
+
+
 def test_licenses(spark, odd):
     model = licenses.train(odd)
     rows = [(1, "foo\nReleased under the MIT License.\nbar", "s"), (2, "Licensed under CC BY-NC 4.0.", "s"), (3, "the license of the software is unclear", "s"), (4, None, "s"), (None, "Licensed under the Apache License, Version 2.0.", "s")]
