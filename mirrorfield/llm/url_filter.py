@@ -1,7 +1,8 @@
 r"""URL filters: rules, and a path-template tree for the urls that no rule covers. DataFrame expressions only.
 
 1. A path's segments become template segments: digits N, hexadecimal runs H, words with digits in them V; other
-   segments stay as they are while they are common on their host, else they become the wildcard *.
+   segments stay as they are if they are common on their host or their blocked share differs significantly from their
+   siblings', at their level or below the same parent; else they become the wildcard *. All segments count.
 2. Per host the templates' prefixes form a tree; each node counts urls and labelled urls that are blocked.
 3. Branches are merged across hosts: nodes of the same template whose blocked shares do not differ significantly
    from the template's share over all hosts share one count; the others stay apart.
@@ -22,9 +23,7 @@ from mirrorfield.llm.common import table
 
 #: (host, path, verdict) of the query.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: Levels of the tree; deeper segments do not part templates.
-DEPTH = 4
-#: A literal segment stays if this share of its host's urls, and this many, have it at this level.
+#: A literal segment that this many urls have stays if they are this share of its host's urls, or if it differs from its siblings.
 LITERAL_SHARE, LITERAL_COUNT = 0.01, 3
 #: Pseudo-labels at the parent's share, and the purity at which a template is rejected.
 SMOOTHING, PURITY = 4.0, 0.6
@@ -67,7 +66,16 @@ def _typed(segment: Column) -> Column:
     )
 
 
-def judge(urls: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, label: str | None = None, depth: int = DEPTH) -> DataFrame:
+def _differs() -> Column:
+    """Whether a segment's blocked share differs significantly from its siblings'."""
+    others, other_blocked = F.col("all_labelled") - F.col("labelled"), F.col("all_blocked") - F.col("blocked")
+    pooled = (F.col("all_blocked") + 0.5) / (F.col("all_labelled") + 1.0)
+    apart = F.abs(F.try_divide("blocked", "labelled") - F.try_divide(other_blocked, others))
+    noise = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), others)))
+    return (F.col("n") >= LITERAL_COUNT) & (F.col("labelled") >= SUPPORT) & F.coalesce(apart > DIFFERS * noise, F.lit(False))
+
+
+def judge(urls: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, label: str | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) for each row of urls (page_id, url).
 
     label: a column of urls, 1 for blocked and 0 for allowed, null where unknown; else the rules' verdicts are the labels.
@@ -80,15 +88,26 @@ def judge(urls: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, label:
     rows = rows.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     if not label:
         rows = rows.withColumn("label", F.when(F.col("r.verdict") == "block", 1).when(F.col("r.verdict") == "allow", 0))
-    parts = F.slice(F.filter(F.split("path", "/"), lambda s: s != ""), 1, depth)
+    parts = F.filter(F.split("path", "/"), lambda s: s != "")
     rows = rows.withColumn("segments", F.transform(parts, _typed))
     # one row for each host and typed path, so that a hot host is counted before anything moves
     shapes = rows.groupBy("host", "segments").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.sum(F.coalesce("label", F.lit(0))).alias("blocked"))
     on_host = shapes.groupBy("host").agg(F.sum("n").alias("total"))
-    literal = shapes.select("host", F.posexplode("segments").alias("level", "segment"), "n").groupBy("host", "level", "segment").agg(F.sum("n").alias("n")).join(on_host, "host")
-    common = literal.where((F.col("n") >= LITERAL_COUNT) & (F.col("n") >= LITERAL_SHARE * F.col("total"))).groupBy("host").agg(F.collect_set(F.concat_ws(" ", F.col("level").cast("string"), "segment")).alias("common"))
-    kept = shapes.join(common, "host", "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>")))
-    wild = F.transform("segments", lambda s, i: F.when(F.substring(s, 1, 1) == "{", s).when(F.array_contains("common", F.concat_ws(" ", i.cast("string"), s)), s).otherwise("*"))
+    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
+    every = [F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked")]
+    parted = shapes.select("*", F.posexplode("segments").alias("level", "segment")).withColumn("parent", F.array_join(F.slice("segments", F.lit(1), F.col("level")), "/"))
+    here = parted.groupBy("host", "level", "parent", "segment").agg(*sums)
+    below = here.join(here.groupBy("host", "level", "parent").agg(*every), ["host", "level", "parent"]).where(_differs()).select("host", "level", "parent", "segment")
+    level = here.groupBy("host", "level", "segment").agg(*sums)
+    level = level.join(level.groupBy("host", "level").agg(*every), ["host", "level"]).join(on_host, "host")
+    common = level.where(((F.col("n") >= LITERAL_COUNT) & (F.col("n") >= LITERAL_SHARE * F.col("total"))) | _differs()).select("host", "level", "segment")
+    stay = here.select("host", "level", "parent", "segment").join(common, ["host", "level", "segment"], "left_semi").select("host", "level", "parent", "segment")
+    stay = stay.union(below).distinct().withColumn("stays", F.lit(True))
+    named = parted.select("host", "segments", "level", "parent", "segment").join(stay, ["host", "level", "parent", "segment"], "left")
+    part = F.when((F.substring("segment", 1, 1) == "{") | F.col("stays"), F.col("segment")).otherwise("*")
+    listed = named.groupBy("host", "segments").agg(F.sort_array(F.collect_list(F.struct("level", part.alias("part")))).alias("listed"))
+    kept = shapes.join(listed, ["host", "segments"], "left")
+    wild = F.coalesce(F.transform("listed", lambda x: x["part"]), F.array().cast("array<string>"))
     kept = kept.select("host", "segments", wild.alias("template"), "n", "labelled", "blocked")
     prefixes = F.transform(F.sequence(F.lit(0), F.size("template")), lambda i: F.struct(i.alias("level"), F.array_join(F.slice("template", F.lit(1), i), "/").alias("prefix")))
     nodes = kept.select("host", F.explode(prefixes).alias("p"), "labelled", "blocked").groupBy("host", "p.level", "p.prefix").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))

@@ -264,6 +264,16 @@ def test_urls(spark):
     assert url_filter.judge(rows.where("false")).count() == 0
 
 
+def test_urls_deep_and_rare_sections(spark):
+    deep = [f"http://d.net/a/b/c/d/{'spam' if i % 2 else 'news'}/{i}" for i in range(60)]
+    rare = ["bad"] * 12 + [f"ok{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60) for _ in range(3)]
+    hot = [f"http://h.net/{s}/{i}" for i, s in enumerate(rare)] + [f"http://h.net/good/{i}" for i in range(2800)]
+    urls = [(u, int("spam" in u or "/bad/" in u)) for u in deep + hot]
+    rows = spark.createDataFrame([(i, u, bad if i % 2 or i % 4 == 0 else None) for i, (u, bad) in enumerate(urls)], "page_id long, url string, label int")
+    found = {r.page_id: r.verdict for r in url_filter.judge(rows, rules=(), label="label").collect()}
+    assert found == {i: "block" if bad else "allow" for i, (_, bad) in enumerate(urls)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
