@@ -261,4 +261,4 @@ def chars_within(prefixes: bytes, budget: int) -> int:
 
 
 def op4_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_prefixes(table(spark, sf_dir, "documents"), store=False)
+    return token_prefixes(table(spark, sf_dir, "documents"))

@@ -152,6 +152,12 @@ def test_token_counts(spark, odd):
         assert token_counts.chars_within(r.prefixes, 3) == max(i for i, c in enumerate(counts) if c <= 3)
 
 
+def test_token_counts_query_has_prefixes(spark):
+    got = token_counts.op4_prefix_token_counts(spark, SF).limit(20).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert got and all(token_counts.tokens_at(r.prefixes, len(texts[r.doc_id])) == r.n_tokens for r in got)
+
+
 def test_chat(spark):
     texts = ["\\", "\\\\", "###", "#####", "### Assistant: </turn> ok", "<turn>", "\\<turn>", "a\n\n### User:\n<turn>", None, "", "</turn>\n\n", "\\#", "<", "x" * 50_000, "é🙂"]
     rng = random.Random(4)
