@@ -64,6 +64,7 @@ class PrefixCounter:
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
         self.words, self.blank = regex.compile(pattern), regex.compile(r"\s{2,}")
         self.simple = re.compile(_SIMPLE_WORDS) if pattern == _PATTERN else None
+        self.simple_blank = re.compile(r"\s{2,}")
         merges = [tuple(map(as_bytes, m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
         ranks: dict[tuple[bytes, bytes], int] = {}
         for at, pair in enumerate(merges):
@@ -91,6 +92,7 @@ class PrefixCounter:
         self.ending.make_automaton()
         self.fitting: dict[int, bool] = {}
         self.kept: dict[str, tuple[int, ...]] = {}
+        self.kept_deltas: dict[str, bytes] = {}
 
     @staticmethod
     def _made(token: bytes, ranks: dict[tuple[bytes, bytes], int]) -> tuple[bytes, bytes] | None:
@@ -180,6 +182,38 @@ class PrefixCounter:
     def count(self, text: str) -> int:
         return sum(1 if special else self.plain(part) for part, special in self.segments(text))
 
+    def deltas(self, word: str) -> bytes:
+        """What each of a pre-token's characters adds to the count, two bytes each; the beginnings of a contraction are none yet."""
+        found = self.kept_deltas.get(word)
+        if found is None:
+            counts = list(self.steps(word))
+            if word[0] == "'":
+                counts[:-1] = [self.plain(word[:i]) for i in range(1, len(word))]
+            found = np.diff(counts, prepend=0).astype("<i2").tobytes()
+            if len(word) <= KEPT_LENGTH:
+                if len(self.kept_deltas) >= KEPT:
+                    self.kept_deltas.clear()
+                self.kept_deltas[word] = found
+        return found
+
+    def prefix_deltas(self, text: str) -> np.ndarray:
+        """The differences of prefix_counts: a text's are those of its pre-tokens, one after the other, but where white space may end a prefix."""
+        if self.special and self.special.search(text):
+            return np.diff(self.prefix_counts(text)).astype("<i2")
+        simple = self.simple and _SIMPLE.fullmatch(text)
+        kept, deltas = self.kept_deltas.get, self.deltas
+        out = np.frombuffer(b"".join([kept(word) or deltas(word) for word in (self.simple if simple else self.words).findall(text)]), "<i2")
+        runs = list((self.simple_blank if simple else self.blank).finditer(text))
+        if runs:
+            out = out.copy()
+        for run in runs:
+            at, end = run.span()
+            own = np.frombuffer(deltas(run[0]), "<i2")
+            if end < len(out):
+                out[end] += out[at:end].sum() - own.sum()
+            out[at:end] = own
+        return out
+
     def prefix_counts(self, text: str) -> np.ndarray:
         """Entry i: the tokens of text[:i] encoded by itself, i from 0 to the text's length.
 
@@ -238,9 +272,9 @@ def token_prefixes(docs: DataFrame, path: str | None = None, limit: int = LIMIT,
             texts = [t or "" for t in batch.column(1).to_pylist()]
             arrays = [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64())]
             if store:
-                steps = [counts.prefix_counts(t) for t in texts]
-                n = [int(s[-1]) for s in steps]
-                stored = [pa.array([np.diff(s).astype("<i2").tobytes() for s in steps], pa.binary())]
+                steps = [counts.prefix_deltas(t) for t in texts]
+                n = [int(s.sum(dtype=np.int64)) for s in steps]
+                stored = [pa.array([s.tobytes() for s in steps], pa.binary())]
             else:
                 n, stored = [counts.count(t) for t in texts], []
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(n, pa.int64()), pa.array([x > limit for x in n]), *stored], names)
