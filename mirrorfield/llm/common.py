@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +18,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. A local one stands in only where that is unset and there is one machine."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file:///tmp/checkpoints/mirrorfield"
+
+
+#: Folders that hold written tables, by session.
+_written: dict[str, list[str]] = {}
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster shares.
+    """df as a table written to the shared folder and read again, so that lost executors cost no recomputation and plans stay short.
 
-    The folder comes from spark.checkpoint.dir; a local one is set only where that is unset (tests).
+    A table, not checkpoint(): that keeps the plan's constraints, which grow from round to round in loops of joins.
     """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/mirrorfield")
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes the tables that checkpointed wrote; frames that read them must have been written by then."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        removed(spark, path)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -39,10 +70,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0] if len(at) else np.zeros(1, np.int64)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = 1024, size: int = 1 << 25) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, at most so many and, but for single rows, of so many bytes at a time."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+            parts = [batch.slice(at, rows)]
+            while parts:
+                part = parts.pop()
+                if part.num_rows > 1 and part.nbytes > size:
+                    half = part.num_rows // 2
+                    parts += [part.slice(half), part.slice(0, half)]
+                else:
+                    yield part
 
 
 def components(edges: DataFrame) -> DataFrame:

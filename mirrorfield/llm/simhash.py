@@ -4,7 +4,9 @@ A fingerprint's 64 bits form 32 segments of two; the bit counts of the segments
 Manhattan distance of two embeddings never exceeds the number of differing bits, so it bounds the join from below.
 The embedding is cut into six blocks. Embeddings within distance 3 differ in at most three blocks, so they share
 one of the twenty grid cells that fix the coordinates of three blocks: the range join is an equi-join on cells.
-Within a cell the Manhattan bound is tested first, then the differing bits exactly.
+Within a cell the Manhattan bound is tested first, then the differing bits exactly. A cell of many fingerprints is cut
+finer: of four parts of the coordinates that it leaves open one at least is the same, so each part that is fixed too
+gives one of four finer cells.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrorfield.llm import jaccard
@@ -24,8 +26,10 @@ from mirrorfield.llm.common import checkpointed, components, pieces, table
 RADIUS = 3
 #: Segments (of two bits) in each of the six blocks of the embedding.
 BLOCKS = ((0, 5), (5, 10), (10, 15), (15, 20), (20, 26), (26, 32))
-#: Cells of more fingerprints are split by finer cells, which hold 16 ** RADIUS at most.
-CELL_LIMIT = 4096
+#: Cells of more fingerprints are cut finer, DEPTH times; then by their bits, where 16 ** RADIUS fingerprints share a cell at most.
+CELL_LIMIT, DEPTH = 4096, 3
+#: Fewer fingerprints than this can be those of 1 / HEAVY of the rows each.
+HEAVY = 1024
 _CHUNK = 1 << 16
 
 
@@ -66,18 +70,40 @@ def embed(prints: np.ndarray) -> np.ndarray:
     return (a | b) | ((a & b) << np.uint64(1))
 
 
-def _cells(prints: DataFrame) -> DataFrame:
-    """Twenty cells for each fingerprint: (which, cell, fp)."""
+def _masks() -> list[list[list[int]]]:
+    """By level the segments that each cell fixes; cell w of a level is cut into 4 w, ... 4 w + 3 of the next."""
+    levels = [[[i for start, end in chosen for i in range(start, end)] for chosen in combinations(BLOCKS, len(BLOCKS) - RADIUS)]]
+    for _ in range(DEPTH):
+        finer = []
+        for fixed in levels[-1]:
+            open_ = [i for i in range(32) if i not in fixed]
+            finer += [fixed + open_[part :: RADIUS + 1] for part in range(RADIUS + 1)]
+        levels.append(finer)
+    return levels
+
+
+def _lit(segments: list[int]) -> Column:
+    return F.lit(_signed(sum(3 << 2 * i for i in segments)))
+
+
+def _cells(prints: DataFrame, masks: list[list[int]]) -> DataFrame:
+    """The cells of each fingerprint: (which, cell, fp, code)."""
     low = F.lit(0x5555555555555555)
     a, b = F.col("fp").bitwiseAND(low), F.shiftrightunsigned("fp", 1).bitwiseAND(low)
-    coded = prints.withColumn("code", a.bitwiseOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1)))
-    masks = [sum(((1 << 2 * (end - start)) - 1) << 2 * start for start, end in chosen) for chosen in combinations(BLOCKS, len(BLOCKS) - RADIUS)]
-    cells = F.array(*[F.struct(F.lit(i).alias("which"), F.col("code").bitwiseAND(F.lit(_signed(m))).alias("cell")) for i, m in enumerate(masks)])
-    return coded.select(F.explode(cells).alias("c"), "fp").select("c.which", "c.cell", "fp")
+    coded = prints.select("fp", a.bitwiseOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1)).alias("code"))
+    cells = F.array(*[F.struct(F.lit(i).alias("which"), F.col("code").bitwiseAND(_lit(m)).alias("cell")) for i, m in enumerate(masks)])
+    return coded.select(F.explode(cells).alias("c"), "fp", "code").select("c.which", "c.cell", "fp", "code")
+
+
+def _finer(cells: DataFrame, masks: list[list[int]]) -> DataFrame:
+    """Each cell's fingerprints in the four finer cells."""
+    inner = F.sequence(F.col("which") * (RADIUS + 1), F.col("which") * (RADIUS + 1) + RADIUS)
+    of = cells.select(F.explode(inner).alias("which"), "fp", "code")
+    return of.select("which", F.col("code").bitwiseAND(F.get(F.array(*map(_lit, masks)), F.col("which"))).alias("cell"), "fp", "code")
 
 
-def _fine_cells(prints: DataFrame) -> DataFrame:
-    """Cells that fix thirteen of the sixteen groups of four bits: at most 16 ** 3 fingerprints share one."""
+def _bit_cells(prints: DataFrame) -> DataFrame:
+    """Cells that fix thirteen of the sixteen groups of four bits, for fingerprints whose embeddings are all alike."""
     groups = [0xF << 4 * i for i in range(16)]
     masks = [sum(chosen) for chosen in combinations(groups, 16 - RADIUS)]
     listed = F.transform(F.array(*[F.lit(_signed(m)) for m in masks]), lambda m, i: F.struct(i.alias("which"), F.col("fp").bitwiseAND(m).alias("cell")))
@@ -131,20 +157,26 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(cells: DataFrame) -> DataFrame:
-    return cells.repartition("which", "cell").sortWithinPartitions("which", "cell").select("which", "cell", "fp").mapInArrow(_links, "a long, b long").where("a <> b").distinct()
+    return cells.select("which", "cell", "fp").repartition("which", "cell").sortWithinPartitions("which", "cell").mapInArrow(_links, "a long, b long").where("a <> b").distinct()
 
 
 def near_links(prints: DataFrame) -> DataFrame:
     """Links (a, b) between distinct fingerprints fp that connect all that differ in RADIUS bits or fewer.
 
-    Within a cell, spanning links stand for all pairs. Cells of over CELL_LIMIT fingerprints go through finer cells.
+    Within a cell, spanning links stand for all pairs. Cells of over CELL_LIMIT fingerprints are cut finer.
     """
-    cells = _cells(prints)
-    hot = cells.groupBy("which", "cell").count().where(F.col("count") > CELL_LIMIT).select("which", "cell")
-    if not hot.take(1):
-        return _linked(cells)
-    fine = _linked(_fine_cells(cells.join(hot, ["which", "cell"], "left_semi").select("fp").distinct()))
-    return _linked(cells.join(hot, ["which", "cell"], "left_anti")).unionByName(fine)
+    levels = _masks()
+    cells, links = _cells(prints, levels[0]), None
+    for finer in [*levels[1:], None]:
+        hot = checkpointed(cells.groupBy("which", "cell").count().where(F.col("count") > CELL_LIMIT).select("which", "cell"))
+        if not hot.take(1):
+            found = _linked(cells)
+            return found if links is None else links.unionByName(found)
+        cold = checkpointed(_linked(cells.join(hot, ["which", "cell"], "left_anti")))
+        links = cold if links is None else links.unionByName(cold)
+        cells = checkpointed(cells.join(hot, ["which", "cell"], "left_semi"))
+        cells = _finer(cells, finer) if finer else _bit_cells(cells.select("fp").distinct())
+    return links.unionByName(_linked(cells))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -155,11 +187,16 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     Other columns are ignored; no rows give no rows.
     """
     prints = checkpointed(fingerprints(docs, width))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")))
     roots = components(near_links(nodes.select("fp"))).withColumnRenamed("node", "fp")
-    named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = checkpointed(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     of_root = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return prints.join(named.join(of_root, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    by_fp = checkpointed(named.join(of_root, "root").select("fp", "component_id", "n"))
+    # the fingerprints that very many rows share, fewer than HEAVY, meet their rows where those lie
+    heavy = F.broadcast(by_fp.where(F.col("n") * HEAVY > by_fp.agg(F.sum("n")).scalar()).drop("n"))
+    most = prints.join(heavy, "fp").select("doc_id", "fp", "component_id")
+    rest = prints.join(heavy, "fp", "left_anti").join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return most.unionByName(rest)
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -167,15 +204,20 @@ def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
 
     The row with the smallest doc_id stays, null ids last, ties by the set and a hash of the whole row. Rows are told apart by
     doc_id and that hash, so different texts under one doc_id, or under none, each have a verdict of their own; of rows equal
-    in all columns one stays. A fingerprint isn't used: 64 bits don't bound a similarity of 0.8.
+    in all columns one stays. Texts without words are one component. A fingerprint isn't used: 64 bits don't bound a similarity of 0.8.
     """
-    sets = checkpointed(jaccard.shingle_sets(docs, width))
-    found = sets.drop("shingles").join(jaccard.roots(sets), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    links = jaccard.Links(docs, width)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "row")
-    kept = found.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("_id"), F.col("o.row").alias("_kept"))
+    # one row a key before anything is joined: copies may be many
+    first = links.found.groupBy("key").agg(F.min(order).alias("o"))
+    named = first.join(links.roots(), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    kept = named.groupBy("root").agg(F.min("o").alias("o")).select("o.doc_id", "o.row").withColumn("stays", F.lit(True))
+    kept = links.found.select("doc_id", "row").distinct().alias("f").join(kept.alias("k"), F.col("f.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("f.row") == F.col("k.row")), "left")
+    gone = checkpointed(kept.where("stays is null").select(F.col("f.doc_id").alias("_id"), F.col("f.row").alias("_gone")))
+    gone = F.broadcast(gone) if gone.count() <= jaccard.BROADCAST_KEYS else gone
     rows = docs.withColumn("_row", jaccard.whole_row(docs))
-    stay = rows.join(kept.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_kept")), "left_semi")
-    repeated = sets.groupBy("doc_id", "row").count().where("count > 1").take(1)
+    stay = rows.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_gone")), "left_anti")
+    repeated = links.found.groupBy("doc_id", "row").count().where("count > 1").take(1)
     return (stay.dropDuplicates(["doc_id", "_row"]) if repeated else stay).drop("_row")
 
 

@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from mirrorfield.llm import chat, decontaminate, licenses, mixing, simhash, suffix_dedup, token_counts, topk, toxicity, url_filter
@@ -54,13 +56,21 @@ def test_suffix_dedup_odd(spark, odd):
     assert suffix_dedup.remove_repeats(odd.where("false")).count() == 0
 
 
+def plain_fingerprint(text, width=3):
+    """From the contract's words, bit by bit."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] if len(words) >= width else [" ".join(words)] * bool(words)
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+
 def test_simhash(spark):
     rng = random.Random(5)
     base = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 80))) for _ in range(25)]
-    texts = base + [b.replace("a", "A", 1) for b in base] + [b + " zz" for b in base] + ["", None]
+    texts = base + [b.replace("a", "A", 1) for b in base] + [b + " zz" for b in base] + ["", None, "\u00c4 \u00a0x\x0by\tz\x1fq"]
     got = simhash.near_duplicates(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
     prints = {r.doc_id: r.fp & (2**64 - 1) for r in got}
-    assert prints == {i: simhash.fingerprint((t or "").encode()) for i, t in enumerate(texts)}
+    assert prints == {i: plain_fingerprint(t) for i, t in enumerate(texts)}
     least = {i: i for i in prints}
     changed = True
     while changed:
@@ -82,11 +92,23 @@ def test_simhash_cells_lose_nothing():
         assert np.bitwise_count(e[0] ^ e[1]) <= 3
 
 
-def test_simhash_fine_cells(spark, monkeypatch):
-    rows = spark.createDataFrame([(i,) for i in (0, 1, 3, 7, 15, 31, 1 << 60, 0x7777)], "fp long")
-    want = {(r.node, r.root) for r in simhash.components(simhash.near_links(rows)).collect()}
-    monkeypatch.setattr(simhash, "CELL_LIMIT", 2)
-    assert {(r.node, r.root) for r in simhash.components(simhash.near_links(rows)).collect()} == want
+@pytest.mark.parametrize("limit", [2, 40])
+def test_simhash_finer_cells(spark, monkeypatch, limit):
+    rng = random.Random(1)
+    some = [0, 1, 3, 7, 15, 31, 1 << 60, 0x7777]
+    for _ in range(60):
+        x = rng.choice(some)
+        for _ in range(rng.randint(1, 4)):
+            x ^= 1 << rng.randrange(64)
+        some.append(x)
+    some = sorted({simhash._signed(x & (2**64 - 1)) for x in some})
+    root = dict(zip(some, some))
+    for _ in some:
+        for x in some:
+            root[x] = min(root[y] for y in some if ((x ^ y) & (2**64 - 1)).bit_count() <= 3)
+    monkeypatch.setattr(simhash, "CELL_LIMIT", limit)
+    found = simhash.components(simhash.near_links(spark.createDataFrame([(x,) for x in some], "fp long"))).collect()
+    assert dict(zip(some, some)) | {r.node: r.root for r in found} == root
 
 
 def test_simhash_odd(spark, odd):
@@ -104,11 +126,14 @@ def test_keep_one_decides_by_row(spark):
     assert got == sorted([(0, texts[0]), (0, texts[1]), (7, texts[2]), (8, texts[3]), (8, texts[4]), (8, texts[5])])
 
 
-@pytest.mark.parametrize("limit", [64, 3])
-def test_keep_one_near_copies(spark, monkeypatch, limit):
+@pytest.mark.parametrize(("limit", "block"), [(64, 1024), (2, 1024), (2, 3)])
+def test_keep_one_near_copies(spark, monkeypatch, limit, block):
     from mirrorfield.llm import jaccard
 
     monkeypatch.setattr(jaccard, "GROUP_LIMIT", limit)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "SAMPLE", 2)
+    monkeypatch.setattr(jaccard, "TASK_ROWS", 8)
     rng = random.Random(8)
     base = [[rng.choice("abcdefghijkl") * rng.randint(1, 4) for _ in range(rng.randint(3, 120))] for _ in range(30)]
     common = [f"c{i}" for i in range(40)]
