@@ -4,18 +4,22 @@ Texts are byte strings; positions are ordered by (doc_id, offset). A byte goes i
 covers it also starts earlier. Suffixes are sampled: of each LENGTH-byte window the suffix whose first GRAM bytes
 hash lowest, so equal windows hold equal samples at equal offsets and none is missed.
 
-1. Initial buckets: sampled suffixes with the same first GRAM bytes. Buckets of one suffix are closed.
-2. Refinement: a bucket whose runs, all windows of a sample with their bytes, are all the same is closed: what is not its first
-   is a repeat. Within the other buckets, windows are sorted on the identifiers that their later and earlier offsets have,
-   hashes of all LENGTH bytes around the sample, taken from one table of prefix hashes a text. A refined bucket's
-   pointer is its first position; a window whose pointer is not its own position is a repeat.
+1. Initial buckets: sampled suffixes with the same first GRAM bytes, each with its run, all windows of that sample.
+   Buckets of one suffix are closed; so are small ones whose runs are all the same: what is not the first is a repeat.
+2. Refinement: positions of the other buckets' runs start in buckets of equal 8-byte strings and are sorted again and
+   again on two identifiers, that of their own bucket and that of the bucket of a later offset; so buckets of
+   8 bytes give those of 16, these those of 32, of 64 and of LENGTH, each round using the updated identifiers of the
+   one before. Positions alone in their bucket, or before such a one, are closed and sorted no more. A last
+   bucket's pointer is its first position; a window whose pointer is not its own position is a repeat.
 3. Repeats are unions of windows, so what goes of each text is a union of intervals.
 
-Buckets of up to BUCKET_LIMIT suffixes are refined whole in one task. Windows of larger buckets are dealt out by the
-refined identifier itself, each batch of texts sending the first window of an identifier only, so a passage that a
-third of all texts share never meets in one task. The largest buckets are dealt out before their size is joined to them.
+Buckets of up to BUCKET_LIMIT suffixes are refined whole in one task. Those of more are refined within each batch of
+texts, and the pointer of each refined bucket is dealt out with its bytes, so a passage that a third of all texts
+share never meets in one task. The largest buckets are dealt out before their size is joined to them.
 
-Identifiers are 64-bit hashes; the texts themselves move once, compressed, to be looked at and to be cut.
+Refinement starts from bytes, so it is exact; windows that are dealt out are compared byte by byte. A small bucket is
+closed at once by a 64-bit hash of whole runs, on top of that of their first GRAM bytes; bytes are not compared there.
+The texts themselves move once, compressed, to be looked at and to be cut.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,7 +40,8 @@ LENGTH = 100
 GRAM = 20
 BUCKET_LIMIT = 2048
 HEAVY = 1024
-SALTS = 64
+#: Suffixes of a large bucket that are dealt out together.
+SALT_ROWS = 1024
 _BITS = 18
 _BUFFER = 1 << _BITS
 _LEFT = 7
@@ -108,12 +114,59 @@ def sampled(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tup
         first = np.flatnonzero(np.r_[True, (sample[1:] != sample[:-1]) | (starts[1:] != starts[:-1] + 1)])
         last = np.r_[first[1:], len(starts)] - 1
         # the same bytes with the sample at the same place; a run of another length ends in other bytes or has another hash
-        run = _hashes(prefix, starts[first], starts[last] + length) + (sample[first] - starts[first]).astype(np.uint64) * np.uint64(_BASE) + (starts[last] - starts[first]).astype(np.uint64)
+        run = _run_hashes(raw[lo:hi], starts[first], starts[last] + length, sample[first] - starts[first])
         for have, add in zip(out, (grams[sample[first]].view(np.int64), sample[first] + lo, starts[first] + lo, starts[last] + lo, run.view(np.int64))):
             have.append(add)
     return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
 
 
+def _run_hashes(raw: np.ndarray, at: np.ndarray, end: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    digest, view = xxhash.xxh3_64_intdigest, memoryview(np.ascontiguousarray(raw))
+    return np.fromiter((digest(view[a:b], s) for a, b, s in zip(at.tolist(), end.tolist(), seed.tolist())), np.uint64, len(at))
+
+
+def refined(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The positions whose length bytes stand more than once in raw, and the identifiers of their buckets: equal strings, equal identifiers.
+
+    Exact: the first buckets are those of equal bytes, the others those of equal pairs of identifiers.
+    """
+    n, width = len(raw), min(8, length)
+    raw = np.r_[raw, np.zeros(8, np.uint8)]
+    keys = np.empty(n + 8, np.uint64)
+    for k in range(8):
+        part = np.frombuffer(raw, "<u8", (len(raw) - k) // 8, k)
+        keys[k : k + 8 * len(part) : 8] = part
+    at = np.arange(max(n - width + 1, 0))
+    keys = keys[: len(at)] & np.uint64((1 << 8 * width) - 1)
+    ids, open_ = np.zeros(n + 1, np.uint64), np.zeros(n + 1, bool)
+    while True:
+        order = np.argsort(keys)
+        ordered = keys[order]
+        new = np.r_[True, ordered[1:] != ordered[:-1], True][: len(ordered) + 1]
+        several = ~(new[:-1] & np.r_[new[1:-1], True][: len(ordered)])
+        at, bucket = at[order[several]], np.cumsum(new[:-1])[several].astype(np.uint64)
+        if width == length:
+            return at, bucket.astype(np.int64)
+        open_[:] = False
+        open_[at], ids[at] = True, bucket
+        step = min(width, length - width)
+        at = at[at + step + width <= n]
+        at = at[open_[at + step]]
+        keys = ids[at] << np.uint64(32) | ids[at + step]
+        width += step
+
+
+def again_of(raw: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Which of the windows that start there hold the bytes of one before, in the order given."""
+    at, bucket = refined(raw, length)
+    of = np.full(len(raw) + 1, -1, np.int64)
+    of[at] = bucket
+    ids = of[starts]
+    out = ids >= 0
+    out[out] = _repeats(ids[out])
+    return out
+
+
 def _owner(offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.searchsorted(offsets, at, side="right") - 1
 
@@ -157,6 +210,12 @@ def _window_ids(raw: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def _cuts(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The strings of raw that start there, of these sizes."""
+    inside, _ = _spread(at, size)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw[inside]))])
+
+
 def _batches(arrays: dict[str, pa.Array], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
     whole = pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
     for at in range(0, whole.num_rows, rows):
@@ -211,10 +270,7 @@ class _Scheme:
             cold = np.flatnonzero(~hot)
             sample = offsets[doc[cold]] + start[cold] + (places[cold] >> _RIGHT & ((1 << _LEFT) - 1))
             add(1, self.grams(raw, sample), doc[cold], start[cold], many[cold])
-            begin = offsets[doc[cold]] + start[cold]
-            size = many[cold] + self.length - 1
-            inside, _ = _spread(begin, size)
-            spans.append(pa.BinaryArray.from_buffers(pa.binary(), len(cold), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw[inside]))]))
+            spans.append(_cuts(raw, offsets[doc[cold]] + start[cold], many[cold] + self.length - 1))
             if hot.any():
                 which = np.flatnonzero(hot)
                 at, of = _spread(start[which], many[which])
@@ -223,13 +279,13 @@ class _Scheme:
                 ascending = np.argsort(flat, kind="stable")
                 ids = np.empty(len(flat), np.int64)
                 ids[ascending] = _window_ids(raw, flat[ascending], self.length).view(np.int64)
-                again = _repeats(ids)
+                again = again_of(raw, flat, self.length)
                 new = np.r_[True, (at[1:] != at[:-1] + 1) | (d[1:] != d[:-1])]
                 a, b = _runs(again, new)
                 add(0, _mixed(d[a], a), d[a], at[a], at[b] - at[a] + self.length)
                 one = np.flatnonzero(~again)
                 add(2, ids[one], d[one], at[one], np.full(len(one), self.length))
-                spans.append(pa.nulls(len(a) + len(one), pa.binary()))
+                spans += [pa.nulls(len(a), pa.binary()), _cuts(raw, flat[one], np.full(len(one), self.length))]
             got = {k: np.concatenate(v) for k, v in out.items()}
             doc = pa.array(got.pop("doc"))
             yield from _batches({"kind": pa.array(got["kind"]), "bucket": pa.array(got["bucket"]), "key": batch.column(0).take(doc), "rn": batch.column(1).take(doc), "start": pa.array(got["start"]), "size": pa.array(got["size"]), "span": pa.concat_arrays(spans)}, 4096)
@@ -245,7 +301,8 @@ class _Scheme:
 
         Whole buckets of kind 1 are solved as they end; one bucket of at most limit runs is carried on.
         """
-        before: tuple[int, int] | None = None
+        bucket: int | None = None
+        seen: set[bytes] = set()
         held: pa.Table | None = None
         names = ["key", "rn", "a", "b"]
         for batch in batches:
@@ -256,10 +313,15 @@ class _Scheme:
                 yield pa.RecordBatch.from_arrays([plain.column(2), plain.column(3), pa.array(a), pa.array(a + plain.column(5).to_numpy())], names)
             single = batch.filter(pa.array(kind == 2))
             if single.num_rows:
-                ids = single.column(1).to_numpy()
-                again = np.r_[before == (2, ids[0]), ids[1:] == ids[:-1]]
-                before = (2, ids[-1])
-                gone = single.filter(pa.array(again))
+                again = []
+                # a bucket is of one hash; its windows are mostly one string, which seen holds
+                for own, window in zip(single.column(1).to_pylist(), single.column(6).to_pylist()):
+                    if own != bucket:
+                        bucket = own
+                        seen.clear()
+                    again.append(window in seen)
+                    seen.add(window)
+                gone = single.filter(pa.array(again, pa.bool_()))
                 a = gone.column(4).to_numpy()
                 yield pa.RecordBatch.from_arrays([gone.column(2), gone.column(3), pa.array(a), pa.array(a + self.length)], names)
             runs = batch.filter(pa.array(kind == 1))
@@ -278,9 +340,8 @@ class _Scheme:
         raw, offsets = text_bytes(rows.column(6))
         many = rows.column(5).to_numpy()
         at, of = _spread(offsets[:-1], many)
-        ids = _window_ids(raw, at, self.length)
         new = np.r_[True, of[1:] != of[:-1]]
-        a, b = _runs(_repeats(ids), new)
+        a, b = _runs(again_of(raw, at, self.length), new)
         if len(a):
             row = of[a]
             start = rows.column(4).to_numpy()[row] + at[a] - offsets[row]
@@ -348,12 +409,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     samples = docs.select("key", "rn", "text").mapInArrow(scheme.samples, "gram long, run long, key long, rn int, place long")
     samples = samples.where("gram is not null")  # as every join would add: so all counts are one shuffle, used again
     shared = samples.groupBy("gram").count().where("count > 1")
-    # fewer than HEAVY buckets can hold over 1 / HEAVY of the suffixes each: those are dealt to SALTS tasks
+    # fewer than HEAVY buckets can hold over 1 / HEAVY of the suffixes each: those are dealt out, SALT_ROWS together
     heavy = shared.where((F.col("count") > bucket_limit) & (F.col("count") > shared.agg(F.sum("count")).scalar() / HEAVY))
-    salted = samples.join(F.broadcast(heavy.select("gram", F.lit(SALTS).alias("salts"))), "gram", "left")
-    salted = salted.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("key", "place"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
-    copies = shared.join(F.broadcast(heavy.select("gram", F.lit(SALTS).alias("salts"))), "gram", "left")
-    copies = copies.select("gram", "count", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    salted = samples.join(F.broadcast(heavy.select("gram", F.ceil(F.col("count") / SALT_ROWS).alias("salts"))), "gram", "left")
+    salted = salted.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("key", "place"), F.col("salts")), F.lit(0))).drop("salts")
+    copies = shared.join(F.broadcast(heavy.select("gram", F.ceil(F.col("count") / SALT_ROWS).alias("salts"))), "gram", "left")
+    copies = copies.select("gram", "count", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
     # a small bucket whose runs are all the same is closed at once: all but its pointer, the first, are repeats
     bucket = Window.partitionBy("gram", "salt", "part")
     joined = salted.join(copies, ["gram", "salt"]).withColumn("part", F.when(F.col("count") > bucket_limit, F.pmod(F.xxhash64("key", "place"), F.lit(1 << 20))).otherwise(-1))
