@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -48,6 +49,31 @@ def test_suffix_dedup(spark):
         assert {r.doc_id: (bytes(r.kept), len(r.starts)) for r in got} == wanted
 
 
+def test_refined_is_exact():
+    rng = random.Random(9)
+    for length in (1, 5, 8, 20, 33, 100):
+        text = "".join(rng.choice("ab") for _ in range(300)) * 2 + "x" * 150 + "".join(rng.choice("abc") for _ in range(200))
+        raw = np.frombuffer(text.encode(), np.uint8)
+        at, bucket = suffix_dedup.refined(raw, length)
+        strings = [text[i : i + length] for i in range(len(text) - length + 1)]
+        often = {s for s in strings if strings.count(s) > 1}
+        assert sorted(at) == [i for i, s in enumerate(strings) if s in often]
+        assert len({(b, strings[i]) for i, b in zip(at, bucket)}) == len(often) == len(set(bucket))
+
+
+def test_equal_hashes_of_different_bytes_remove_nothing():
+    """Window identifiers that are all the same: what is dealt out by them is still compared byte by byte."""
+    scheme = suffix_dedup._Scheme(100, 20, 2)
+    rng = random.Random(3)
+    windows = ["".join(rng.choice("ab") for _ in range(100)).encode() for _ in range(4)]
+    rows = [(2, 7, k, 0, 10 * k, 100, windows[w]) for k, w in enumerate([0, 1, 2, 1, 3, 0])] + [(2, 8, 9, 0, 0, 100, windows[0])]
+    names = ["kind", "bucket", "key", "rn", "start", "size", "span"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows])
+    for batches in ([batch], [batch.slice(0, 4), batch.slice(4)]):
+        got = [r for b in scheme.refine(iter(batches)) for r in b.to_pylist()]
+        assert [(r["key"], r["a"], r["b"]) for r in got] == [(3, 30, 130), (5, 50, 150)]
+
+
 def test_suffix_dedup_odd(spark, odd):
     got = suffix_dedup.remove_repeats(odd, keep=["more", "lang"])
     assert got.count() == 10
@@ -212,6 +238,31 @@ def test_top_k(spark, seed):
     assert topk.top_k(topk.integer_vectors(rows.where("false"))).count() == 0
 
 
+@pytest.mark.parametrize("large", [2**24, 2**27, 2**31 - 4])
+def test_top_k_of_large_components(spark, large, monkeypatch):
+    """Beyond what 32-bit floats hold, beyond what sums of doubles hold, many equal vectors, several lengths, ties."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(large)
+    wide = 2 if large < 2**30 else 1
+    x = [[int(v) for v in large + rng.integers(-3, 4, wide)] for _ in range(120)] + [[large] * wide] * 60 + [[0.0]] * 5 + [[]] * 3
+    rows = spark.createDataFrame([(i, [float(v) / 256 for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(topk.integer_vectors(rows), every=10, pivots=4, sample=50).collect())
+    wanted = []
+    for q in range(0, len(x), 10):
+        best = sorted((-sum(int(a) * int(b) for a, b in zip(x[q], r)), i) for i, r in enumerate(x) if i != q and len(r) == len(x[q]) > 0)[:5]
+        wanted += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == wanted
+
+
+def test_products_are_exact():
+    rng = np.random.default_rng(3)
+    for top in (10, 2**28, 2**31):
+        q, x = rng.integers(-top, top, (3, 2)), rng.integers(-top, top, (4, 2))
+        assert topk.products(q, x).tolist() == [[sum(int(a) * int(b) for a, b in zip(u, v)) for v in x] for u in q]
+    with pytest.raises(OverflowError):
+        topk.products(np.array([[2**40]]), np.array([[2**40]]))
+
+
 def test_mixing(spark, odd):
     slots = mixing.rounded({"a": 3, "b": 1, "c": 1.7, "d": 0.2}, 128)
     had = dict.fromkeys(slots, 0)
