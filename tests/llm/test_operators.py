@@ -1,6 +1,8 @@
 """Each operator against a brute-force version, and on awkward rows."""
 
+import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -325,6 +327,100 @@ def test_decontaminate_names_that_open_sentences(spark):
     assert got == {1: [1], 2: [1], 3: [], 4: [2], 5: []}
 
 
+def test_decontaminate_judges_each_copy(spark):
+    ask = "so {} has {} apples and {} gives him {} kg more , how many apples does {} have now ?"
+    b = spark.createDataFrame([(7, ask.format("Jim", 3, "Sue", 2, "Jim"))], "item_id long, text string")
+    good, bad, one = ask.format("Bob", 7, "Eve", 8, "Bob"), ask.format("Al", 7, "Eve", 8, "Joe"), ask.format("Bob", 7, "Bob", 8, "Bob")
+    rows = [(1, good + " " + bad, "s"), (2, bad + " " + good, "s"), (3, bad, "s"), (4, one, "s"), (5, good + " " + good, "s"), (6, bad + " " + bad, "s")]
+    rows += [(7, ask.format("Bob", 7, "Eve", 7, "Bob"), "s"), (8, ask.format("Mary Ann Lee", 7, "Eve", 8, "Mary Ann Lee"), "s")]
+    rows += [(9, good, "s"), (9, "another text", "s"), (None, good, "s"), (None, "no item", "s"), (None, None, "s")]
+    # half of the item in one place and half in another are no copy
+    rows.append((10, good[: len(good) // 2] + " filler" * 30 + " " + good[len(good) // 2 :], "s"))
+    found = decontaminate.contaminated(docs(spark, rows), b).collect()
+    assert {r.doc_id for r in found if r.contaminated} - {8} == {1, 2, 5, 7, 9, None}
+    assert sum(r.contaminated for r in found if r.doc_id in (9, None)) == 2 and len(found) == len(rows)
+    left = decontaminate.clean(docs(spark, rows), b)
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.where("doc_id is null or doc_id = 9").collect()) == [(0, ""), (0, "no item"), (9, "another text")]
+    assert left.columns == docs(spark, rows).columns
+
+
+def plain_terms(text):
+    """(type, value) of each term: words, numbers (d), units after them (u), names (n) and openers (o), by hand."""
+    out, units = [], set(decontaminate.UNITS)
+    for m in re.finditer(r"\d+(?:[.,]\d+)*|[^\W\d_]+", text):
+        t, before = m[0], text[: m.start()]
+        if t[0].isdigit():
+            out.append(("d", t))
+        elif out and out[-1][0] == "d" and t.lower() in units and re.search(r"\d ?$", before):
+            out.append(("u", t.lower()))
+        elif t[0].isupper():
+            out.append(("n" if re.search(r"[a-z\d,;:] $", before) else "o", t.lower()))
+        else:
+            out.append(("w", t.lower()))
+    return out
+
+
+def plain_holds(text, item, width=5):
+    """The docstring's rule, over all pairs of windows and all copies."""
+    d, q = plain_terms(text), plain_terms(item)
+    width = min(width, len(q))
+
+    def choices(terms):
+        sets = [{(k, v)} if k == "w" else {("w", v), ("n", "")} if k == "o" else {(k, "")} for k, v in terms]
+        return set(itertools.product(*sets))
+
+    word = lambda terms: tuple(("w", v) if k in "ow" else (k, "") for k, v in terms)
+    ours = [choices(q[i : i + width]) for i in range(len(q) - width + 1)]
+    total = len({word(q[i : i + width]) for i in range(len(ours))})
+    hits = [(i, j) for j in range(len(d) - width + 1) for i, c in enumerate(ours) if c & choices(d[j : j + width])]
+    diagonals, runs = sorted({j - i for i, j in hits}), []
+    for x in diagonals:
+        if runs and x - runs[-1][-1] <= 3:
+            runs[-1].append(x)
+        else:
+            runs.append([x])
+    kind = lambda k: "n" if k == "o" else k
+    opens = {v: all(k == "o" for k, w in q if w == v and k != "w") for k, v in q if k != "w"}
+    for copy in [[x] for x in diagonals] + runs:
+        mine = [(i, j) for i, j in hits if j - i in copy]
+        if len({word(q[i : i + width]) for i, _ in mine}) < 0.8 * total:
+            continue
+        places = {(i + k, j + k) for i, j in mine for k in range(width)}
+        pairs = [(kind(q[a][0]), q[a][1], d[b][1]) for a, b in places if q[a][0] != "w" and kind(q[a][0]) == kind(d[b][0]) and not (opens[q[a][1]] and q[a][1] == d[b][1])]
+
+        def share(pairs, by):
+            groups = {}
+            for p in pairs:
+                groups.setdefault((p[0], p[by]), collections.Counter())[p[3 - by]] += 1
+            groups = [g for g in groups.values() if sum(g.values()) > 1]
+            return sum(max(g.values()) for g in groups) / sum(sum(g.values()) for g in groups) if groups else 1
+
+        if share(pairs, 1) >= 0.8 and share([p for p in pairs if p[0] == "n"], 2) >= 0.8:
+            return True
+    return False
+
+
+def test_decontaminate_against_brute_force(spark):
+    rng = random.Random(12)
+    pool = ["Jim", "Sue", "Bob", "3", "4 kg", "2.5", "apples", "gives", "has", "to", "and", "the", "boy", "reads"]
+
+    def text(n):
+        parts = [rng.choice(pool) for _ in range(n)]
+        return " ".join(p + rng.choice(["", "", "", ".", ",", " \""]) for p in parts)
+
+    items = [text(rng.randint(1, 14)) for _ in range(12)]
+    texts = []
+    for item in items:
+        for _ in range(8):
+            swap = dict(zip(["Jim", "Sue", "Bob", "3", "apples"], rng.sample(["Al", "Zoe", "Jim", "Sue", "7", "pears", "Eve"], 5))) if rng.random() < 0.7 else {}
+            copies = [re.sub(r"\w+", lambda m: swap.get(m[0], m[0]) if rng.random() < 0.9 else m[0], item) for _ in range(rng.randint(1, 3))]
+            texts.append(rng.choice([" ", ". ", " and "]).join([text(rng.randint(0, 6)), *copies, text(rng.randint(0, 6))]).strip())
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r.doc_id: list(r["items"]) for r in decontaminate.contaminated(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), b).collect()}
+    want = {i: [k for k, item in enumerate(items) if plain_holds(t, item)] for i, t in enumerate(texts)}
+    assert 10 < sum(map(len, want.values())) and got == want
+
+
 def test_licenses(spark, odd):
     model = licenses.train(odd)
     rows = [(1, "foo\nReleased under the MIT License.\nbar", "s"), (2, "Licensed under CC BY-NC 4.0.", "s"), (3, "the license of the software is unclear", "s"), (4, None, "s"), (None, "Licensed under the Apache License, Version 2.0.", "s")]
