@@ -59,6 +59,16 @@ def clear(spark: SparkSession) -> None:
         removed(spark, path)
 
 
+def join_skewed(rows: DataFrame, of: DataFrame, key: str, n: str, heavy: int = 1024) -> DataFrame:
+    """rows joined with of, a row per key that counts the key's rows in column n, which is dropped.
+
+    Keys that have over 1 / heavy of all rows each, fewer than heavy, are broadcast to where their rows lie; the others meet by shuffling.
+    """
+    of = checkpointed(of)
+    many = F.broadcast(of.where(F.col(n) * heavy > of.agg(F.sum(n)).scalar()).drop(n))
+    return rows.join(many, key).unionByName(rows.join(many.select(key), key, "left_anti").join(of.drop(n), key))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts of an Arrow string or binary column as one uint8 array, and n + 1 offsets. Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -21,15 +21,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrorfield.llm import jaccard
-from mirrorfield.llm.common import checkpointed, components, pieces, table
+from mirrorfield.llm.common import checkpointed, components, join_skewed, pieces, table
 
 RADIUS = 3
 #: Segments (of two bits) in each of the six blocks of the embedding.
 BLOCKS = ((0, 5), (5, 10), (10, 15), (15, 20), (20, 26), (26, 32))
 #: Cells of more fingerprints are cut finer, DEPTH times; then by their bits, where 16 ** RADIUS fingerprints share a cell at most.
 CELL_LIMIT, DEPTH = 4096, 3
-#: Fewer fingerprints than this can be those of 1 / HEAVY of the rows each.
-HEAVY = 1024
 _CHUNK = 1 << 16
 
 
@@ -191,12 +189,8 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     roots = components(near_links(nodes.select("fp"))).withColumnRenamed("node", "fp")
     named = checkpointed(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     of_root = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_fp = checkpointed(named.join(of_root, "root").select("fp", "component_id", "n"))
-    # the fingerprints that very many rows share, fewer than HEAVY, meet their rows where those lie
-    heavy = F.broadcast(by_fp.where(F.col("n") * HEAVY > by_fp.agg(F.sum("n")).scalar()).drop("n"))
-    most = prints.join(heavy, "fp").select("doc_id", "fp", "component_id")
-    rest = prints.join(heavy, "fp", "left_anti").join(by_fp, "fp").select("doc_id", "fp", "component_id")
-    return most.unionByName(rest)
+    by_fp = named.join(of_root, "root").select("fp", "component_id", "n")
+    return join_skewed(prints, by_fp, "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:

@@ -281,6 +281,47 @@ def test_mixing(spark, odd):
     assert mixing.mix(many.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("most", [1024, 3])
+def test_mixing_against_brute_force(spark, most):
+    rng = random.Random(most)
+    names = ["a", "b", "c", "d", "e", "f", None]
+    rows = [(i if i % 9 else None, f"t{i % 50}", rng.choices(names, [40, 20, 9, 5, 3, 2, 1])[0]) for i in range(700)]
+    weights = {"a": 5, "b": 2.5, "c": 4, "d": 1}
+    frame, period, block = docs(spark, rows), 32, 3
+    got = mixing.mix(frame, weights, block=block, period=period, most=most).collect()
+    assert sorted((r.doc_id or 0, r.text, r.source or "") for r in got) == sorted((i or 0, t, s or "") for i, t, s in rows)
+    # weights in whole slots, by hand: each source's, or of all but the two largest together
+    have = {s or "" for _, _, s in rows}
+    target = {s: weights.get(s, 1) for s in have}
+    unit = dict.fromkeys(have, "~")
+    for s in sorted(have, key=lambda s: (-target[s], s))[: most - 1 if len(have) > most else most]:
+        unit[s] = s
+    sums = collections.Counter()
+    for s in sorted(have):
+        sums[unit[s]] += target[s]
+    slots = mixing.rounded(dict(sorted(sums.items())), period)
+    assert all(abs(slots[s] - sums[s] * period / sum(sums.values())) < 1 or slots[s] == 1 for s in sums)
+    # slot by slot the released block with the earliest deadline, by search
+    where, done = {}, collections.Counter()
+    for t in range(period * 40):
+        ready = [(-(-(done[s] + 1) * period // n), s) for s, n in slots.items() if done[s] * period // n <= t]
+        _, s = min(ready)
+        where[s, done[s]] = t
+        done[s] += 1
+    for r in got:
+        assert r.mix_slot == where[unit[r.mix_source], r.mix_block]
+    places = collections.defaultdict(list)
+    for r in got:
+        places[unit[r.mix_source]].append(r.mix_block * block + r.mix_offset)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    if most == 3:  # the pool's sources keep their ratio
+        pool = sorted((r.mix_block * block + r.mix_offset, r.mix_source) for r in got if unit[r.mix_source] == "~")
+        left = collections.Counter(s for _, s in pool)
+        for k in range(1, len(pool) // 2):
+            had = collections.Counter(s for _, s in pool[:k])
+            assert max((had[s] - 1) / target[s] for s in left) <= min((had[s] + 1) / target[s] for s in left if had[s] < left[s])
+
+
 def test_toxicity(spark, odd):
     rng = random.Random(6)
     words = [f"{a}{b}" for a in "bcdfg" for b in "aeiou"]
