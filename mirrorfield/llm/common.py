@@ -59,8 +59,8 @@ def clear(spark: SparkSession) -> None:
         removed(spark, path)
 
 
-def join_skewed(rows: DataFrame, of: DataFrame, key: str, n: str, heavy: int = 1024) -> DataFrame:
-    """rows joined with of, a row per key that counts the key's rows in column n, which is dropped.
+def join_skewed(rows: DataFrame, of: DataFrame, key: str | list[str], n: str, heavy: int = 1024) -> DataFrame:
+    """rows joined with of, a row per key, of one or more columns, that counts the key's rows in column n, which is dropped.
 
     Keys that have over 1 / heavy of all rows each, fewer than heavy, are broadcast to where their rows lie; the others meet by shuffling.
     """

@@ -3,13 +3,16 @@ r"""URL filters: rules, and a path-template tree for the urls that no rule cover
 1. A path's segments become template segments: digits N, hexadecimal runs H, words with digits in them V; other
    segments stay as they are if they are common on their host or their blocked share differs significantly from their
    siblings', at their level or below the same parent; else they become the wildcard *. All segments count.
-2. Per host the templates' prefixes form a tree; each node counts urls and labelled urls that are blocked.
-3. Branches are merged across hosts: nodes of the same template whose blocked shares do not differ significantly
-   from the template's share over all hosts share one count; the others stay apart.
+2. Branches are merged: of the segments that stay below a parent, in the order of their blocked shares, neighbours on
+   the same side of the purity at which templates are rejected become one branch unless their shares differ
+   significantly. It is named ~ and its first segment.
+3. Per host the templates' prefixes form a tree; each node counts labelled urls and those of them that are blocked.
+   Nodes of the same template on several hosts share one count unless a host's share differs significantly from it.
 4. A template is rejected if its purity, the blocked share smoothed towards its parent's, reaches a threshold. The
    deepest node with enough labels speaks.
 
-Labels are the verdicts of the rules on the urls that they cover, or any column that the caller names.
+Labels are the verdicts of the rules on the urls that they cover, or any column that the caller names. Nodes are told
+by 64-bit hashes of their paths from the root, so paths of any length have one row a level.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mirrorfield.llm.common import table
+from mirrorfield.llm.common import checkpointed, join_skewed, table
 
 #: (host, path, verdict) of the query.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -66,13 +69,38 @@ def _typed(segment: Column) -> Column:
     )
 
 
+def _apart(labelled: Column, blocked: Column, others: Column, other_blocked: Column) -> Column:
+    """Whether two blocked shares differ significantly; not where there are no labels."""
+    pooled = (blocked + other_blocked + 0.5) / (labelled + others + 1.0)
+    gap = F.abs(F.try_divide(blocked, labelled) - F.try_divide(other_blocked, others))
+    noise = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), labelled) + F.try_divide(F.lit(1.0), others)))
+    return F.coalesce(gap > DIFFERS * noise, F.lit(False))
+
+
 def _differs() -> Column:
     """Whether a segment's blocked share differs significantly from its siblings'."""
     others, other_blocked = F.col("all_labelled") - F.col("labelled"), F.col("all_blocked") - F.col("blocked")
-    pooled = (F.col("all_blocked") + 0.5) / (F.col("all_labelled") + 1.0)
-    apart = F.abs(F.try_divide("blocked", "labelled") - F.try_divide(other_blocked, others))
-    noise = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), others)))
-    return (F.col("n") >= LITERAL_COUNT) & (F.col("labelled") >= SUPPORT) & F.coalesce(apart > DIFFERS * noise, F.lit(False))
+    return (F.col("n") >= LITERAL_COUNT) & (F.col("labelled") >= SUPPORT) & _apart(F.col("labelled"), F.col("blocked"), others, other_blocked)
+
+
+def _chain(parts: Column) -> Column:
+    """A number for the root and for each of its descendants down the path: equal paths, equal numbers."""
+    return F.aggregate(parts, F.array(F.lit(0).cast("long")), lambda a, s: F.concat(a, F.array(F.xxhash64(F.element_at(a, -1), s))))
+
+
+def merged_branches(siblings: DataFrame) -> DataFrame:
+    """(host, level, parent, segment, part) of (host, level, parent, segment, labelled, blocked): part is the segment's own name or that of the
+    branch that it is merged into. Segments without labels stay by themselves."""
+    below = Window.partitionBy("host", "level", "parent")
+    order = below.orderBy("share", "segment")
+    shares = siblings.where("labelled > 0").withColumn("share", F.col("blocked") / F.col("labelled"))
+    before = [F.lag(c).over(order) for c in ("labelled", "blocked", "share")]
+    new = before[0].isNull() | _apart(F.col("labelled"), F.col("blocked"), before[0], before[1]) | ((F.col("share") >= PURITY) != (before[2] >= PURITY))
+    runs = shares.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    of_run = Window.partitionBy("host", "level", "parent", "run")
+    parts = F.when(F.count("*").over(of_run) > 1, F.concat(F.lit("~"), F.min("segment").over(of_run))).otherwise(F.col("segment"))
+    named = runs.withColumn("part", parts).select("host", "level", "parent", "segment", "part")
+    return named.unionByName(siblings.where("labelled = 0").select("host", "level", "parent", "segment", F.col("segment").alias("part")))
 
 
 def judge(urls: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, label: str | None = None) -> DataFrame:
@@ -91,26 +119,27 @@ def judge(urls: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, label:
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
     rows = rows.withColumn("segments", F.transform(parts, _typed))
     # one row for each host and typed path, so that a hot host is counted before anything moves
-    shapes = rows.groupBy("host", "segments").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.sum(F.coalesce("label", F.lit(0))).alias("blocked"))
+    shapes = checkpointed(rows.groupBy("host", "segments").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.sum(F.coalesce("label", F.lit(0))).alias("blocked")))
     on_host = shapes.groupBy("host").agg(F.sum("n").alias("total"))
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
     every = [F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked")]
-    parted = shapes.select("*", F.posexplode("segments").alias("level", "segment")).withColumn("parent", F.array_join(F.slice("segments", F.lit(1), F.col("level")), "/"))
-    here = parted.groupBy("host", "level", "parent", "segment").agg(*sums)
-    below = here.join(here.groupBy("host", "level", "parent").agg(*every), ["host", "level", "parent"]).where(_differs()).select("host", "level", "parent", "segment")
+    at = ["host", "level", "parent", "segment"]
+    parted = shapes.withColumn("chain", _chain(F.col("segments"))).select("*", F.posexplode("segments").alias("level", "segment")).withColumn("parent", F.get("chain", F.col("level"))).drop("chain")
+    here = checkpointed(parted.groupBy(*at).agg(*sums))
+    below = here.join(here.groupBy("host", "level", "parent").agg(*every), ["host", "level", "parent"]).where(_differs()).select(*at)
     level = here.groupBy("host", "level", "segment").agg(*sums)
     level = level.join(level.groupBy("host", "level").agg(*every), ["host", "level"]).join(on_host, "host")
     common = level.where(((F.col("n") >= LITERAL_COUNT) & (F.col("n") >= LITERAL_SHARE * F.col("total"))) | _differs()).select("host", "level", "segment")
-    stay = here.select("host", "level", "parent", "segment").join(common, ["host", "level", "segment"], "left_semi").select("host", "level", "parent", "segment")
-    stay = stay.union(below).distinct().withColumn("stays", F.lit(True))
-    named = parted.select("host", "segments", "level", "parent", "segment").join(stay, ["host", "level", "parent", "segment"], "left")
-    part = F.when((F.substring("segment", 1, 1) == "{") | F.col("stays"), F.col("segment")).otherwise("*")
+    stay = here.select(*at).join(common, ["host", "level", "segment"], "left_semi").select(*at).union(below).distinct()
+    typed = F.substring("segment", 1, 1) == "{"
+    stay = checkpointed(merged_branches(here.where(~typed).join(stay, at, "left_semi")))
+    named = parted.select("segments", *at).join(stay, at, "left")
+    part = F.when(typed, F.col("segment")).otherwise(F.coalesce("part", F.lit("*")))
     listed = named.groupBy("host", "segments").agg(F.sort_array(F.collect_list(F.struct("level", part.alias("part")))).alias("listed"))
-    kept = shapes.join(listed, ["host", "segments"], "left")
     wild = F.coalesce(F.transform("listed", lambda x: x["part"]), F.array().cast("array<string>"))
-    kept = kept.select("host", "segments", wild.alias("template"), "n", "labelled", "blocked")
-    prefixes = F.transform(F.sequence(F.lit(0), F.size("template")), lambda i: F.struct(i.alias("level"), F.array_join(F.slice("template", F.lit(1), i), "/").alias("prefix")))
-    nodes = kept.select("host", F.explode(prefixes).alias("p"), "labelled", "blocked").groupBy("host", "p.level", "p.prefix").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    kept = shapes.join(listed, ["host", "segments"], "left").select("host", "segments", wild.alias("template"), "n", "labelled", "blocked")
+    kept = checkpointed(kept.withColumn("chain", _chain(F.col("template"))))
+    nodes = kept.select("host", F.posexplode("chain").alias("level", "prefix"), "labelled", "blocked").groupBy("host", "level", "prefix").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     # branches of the same template on other hosts: merged unless the host's share differs significantly
     over = nodes.groupBy("level", "prefix").agg(F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
     share = (F.col("all_blocked") + 0.5) / (F.col("all_labelled") + 1.0)
@@ -127,23 +156,21 @@ def judge(urls: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, label:
         F.when(F.col("own"), F.col("blocked")).otherwise(F.coalesce("rest_blocked", F.lit(0))).alias("blocked"),
     )
     # down the tree: each node's share is smoothed towards the one above it
-    up = kept.select("host", "segments", F.explode(prefixes).alias("p")).select("host", "segments", "p.level", "p.prefix").join(counted, ["host", "level", "prefix"])
-    line = up.groupBy("host", "segments").agg(F.sort_array(F.collect_list(F.struct("level", "prefix", "labelled", "blocked"))).alias("line"))
-    start = F.struct(F.lit(0.0).alias("purity"), F.lit("").alias("template"))
+    up = kept.select("host", "segments", F.posexplode("chain").alias("level", "prefix")).join(counted, ["host", "level", "prefix"])
+    line = up.groupBy("host", "segments").agg(F.sort_array(F.collect_list(F.struct("level", "labelled", "blocked"))).alias("line"))
     down = F.aggregate(
         "line",
-        start,
+        F.struct(F.lit(0.0).alias("purity"), F.lit(0).alias("level")),
         lambda a, x: F.when(
-            x["labelled"] >= SUPPORT, F.struct(((x["blocked"] + SMOOTHING * a["purity"]) / (x["labelled"] + SMOOTHING)).alias("purity"), x["prefix"].alias("template"))
+            x["labelled"] >= SUPPORT, F.struct(((x["blocked"] + SMOOTHING * a["purity"]) / (x["labelled"] + SMOOTHING)).alias("purity"), x["level"].alias("level"))
         ).otherwise(a),
     )
-    verdicts = line.select("host", "segments", down.alias("d")).select("host", "segments", F.col("d.template").alias("template"), F.round("d.purity", 9).alias("purity"))
-    judged = rows.join(verdicts, ["host", "segments"], "left")
-    method = F.when(F.coalesce("purity", F.lit(0.0)) >= PURITY, "block").otherwise("allow")
-    return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", method).alias("verdict"), F.concat(F.lit("/"), F.coalesce("template", F.lit(""))).alias("template"), F.coalesce("purity", F.lit(0.0)).alias("purity"))
+    verdicts = kept.join(line.select("host", "segments", down.alias("d")), ["host", "segments"])
+    speaks = F.concat(F.lit("/"), F.array_join(F.slice("template", F.lit(1), F.col("d.level")), "/")).alias("template")
+    judged = join_skewed(rows, verdicts.select("host", "segments", speaks, F.round("d.purity", 9).alias("purity"), "n"), ["host", "segments"], "n")
+    method = F.when(F.col("purity") >= PURITY, "block").otherwise("allow")
+    return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", method).alias("verdict"), "template", "purity")
 
 
 def op10_url_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"))
-
-

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -493,6 +494,88 @@ def test_urls_deep_and_rare_sections(spark):
     assert found == {i: "block" if bad else "allow" for i, (_, bad) in enumerate(urls)}
 
 
+def test_urls_merge_similar_branches(spark):
+    shares = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.55, "e": 0.95, "f": 1.0}
+    urls = [(f"http://h.net/{s}/x{i}", int(i < 40 * share)) for s, share in shares.items() for i in range(40)]
+    urls += [("http://h.net/" + "/".join("pq"[k % 2] for k in range(3000)), 0), ("http://h.net//a//x1/", 0)]
+    rows = spark.createDataFrame([(i, *u) for i, u in enumerate(urls)], "page_id long, url string, label int")
+    found = url_filter.judge(rows.unionByName(rows), rules=(), label="label").collect()
+    assert len(found) == 2 * len(urls)
+    by = {(r.path.split("/")[1], r.template, r.verdict) for r in found if r.page_id < 240}
+    assert {(s, t.split("/")[1]) for s, t, _ in by} == {("a", "~a"), ("b", "~a"), ("c", "~c"), ("d", "~c"), ("e", "~e"), ("f", "~e")}
+    assert {s for s, _, v in by if v == "block"} == {"e", "f"}
+
+
+def test_urls_against_brute_force(spark):
+    """Hosts, templates, merging and purities by loops over all urls."""
+    rng = random.Random(5)
+    apart = lambda l, b, m, c: l > 0 and m > 0 and abs(b / l - c / m) > 2.58 * math.sqrt((p := (b + c + 0.5) / (l + m + 1.0)) * (1 - p) * (1 / l + 1 / m))
+    urls = []
+    for i in range(900):
+        host, parts = f"h{rng.choice([0, 0, 0, 1, 2])}.net", [rng.choice("abcdefg") for _ in range(rng.randint(0, 3))] + ["7"] * rng.randint(0, 1)
+        chance = 0.9 if parts[:1] in (["a"], ["b"]) else 0.6 if "c" in parts else 0.05
+        urls.append((host, parts, None if rng.random() < 0.4 else int(rng.random() < chance)))
+    typed = [(h, ["{N}" if s == "7" else s for s in parts], label) for h, parts, label in urls]
+
+    def counts(keys):
+        out = {}
+        for key, label in keys:
+            n, l, b = out.get(key, (0, 0, 0))
+            out[key] = n + 1, l + (label is not None), b + (label or 0)
+        return out
+
+    here = counts(((h, i, tuple(p[:i]), p[i]), label) for h, p, label in typed for i in range(len(p)))
+    level = counts(((h, i, p[i]), label) for h, p, label in typed for i in range(len(p)))
+    host = collections.Counter(h for h, _, _ in typed)
+
+    def differs(key, table, sibling):
+        n, l, b = table[key]
+        total = [sum(v[i] for k, v in table.items() if sibling(k) == sibling(key)) for i in (1, 2)]
+        return n >= 3 and l >= 3 and apart(l, b, total[0] - l, total[1] - b)
+
+    common = {k for k, (n, _, _) in level.items() if (n >= 3 and n >= 0.01 * host[k[0]]) or differs(k, level, lambda k: k[:2])}
+    stay = {k for k in here if k[3][0] != "{" and ((k[0], k[1], k[3]) in common or differs(k, here, lambda k: k[:3]))}
+    part, by = {}, collections.defaultdict(list)
+    for k in stay:
+        _, l, b = here[k]
+        part[k] = k[3]
+        if l:
+            by[k[:3]].append((b / l, k[3], l, b))
+    for parent, some in by.items():
+        runs = []
+        for x in sorted(some):
+            last = runs[-1][-1] if runs else None
+            if last and not apart(x[2], x[3], last[2], last[3]) and (x[0] >= 0.6) == (last[0] >= 0.6):
+                runs[-1].append(x)
+            else:
+                runs.append([x])
+        for run in runs:
+            for x in run:
+                part[(*parent, x[1])] = "~" + min(y[1] for y in run) if len(run) > 1 else x[1]
+    templates = [[s if s[0] == "{" else part.get((h, i, tuple(p[:i]), s), "*") for i, s in enumerate(p)] for h, p, _ in typed]
+    nodes = counts(((h, tuple(t[:i])), label) for (h, _, label), t in zip(typed, templates) for i in range(len(t) + 1))
+    over = counts((tuple(t[:i]), label) for (_, _, label), t in zip(typed, templates) for i in range(len(t) + 1))
+    own = set()
+    for (h, t), (_, l, b) in nodes.items():
+        share = (over[t][2] + 0.5) / (over[t][1] + 1.0)
+        if l and abs(b / l - share) > 2.58 * math.sqrt(share * (1 - share) / l):
+            own.add((h, t))
+    rest = counts((tuple(t[:i]), label) for (h, _, label), t in zip(typed, templates) for i in range(len(t) + 1) if (h, tuple(t[:i])) not in own)
+    want = {}
+    for k, ((h, _, _), t) in enumerate(zip(typed, templates)):
+        purity, speaks = 0.0, ()
+        for i in range(len(t) + 1):
+            node = tuple(t[:i])
+            _, l, b = nodes[h, node] if (h, node) in own else rest[node]
+            if l >= 3:
+                purity, speaks = (b + 4.0 * purity) / (l + 4.0), node
+        want[k] = "/" + "/".join(speaks), round(purity, 9), "block" if purity >= 0.6 else "allow"
+    rows = spark.createDataFrame([(i, f"http://{h}/" + "/".join(p), label) for i, (h, p, label) in enumerate(urls)], "page_id long, url string, label int")
+    got = {r.page_id: (r.template, r.purity, r.verdict) for r in url_filter.judge(rows, rules=(), label="label").collect()}
+    assert {v for _, _, v in want.values()} == {"block", "allow"} and any("~" in t for t, _, _ in want.values())
+    assert len(got) == len(want) and all(got[k][0] == w[0] and got[k][2] == w[2] and got[k][1] == pytest.approx(w[1], abs=1e-8) for k, w in want.items())
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
