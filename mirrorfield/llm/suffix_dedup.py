@@ -5,12 +5,14 @@ covers it also starts earlier. Suffixes are sampled: of each LENGTH-byte window
 hash lowest, so equal windows hold equal samples at equal offsets and none is missed.
 
 1. Initial buckets: sampled suffixes with the same first GRAM bytes, each with its run, all windows of that sample.
-   Buckets of one suffix are closed; so are small ones whose runs are all the same: what is not the first is a repeat.
+   Buckets of one suffix are closed; so are small ones whose runs are all the same, and runs with the bytes of one
+   before in their bucket: what is not the first is a repeat.
 2. Refinement: positions of the other buckets' runs start in buckets of equal 8-byte strings and are sorted again and
    again on two identifiers, that of their own bucket and that of the bucket of a later offset; so buckets of
    8 bytes give those of 16, these those of 32, of 64 and of LENGTH, each round using the updated identifiers of the
-   one before. Positions alone in their bucket, or before such a one, are closed and sorted no more. A last
-   bucket's pointer is its first position; a window whose pointer is not its own position is a repeat.
+   one before. Positions alone in their bucket, or before such a one, are closed and sorted no more; so are, before
+   the first round, windows whose 64-bit hash no other one has. A last bucket's pointer is its first position; a
+   window whose pointer is not its own position is a repeat.
 3. Repeats are unions of windows, so what goes of each text is a union of intervals.
 
 Buckets of up to BUCKET_LIMIT suffixes are refined whole in one task. Those of more are refined within each batch of
@@ -156,14 +158,30 @@ def refined(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         width += step
 
 
-def again_of(raw: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Which of the windows that start there hold the bytes of one before, in the order given."""
-    at, bucket = refined(raw, length)
-    of = np.full(len(raw) + 1, -1, np.int64)
-    of[at] = bucket
-    ids = of[starts]
-    out = ids >= 0
-    out[out] = _repeats(ids[out])
+def again_of(raw: np.ndarray, starts: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
+    """Which of the windows that start there hold the bytes of one before, in the order given. Windows whose hash, in ids, no other
+    one has are closed at once; the bytes of the others are refined."""
+    order = np.argsort(ids)
+    same = ids[order[1:]] == ids[order[:-1]]
+    out = np.zeros(len(ids), bool)
+    out[order[1:][same]] = out[order[:-1][same]] = True
+    which = np.flatnonzero(out)
+    if not len(which):
+        return out
+    at = np.unique(starts[which])
+    # the stretches of raw that these windows cover, one after the other
+    first = np.flatnonzero(np.r_[True, np.diff(at) > length])
+    begin, end = at[first], at[np.r_[first[1:], len(at)] - 1] + length
+    inside, _ = _spread(begin, end - begin)
+    shift = begin - (np.cumsum(end - begin) - (end - begin))
+    place = starts[which] - shift[np.searchsorted(begin, starts[which], side="right") - 1]
+    found, bucket = refined(raw[inside], length)
+    of = np.full(len(inside) + 1, -1, np.int64)
+    of[found] = bucket
+    exact = of[place]
+    again = exact >= 0
+    again[again] = _repeats(exact[again])
+    out[which] = again
     return out
 
 
@@ -279,7 +297,7 @@ class _Scheme:
                 ascending = np.argsort(flat, kind="stable")
                 ids = np.empty(len(flat), np.int64)
                 ids[ascending] = _window_ids(raw, flat[ascending], self.length).view(np.int64)
-                again = again_of(raw, flat, self.length)
+                again = again_of(raw, flat, ids, self.length)
                 new = np.r_[True, (at[1:] != at[:-1] + 1) | (d[1:] != d[:-1])]
                 a, b = _runs(again, new)
                 add(0, _mixed(d[a], a), d[a], at[a], at[b] - at[a] + self.length)
@@ -337,16 +355,23 @@ class _Scheme:
             yield from self.solved(held, names)
 
     def solved(self, rows: pa.Table, names: list[str]) -> Iterator[pa.RecordBatch]:
+        """Intervals of whole buckets. A run with the bytes of one before is a repeat as a whole; the others' windows are refined."""
         raw, offsets = text_bytes(rows.column(6))
+        same = rows.column(6).combine_chunks().dictionary_encode().indices.to_numpy()
+        again = np.ones(rows.num_rows, bool)
+        again[np.unique(same, return_index=True)[1]] = False
+        own = np.flatnonzero(~again)
         many = rows.column(5).to_numpy()
-        at, of = _spread(offsets[:-1], many)
+        at, of = _spread(offsets[own], many[own])
         new = np.r_[True, of[1:] != of[:-1]]
-        a, b = _runs(again_of(raw, at, self.length), new)
-        if len(a):
-            row = of[a]
-            start = rows.column(4).to_numpy()[row] + at[a] - offsets[row]
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([rows.column(2).combine_chunks().take(take), rows.column(3).combine_chunks().take(take), pa.array(start), pa.array(start + at[b] - at[a] + self.length)], names)
+        a, b = _runs(again_of(raw, at, _window_ids(raw, at, self.length), self.length), new)
+        whole = np.flatnonzero(again)
+        row = np.r_[own[of[a]], whole]
+        begin = np.r_[at[a] - offsets[own[of[a]]], np.zeros(len(whole), np.int64)]
+        size = np.r_[at[b] - at[a], many[whole] - 1] + self.length
+        if len(row):
+            start, take = rows.column(4).to_numpy()[row] + begin, pa.array(row)
+            yield pa.RecordBatch.from_arrays([rows.column(2).combine_chunks().take(take), rows.column(3).combine_chunks().take(take), pa.array(start), pa.array(start + size)], names)
 
 
 def _mixed(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
