@@ -18,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What tells a text: its id (null as NULL_KEY) and its hash, so that rows that share an id are judged apart.
+KEY = ("_id", "_text")
+
+
+def keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, text, *KEY) of docs, and more columns."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select("doc_id", "text", *more).withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)), "_text": F.xxhash64(text)})
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. A local one stands in only where that is unset and there is one machine."""
     context = spark.sparkContext

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mirrorfield.llm.common import NULL_KEY, checkpointed, table
+from mirrorfield.llm.common import KEY, checkpointed, keyed, table
 
 WIDTH = 5
 COVER, CONSISTENT, SHIFT = 0.8, 0.8, 3
@@ -34,15 +34,6 @@ OPENER = MARK + "o"
 POINT = "\u0002"
 
 
-#: What tells a text: its id (null as NULL_KEY) and its hash, so that rows that share an id are judged apart.
-KEY = ("_id", "_text")
-
-
-def _keyed(docs: DataFrame, *more: str) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("doc_id", "text", *more).withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY)), "_text": F.xxhash64(text)})
-
-
 def _terms(docs: DataFrame, *key: str) -> DataFrame:
     """(key, w, marked): canonical terms, lower-cased words and placeholders MARK + type + value; whether there are placeholders.
 
@@ -122,7 +113,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cover: fl
     """(_id, _text, item_id, coverage, consistency) for each text that holds an item: those of its best copy, the most consistent one, then the one that covers most.
 
     Items shorter than width terms are matched whole, by windows of their own length; items without terms, null texts and null ids of items
-    match nothing. Texts are told by id and hash (_keyed); equal rows count as one text, repeated rows of an item_id as one item with all
+    match nothing. Texts are told by id and hash (keyed); equal rows count as one text, repeated rows of an item_id as one item with all
     their windows. Other columns are ignored.
     """
     items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", "text").distinct()
@@ -134,7 +125,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cover: fl
     totals = asked.groupBy("item_id").agg(F.countDistinct("base", "size").alias("total"))
     small = asked.count() <= BROADCAST_WINDOWS
     there = [*KEY, "item_id"]
-    hits = _windows(_terms(_keyed(docs), *KEY), sizes, *KEY).join(F.broadcast(asked) if small else asked, ["size", "h"])
+    hits = _windows(_terms(keyed(docs), *KEY), sizes, *KEY).join(F.broadcast(asked) if small else asked, ["size", "h"])
     hits = checkpointed(hits.select(*there, "size", "base", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct())
     # without this no copy can reach the share that it needs
     enough = hits.groupBy(*there).agg(F.countDistinct("base", "size").alias("n")).join(F.broadcast(totals) if small else totals, "item_id").where(F.col("n") >= cover * F.col("total")).select(*there, "total")
@@ -153,7 +144,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cover: fl
     # a placeholder of the item and the one of the same type at the same place of the copy, within a common window
     inside = (F.col("at") >= F.col("item_at")) & (F.col("at") < F.col("item_at") + F.col("size"))
     slots = placed.join(covered, copy, "left_semi").join(item_slots, "item_id").where(inside).select(*copy, "type", "value", "opens", (F.col("at") + F.col("diagonal")).alias("at")).distinct()
-    texts = _keyed(docs).select(*KEY, "text").join(covered.select(*KEY).distinct(), [*KEY])
+    texts = keyed(docs).select(*KEY, "text").join(covered.select(*KEY).distinct(), [*KEY])
     others = _slots(_terms(texts, *KEY), *KEY).drop("opens").withColumnRenamed("value", "other").distinct()
     pairs = slots.join(others, [*KEY, "at", "type"]).where(~F.col("opens") | (F.col("value") != F.col("other")))
     pairs = checkpointed(pairs.groupBy(*copy, "type", "value", "other").count())
@@ -173,7 +164,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cover: fl
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """(doc_id, contaminated, items, coverage) for each row; items lists the items held, ascending, coverage is the best."""
     found = matches(docs, benchmark, **options).groupBy(*KEY).agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.round(F.max("coverage"), 6).alias("coverage"))
-    rows = _keyed(docs).select("doc_id", *KEY).join(found, [*KEY], "left")
+    rows = keyed(docs).select("doc_id", *KEY).join(found, [*KEY], "left")
     return rows.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
 
 
@@ -182,7 +173,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     found = checkpointed(matches(docs, benchmark, **options).select(*KEY).distinct())
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.withColumns({"doc_id": F.col("row.doc_id"), "text": F.col("row.text")})
-    return _keyed(rows, "row").join(found, [*KEY], "left_anti").select("row.*")
+    return keyed(rows, "row").join(found, [*KEY], "left_anti").select("row.*")
 
 
 def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

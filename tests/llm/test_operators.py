@@ -465,10 +465,81 @@ def test_decontaminate_against_brute_force(spark):
 
 def test_licenses(spark, odd):
     model = licenses.train(odd)
-    rows = [(1, "foo\nReleased under the MIT License.\nbar", "s"), (2, "Licensed under CC BY-NC 4.0.", "s"), (3, "the license of the software is unclear", "s"), (4, None, "s"), (None, "Licensed under the Apache License, Version 2.0.", "s")]
-    got = {r.doc_id: list(r.licenses) for r in licenses.scan(docs(spark, rows), model).collect()}
-    assert got == {1: ["MIT"], 2: ["CC-BY-NC"], 3: [], 4: [], None: ["Apache-2.0"]}
+    rows = [(1, "foo\nReleased under the MIT License.\nbar", "s"), (2, "Licensed under CC BY-NC 4.0.", "s"), (3, "the license of the software is unclear", "s"), (4, None, "s"), (None, "Licensed under the Apache License, Version 2.0.", "s"), (None, "nothing", "s")]
+    rows += [(5, "Licensed under the Blatt License, Version 2.0.", "s"), (6, "MIT License\n\nCopyright (c) 2020", "s"), (7, "the MIT License server is down", "s"), (2, "no notice under this id", "s"), (1, rows[0][1], "s")]
+    got = sorted(((r.doc_id or 0, tuple(r.licenses), r.notices) for r in licenses.scan(docs(spark, rows), model).collect()), key=str)
+    assert got == sorted([(1, ("MIT",), 1), (1, ("MIT",), 1), (2, ("CC-BY-NC",), 1), (2, (), 0), (3, (), 0), (4, (), 0), (0, ("Apache-2.0",), 1), (0, (), 0), (5, (), 0), (6, ("MIT",), 1), (7, (), 0)], key=str)
     assert licenses.scan(odd, model).count() == 10
+    assert licenses.scan(odd.where("false"), licenses.train(odd.where("false"))).count() == 0
+
+
+def wrapped(text, width, sign):
+    lines, line = [], sign
+    for word in text.split():
+        if len(line) + len(word) > width:
+            lines.append(line)
+            line = sign
+        line += " " + word
+    return "\n".join([*lines, line])
+
+
+def test_licenses_of_wrapped_and_unseen_notices(spark):
+    """Texts in lines of 60 to 80 columns, in comment signs; notices in frames that no template has; prose around them."""
+    rng = random.Random(3)
+    prose = ["the river runs under the old bridge", "a program of public works was agreed to", "she read the notice and the terms of the contract", "use of the source is free to all persons"]
+    model = licenses.Classifier(prose * 20)
+    texts, want = [], []
+    for family, some in licenses.TEXTS.items():
+        for text in some:
+            for width, sign in ((60, ""), (72, " *"), (80, "//"), (76, "#")):
+                texts.append("\n".join([rng.choice(prose), "", wrapped(text, width, sign), "", rng.choice(prose)]))
+                want.append([family])
+    seen = len(texts)
+    for family, names in licenses.NAMES.items():
+        for name in names:
+            for frame in ("You may use it: it is licensed under the terms of {}", "Copyright 2021 by us. Released under {}, see the file", "All files are distributed under {} unless stated otherwise"):
+                texts.append(rng.choice(prose) + "\n" + frame.format(name if name.startswith("CC ") else "the " + name) + "\n" + rng.choice(prose))
+                want.append([family])
+    n = len(texts)
+    texts += prose + ["licensed under the " + w + " license version 2.0" for w in ("Bakery", "Fishing", "Driver")] + [". ".join(prose) * 3]
+    want += [[]] * (len(texts) - n)
+    found = {r.doc_id: list(r.licenses) for r in licenses.scan(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), model).collect()}
+    right = [found[i] == w for i, w in enumerate(want)]
+    assert np.mean(right[:seen]) >= 0.95 and np.mean(right[seen:n]) >= 0.9 and all(right[n:]), [(texts[i], found[i]) for i, ok in enumerate(right) if not ok]
+
+
+def test_license_notices_against_brute_force(spark):
+    """The scan's paragraphs, probabilities and shares by loops."""
+    rng = random.Random(8)
+    model = licenses.Classifier(["some lines of prose", "others of the kind"] * 30)
+    every = licenses.templates()
+    pieces = [" ".join(w) for _, w, _ in every] + ["", "", "and so it is", "of the software", "the license"]
+    texts = ["\n".join(rng.choice(pieces) if rng.random() < 0.7 else " ".join(rng.choice(pieces).split()[: rng.randint(1, 9)]) for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    telling, number, want = set(licenses.telling_words()), {g: i for i, g in enumerate(model.features)}, set()
+    for i, text in enumerate(texts):
+        lines = [licenses.words_of(line) for line in text.split("\n")]
+        for at, own in enumerate(lines):
+            if not telling & set(own):
+                continue
+            first, last = at, at
+            while first > max(0, at - licenses.REACH) and lines[first - 1]:
+                first -= 1
+            while last < min(len(lines) - 1, at + licenses.REACH) and lines[last + 1]:
+                last += 1
+            for words in (own, [w for line in lines[first : last + 1] for w in line]):
+                z = (model.bias + sum((model.weights[number[g]].astype(float) for g in set(licenses.grams(words)) if g in number), np.zeros(len(model.bias)))) / model.temperature
+                p = np.exp(z - z.max())
+                family = model.families[int(p.argmax())]
+                if family == licenses.UNKNOWN or p.max() / p.sum() < 0.5:
+                    continue
+                have, shares = licenses.two_grams(words), collections.Counter()
+                for f, t, title in every:
+                    part = len(have & licenses.two_grams(t)) / len(licenses.two_grams(t))
+                    shares[f] = max(shares[f], part if not title or (part == 1 and len(words) == len(t)) else 0)
+                if shares[family] >= 0.6 and shares[family] == max(shares.values()):
+                    want.add((i, at, family))
+    got = licenses.notices(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), model).collect()
+    assert len(want) > 60 and {(r["_id"], r.line, r.family) for r in got} == want
 
 
 def test_urls(spark):
