@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from mirrorfield.llm import chat, decontaminate, licenses, mixing, simhash, suffix_dedup, token_counts, topk, toxicity, url_filter
 
 
@@ -22,10 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pfair_mixing": mixing.op8_pfair_mixing,
         "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
         "op10_url_path_templates": url_filter.op10_url_path_templates,
-        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op5_chat_formatting": chat.OP5_SQL, "op6_exact_top_k": topk.OP6_SQL}
-    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op5_chat_formatting": chat.OP5_SQL, "op6_exact_top_k": topk.OP6_SQL}

@@ -27,6 +27,7 @@ The texts themselves move once, compressed, to be looked at and to be cut.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -393,7 +394,23 @@ def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _widened(text: bytes, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    """The spans, up to whole UTF-8 characters."""
+    start, end = [], []
+    for i, j in zip(a, b):
+        while i and text[i] & 0xC0 == 0x80:
+            i -= 1
+        while j < len(text) and text[j] & 0xC0 == 0x80:
+            j += 1
+        if end and i <= end[-1]:
+            end[-1] = j
+        else:
+            start.append(i)
+            end.append(j)
+    return start, end
+
+
+def _cut(batches: Iterator[pa.RecordBatch], characters: bool) -> Iterator[pa.RecordBatch]:
     """(key, more, packed, spans of (a, b)) -> key, more, what is left, and the maximal removed runs."""
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in pieces(batches, 256):
@@ -407,18 +424,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 order = np.argsort(x, kind="stable")
                 x, y = x[order], np.maximum.accumulate(y[order])
                 new = np.flatnonzero(np.r_[True, x[1:] > y[:-1]])
-                a, b = x[new], y[np.r_[new[1:], len(x)] - 1]
+                a, b = x[new].tolist(), y[np.r_[new[1:], len(x)] - 1].tolist()
+                if characters:
+                    a, b = _widened(text, a, b)
             left.append(b"".join(text[i:j] for i, j in zip([0, *b], [*a, len(text)])))
             n_bytes.append(len(text))
             starts.append(a)
             ends.append(b)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(left, pa.binary()), pa.array(n_bytes, pa.int64()), pa.array([list(map(int, a)) for a in starts], pa.list_(pa.int64())), pa.array([list(map(int, b)) for b in ends], pa.list_(pa.int64()))], ["key", "more", "kept", "n_bytes", "starts", "ends"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(left, pa.binary()), pa.array(n_bytes, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], ["key", "more", "kept", "n_bytes", "starts", "ends"])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_limit: int = BUCKET_LIMIT, keep: Sequence[str] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_limit: int = BUCKET_LIMIT, keep: Sequence[str] = (), characters: bool = False) -> DataFrame:
     """(doc_id, kept binary, n_bytes, starts, ends) for each row: what is left of its bytes, the runs that went.
 
-    keep: other columns to carry along, of any names.
+    keep: other columns to carry along, of any names. characters: a character that is cut goes as a whole.
 
     Null texts count as empty. Rows with the same doc_id keep a row each and are ordered by their text; of equal rows
     any one counts as the first. A null doc_id comes before all others. Texts shorter than length stay whole. Columns
@@ -455,7 +474,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     gone = rows.mapInArrow(scheme.refine, "key long, rn int, a long, b long")
     gone = gone.groupBy("key", "rn").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     cut = packed.join(gone, ["key", "rn"], "left").select("key", "more", "packed", "spans")
-    cut = cut.mapInArrow(_cut, StructType([StructField("key", LongType()), cut.schema["more"], *_parse_datatype_string("kept binary, n_bytes long, starts array<long>, ends array<long>")]))
+    cut = cut.mapInArrow(partial(_cut, characters=characters), StructType([StructField("key", LongType()), cut.schema["more"], *_parse_datatype_string("kept binary, n_bytes long, starts array<long>, ends array<long>")]))
     return cut.select(F.nullif("key", F.lit(NULL_KEY)).alias("doc_id"), "kept", "n_bytes", "starts", "ends", *[F.col(f"more.`{c}`") for c in keep])
 
 
