@@ -185,7 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = No
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     # a share that holds about four times the sample, so that tasks don't each send the whole of it
     share = {label: min(1.0, 4.0 * n / max(1, counts.get(label, 0))) for label, n in sample.items()}
-    chosen = [known.where((F.col("toxic") == label) & (F.xxhash64("doc_id") <= int((2 * share[label] - 1) * ((1 << 63) - 1)))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for label, n in sample.items()]
+    low = {label: F.lit(True) if share[label] == 1 else F.xxhash64("doc_id") < int((2 * share[label] - 1) * (1 << 63)) for label in sample}
+    chosen = [known.where((F.col("toxic") == label) & low[label]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for label, n in sample.items()]
     picked = reduce(DataFrame.unionByName, chosen)
     # at most sum(sample) rows of two numbers
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked.select("doc_id", F.col("toxic").cast("int").alias("toxic"))), "doc_id").select("toxic", "text", "doc_id")
