@@ -14,68 +14,72 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirrorfield.operators import grouping, solvers
+from mirrorfield.operators.sums import array_sums
 
 
 @dataclass
 class Moments:
+    """Sums over n rows of x less its mean: products of pairs, and products of pairs of squares."""
+
     n: int
     mean: np.ndarray
-    gram: np.ndarray
+    centred: np.ndarray
     fourth: np.ndarray
 
+    @classmethod
+    def of(cls, x: np.ndarray) -> Moments:
+        return cls.shifted(len(x), np.zeros(x.shape[1]), *_sums(x))
+
+    @classmethod
+    def shifted(cls, n: int, shift: np.ndarray, s: np.ndarray, g: np.ndarray, t: np.ndarray, f: np.ndarray) -> Moments:
+        """From the sums of y, y y', (y y) y' and (y y) (y y)', y = x - shift, entry by entry."""
+        d, square = s / n, np.diag(g)
+        centred = g - n * np.outer(d, d)
+        one = -2 * d * t + np.outer(square, d**2) - 2 * np.outer(d * s, d**2)
+        fourth = f + one + one.T + 4 * np.outer(d, d) * g + n * np.outer(d**2, d**2)
+        return cls(n, shift + d, centred, fourth)
+
+    @property
+    def gram(self) -> np.ndarray:
+        """Sums of products of x itself."""
+        return self.centred + self.n * np.outer(self.mean, self.mean)
+
     def covariance(self) -> np.ndarray:
-        return (self.gram - self.n * np.outer(self.mean, self.mean)) / max(self.n - 1, 1)
+        return self.centred / max(self.n - 1, 1)
 
     def shrunk(self) -> np.ndarray:
         """Covariance shrunk linearly to its diagonal, by the estimated share of sampling noise in the off-diagonal entries."""
-        s = self.covariance()
-        n = self.n
-        centred = self.gram / n - np.outer(self.mean, self.mean)
-        noise = np.maximum(self.fourth / n - centred**2, 0) / max(n - 1, 1)
+        s, n = self.covariance(), self.n
+        noise = np.maximum(self.fourth / n - (self.centred / n) ** 2, 0) / max(n - 1, 1)
         off = ~np.eye(len(s), dtype=bool)
         share = min(1.0, max(0.0, noise[off].sum() / max((s[off] ** 2).sum(), 1e-300)))
         return np.where(off, (1 - share) * s, s)
 
 
+def _sums(x: np.ndarray) -> list[np.ndarray]:
+    return [x.sum(0), x.T @ x, (x * x).T @ x, (x * x).T @ (x * x)]
+
+
 def _array(batch: pa.RecordBatch, at: int = 0) -> np.ndarray:
     column = batch.column(at)
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
 
 
 def moments(rows: DataFrame) -> Moments:
-    """One pass over x, shifted by nothing: each task sends its sums, a tree of partial sums leaves one row for the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: list | None = None
-        for batch in batches:
-            x = _array(batch)
-            part = [len(x), x.sum(0), x.T @ x, (x * x).T @ (x * x)]
-            total = part if total is None else [a + b for a, b in zip(total, part)]
-        if total is not None:
-            n, s, g, f = total
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), *[pa.array([a.tobytes()], pa.binary()) for a in (s, g, f)]], ["n", "s", "g", "f"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: list | None = None
-        for batch in batches:
-            for row in batch.to_pylist():
-                part = [row["n"], *[np.frombuffer(row[k]) for k in ("s", "g", "f")]]
-                total = part if total is None else [a + b for a, b in zip(total, part)]
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total[0]], pa.int64()), *[pa.array([a.tobytes()], pa.binary()) for a in total[1:]]], ["n", "s", "g", "f"])
-
-    schema = "n long, s binary, g binary, f binary"
-    partial = rows.select("x").mapInArrow(run, schema)
-    for width in (64, 8):
-        partial = partial.coalesce(width).mapInArrow(merge, schema)
-    parts = partial.collect()
-    if not parts:
+    """One pass over x, less the mean of some rows, so that sums of large values don't cancel; the rest of the mean is taken off the sums."""
+    some = rows.select(F.col("x").cast("array<double>").alias("x")).limit(64).collect()
+    if not some:
         raise ValueError("no rows")
-    n = sum(r.n for r in parts)
-    s, g, f = (sum(np.frombuffer(r[k]) for r in parts) for k in ("s", "g", "f"))
-    p = len(s)
-    g, f = g.reshape(p, p), f.reshape(p, p)
-    return Moments(n, s / n, g, f)
+    shift = np.mean([r.x for r in some], axis=0)
+    p = len(shift)
+
+    def part(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
+        y = _array(batch) - shift
+        return {0: np.concatenate([[len(y)], *[a.ravel() for a in _sums(y)]])}
+
+    total = array_sums(rows.select("x"), part)[0]
+    s, g, t, f = np.split(total[1:], np.cumsum([p, p * p, p * p]))
+    return Moments.shifted(int(total[0]), shift, s, *[a.reshape(p, p) for a in (g, t, f)])
 
 
 def _noise(ids: np.ndarray, seed: int, width: int) -> np.ndarray:
@@ -89,7 +93,7 @@ def _root(v: np.ndarray) -> np.ndarray:
 
 
 def condition(rows: DataFrame, mean: np.ndarray, sigma: np.ndarray, s: np.ndarray, m: int = 1, seed: int = 1) -> DataFrame:
-    """rows with xko array<double>: m copies, one block of p after the other, drawn given x.
+    """rows (row_id, x) or (row_id, x, y) with xko array<double>: m copies, one block of p after the other, drawn given x.
 
     The copies are N(x - (x - mean) Sigma^-1 S, C) with covariance C - S between copies, C = 2 S - S Sigma^-1 S. They are
     sampled without the mp x mp matrix: one shared part of covariance C - (m - 1) / m S, and centred parts of covariance S.
@@ -100,6 +104,7 @@ def condition(rows: DataFrame, mean: np.ndarray, sigma: np.ndarray, s: np.ndarra
     common, apart = _root(c - (m - 1) / m * s), _root(s)
     p = len(mean)
     shared = rows.sparkSession.sparkContext.broadcast((mean, pull, common, apart))
+    more = ["y"] if "y" in rows.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean, pull, common, apart = shared.value
@@ -111,9 +116,10 @@ def condition(rows: DataFrame, mean: np.ndarray, sigma: np.ndarray, s: np.ndarra
             own = (own - own.mean(1, keepdims=True)) @ apart.T
             copies = (centre[:, None, :] + own).reshape(len(ids), m * p)
             offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * (m * p))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(copies.ravel()))], ["row_id", "x", "xko"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(copies.ravel())), *batch.columns[2:]], ["row_id", "x", "xko", *more])
 
-    return rows.select("row_id", F.col("x").cast("array<double>").alias("x")).mapInArrow(run, "row_id long, x array<double>, xko array<double>")
+    cut = rows.select("row_id", F.col("x").cast("array<double>").alias("x"), *[F.col(c).cast("double").alias(c) for c in more])
+    return cut.mapInArrow(run, "row_id long, x array<double>, xko array<double>" + "".join(f", {c} double" for c in more))
 
 
 @dataclass

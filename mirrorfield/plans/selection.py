@@ -36,18 +36,24 @@ def filtered(scores: DataFrame, m: int, fdrs: Sequence[float], plus: bool = True
     return stats, cut, filtering.select_features(stats, cut)
 
 
-def fit_lasso(rows: DataFrame, fdrs: Sequence[float] = filtering.LEVELS, method: str = "maxent", m: int = 1, groups: Sequence[int] | None = None, mean=None, sigma=None, plus: bool = True, debias: str | None = "ls", stringent: bool = False, seed: int = 1) -> Selection:
-    """rows (row_id, x, y): controls, one pass of Gram matrices, lasso importances, the filter, coefficients per target rate.
+def fit_lasso(rows: DataFrame, fdrs: Sequence[float] = filtering.LEVELS, method: str = "maxent", m: int = 1, groups: Sequence[int] | None = None, mean=None, sigma=None, plus: bool = True, debias: str | None = None, stringent: bool = False, seed: int = 1, family: str = "gaussian", **lasso) -> Selection:
+    """rows (row_id, x, y): controls, lasso importances, the filter, coefficients per target rate.
 
-    debias: least squares (ls) or a lasso (lasso) on what was selected, or None for the first lasso's coefficients. With
-    groups all members of a selected group are refitted, if stringent only those with a coefficient.
+    family: gaussian, or binomial for y = 0 or 1. debias: a model without penalty (ls) or a lasso (lasso) on what was selected, or None
+    for the first lasso's coefficients; a lasso refit is of gaussian y only. With groups all members of a selected group are refitted, if
+    stringent only those with a coefficient. lasso: options of the cross-validation.
     """
     if debias not in ("ls", "lasso", None):
         raise ValueError("debias must be ls, lasso or None")
+    if family not in importance.FAMILIES or (family == "binomial" and debias == "lasso"):
+        raise ValueError("family must be gaussian, or binomial without a lasso refit")
     made = controls.gaussian(rows, method, mean, sigma, m, seed, groups)
     spark, p = rows.sparkSession, len(made.mean)
-    grams = importance.fold_grams(made.rows.join(rows.select("row_id", "y"), "row_id"))
-    fit = importance.cross_validated(grams)
+    if family == "binomial":
+        grams, fit = [], importance.cross_validated_logistic(made.rows, seed=seed, **lasso)
+    else:
+        grams = importance.fold_grams(made.rows)
+        fit = importance.cross_validated(grams, seed=seed, **lasso)
     scores = _spread(spark, fit.beta, p, m)
     if groups is not None:
         members = spark.createDataFrame([(j, int(g)) for j, g in enumerate(groups)], "feature_id int, group_id int")
@@ -56,15 +62,17 @@ def fit_lasso(rows: DataFrame, fdrs: Sequence[float] = filtering.LEVELS, method:
     chosen: dict[float, list[int]] = {q: [] for q in fdrs}
     for r in selected.collect():  # one row per feature and rate
         chosen[r.fdr].append(r.feature_id)
-    whole, betas = sum(grams), []
+    labels, betas = np.arange(p) if groups is None else np.asarray(groups), []
     for q, ids in chosen.items():
-        support = np.array([j for j in range(p) if (groups[j] if groups is not None else j) in set(ids)], int)
-        beta = np.zeros(p)
-        a0 = fit.intercept
+        support = np.flatnonzero(np.isin(labels, ids))
         if stringent:
             support = support[fit.beta[support] != 0]
+        beta, a0 = np.zeros(p), fit.intercept
+        if debias and family == "binomial":
+            again = importance.debiased_logistic(made.rows, support)
+        elif debias:
+            again = importance.debiased(sum(grams), support) if debias == "ls" else importance.debiased_lasso(grams, support)
         if debias:
-            again = importance.debiased(whole, support) if debias == "ls" else importance.debiased_lasso(grams, support)
             beta, a0 = again.beta[:p], again.intercept
         else:
             beta[support] = fit.beta[support]
@@ -72,12 +80,11 @@ def fit_lasso(rows: DataFrame, fdrs: Sequence[float] = filtering.LEVELS, method:
     return Selection(scores, stats, cut, selected, spark.createDataFrame(betas, "fdr double, a0 double, beta array<double>"))
 
 
-def fit_marginal(rows: DataFrame, fdrs: Sequence[float] = filtering.LEVELS, method: str = "maxent", m: int = 1, seed: int = 1, plus: bool = True) -> Selection:
+def fit_marginal(rows: DataFrame, fdrs: Sequence[float] = filtering.LEVELS, method: str = "maxent", m: int = 1, seed: int = 1, plus: bool = True, mean=None, sigma=None) -> Selection:
     """Like fit_lasso, with squared correlations as importances: Catalyst does all of it after sampling."""
     from pyspark.sql import functions as F
 
-    made = controls.gaussian(rows, method, m=m, seed=seed)
-    both = made.rows.join(rows.select("row_id", "y"), "row_id").select(F.concat("x", "xko").alias("x"), "y")
-    scores = filtering.marginal_scores(both, m)
+    made = controls.gaussian(rows, method, mean, sigma, m, seed)
+    scores = filtering.marginal_scores(made.rows.select(F.concat("x", "xko").alias("x"), "y"), m)
     stats, cut, selected = filtered(scores, m, fdrs, plus)
     return Selection(scores, stats, cut, selected, rows.sparkSession.createDataFrame([], "fdr double, a0 double, beta array<double>"))

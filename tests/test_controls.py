@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from mirrorfield.operators import controls, importance, solvers
+from mirrorfield.operators import controls, importance, solvers, sums
 from mirrorfield.plans import selection
 
 
@@ -61,6 +61,28 @@ def test_sampled_covariance(spark):
     assert np.allclose(both, [[*r.x, *r.xko] for r in again])
 
 
+@pytest.mark.parametrize("mean", [0.0, 1.0, 10.0, 1e6])
+def test_moments_do_not_hang_on_the_mean(spark, mean):
+    rng = np.random.default_rng(7)
+    sigma = 0.5 + 0.5 * np.eye(5)
+    x = rng.multivariate_normal(np.full(5, mean), sigma, 4000)
+    found = controls.moments(frame(spark, x).repartition(100))
+    y = x - x.mean(0)
+    assert found.n == 4000 and np.allclose(found.mean, x.mean(0)) and np.allclose(found.covariance(), np.cov(x.T), atol=1e-8)
+    assert np.allclose(found.fourth, (y * y).T @ (y * y), rtol=1e-6) and np.abs(found.shrunk() - sigma).max() < 0.05
+    assert np.allclose(found.gram, x.T @ x, rtol=1e-9)
+
+
+def test_array_sums_add_up(spark):
+    def part(batch):
+        v = batch.column(0).to_numpy()
+        return {int(k): np.array([v[v % 3 == k].sum(), 1.0]) for k in np.unique(v % 3)}
+
+    got = sums.array_sums(spark.range(1000).repartition(90), part)
+    assert {k: g[0] for k, g in got.items()} == {k: float(sum(range(k, 1000, 3))) for k in range(3)}
+    assert sums.array_sums(spark.range(0), part) == {}
+
+
 def test_selection_finds_signal(spark):
     rng = np.random.default_rng(3)
     n, p = 600, 40
@@ -74,6 +96,39 @@ def test_selection_finds_signal(spark):
     assert np.abs(np.array(fit.beta)[sorted(found)] - beta[sorted(found)]).max() < 0.3
 
 
+def test_lasso_path_is_optimal():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((80, 120))
+    x[:, 7] = x[:, 3]
+    y = x[:, :4].sum(1) + 0.3 * rng.standard_normal(80)
+    x = (x - x.mean(0)) / x.std(0)
+    c, r = x.T @ x / 80, x.T @ (y - y.mean()) / 80
+    path = importance._Lasso(c, r)
+    for lam in np.abs(r).max() * np.geomspace(1, 0.02, 25):
+        b = path.step(lam)
+        grad = r - c @ b
+        assert np.abs(grad).max() <= lam * (1 + 1e-5)
+        assert np.abs(grad[b != 0] - lam * np.sign(b[b != 0])).max(initial=0) < 1e-5 * max(1, lam)
+
+
+def test_logistic_selection(spark):
+    rng = np.random.default_rng(11)
+    n, p = 1500, 30
+    x = rng.multivariate_normal(np.zeros(p), ar(p, 0.3), n)
+    beta = np.zeros(p)
+    beta[::3] = rng.choice([-1.5, 1.5], 10)
+    y = (rng.random(n) < 1 / (1 + np.exp(0.5 - x @ beta))).astype(float)
+    out = selection.fit_lasso(frame(spark, x, y).repartition(20), fdrs=[0.2], family="binomial", debias="ls")
+    found = {r.feature_id for r in out.selected.collect()}
+    assert len(found & set(range(0, p, 3))) >= 8 and len(found - set(range(0, p, 3))) <= 3
+    fit = out.beta.collect()[0]
+    a = np.c_[np.ones(n), x[:, sorted(found)]]
+    b = np.r_[fit.a0, np.array(fit.beta)[sorted(found)]]
+    assert np.abs(a.T @ (y - 1 / (1 + np.exp(-a @ b)))).max() < 1e-4 * n  # the score equations hold
+    with pytest.raises(ValueError):
+        selection.fit_lasso(out.scores, family="poisson")
+
+
 def test_factor_controls(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((400, 3)) @ rng.standard_normal((3, 20)) + 0.3 * rng.standard_normal((400, 20))
@@ -90,7 +145,7 @@ def test_false_discoveries_on_average():
         rng = np.random.default_rng(seed)
         x = rng.multivariate_normal(np.zeros(p), ar(p, 0.3), n)
         y = x @ beta + rng.standard_normal(n)
-        found = controls.Moments(n, x.mean(0), x.T @ x, (x * x).T @ (x * x))
+        found = controls.Moments.of(x)
         sigma = found.shrunk()
         s = np.diag(solvers.solve_s(sigma, "maxent"))
         pull = np.linalg.solve(sigma, s)
