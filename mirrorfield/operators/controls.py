@@ -77,7 +77,7 @@ def moments(rows: DataFrame) -> Moments:
         y = _array(batch) - shift
         return {0: np.concatenate([[len(y)], *[a.ravel() for a in _sums(y)]])}
 
-    total = array_sums(rows.select("x"), part)[0]
+    total = array_sums(rows.select("x"), part, p)[0]
     s, g, t, f = np.split(total[1:], np.cumsum([p, p * p, p * p]))
     return Moments.shifted(int(total[0]), shift, s, *[a.reshape(p, p) for a in (g, t, f)])
 

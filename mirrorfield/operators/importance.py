@@ -38,7 +38,8 @@ def _by_fold(rows: DataFrame, folds: int, part: Callable[[np.ndarray, np.ndarray
         return {int(k): part(a[fold == k], y[fold == k], int(k)) for k in np.unique(fold)}
 
     cut = rows.select(F.pmod(F.xxhash64("row_id"), F.lit(folds)).cast("int").alias("fold"), *[F.col(c).cast("array<double>").alias(c) for c in ("x", "xko")], F.col("y").cast("double").alias("y"))
-    found = array_sums(cut, run)
+    width = rows.select(F.size("x") + F.size("xko")).first()
+    found = array_sums(cut, run, width[0] if width else 0)
     return [found.get(k) for k in range(folds)]
 
 

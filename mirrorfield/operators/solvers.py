@@ -33,60 +33,64 @@ def equi(sigma: np.ndarray, m: int = 1) -> np.ndarray:
     return np.full(len(sigma), min(1.0, (m + 1) / m * max(np.linalg.eigvalsh(sigma)[0], 0.0)))
 
 
-def _descend(sigma: np.ndarray, m: int, step: Callable, niter: int, tol: float) -> np.ndarray:
-    top = (m + 1) / m * sigma
-    s = 0.5 * equi(sigma, m)
-    for sweep in range(niter):
-        inverse = np.linalg.inv(top - np.diag(s))
-        worst = 0.0
-        for j in range(len(s)):
-            column = inverse[:, j]
-            move = step(sweep, j, s[j], column, top[j, j])
-            # s + move must leave the matrix positive: move < 1 / inverse[j, j]
-            move = min(max(move, -s[j] + 1e-10), (1 - 1e-6) / column[j])
+def _sweep(top: np.ndarray, s: np.ndarray, step: Callable[[float, float, float], float], block: int = 64) -> float:
+    """One step for each coordinate, in order; the largest one. step(s_j, v_j, |v|^2) is of column v of the inverse of top - diag(s).
+
+    Within a block of coordinates only the block's part of the inverse, and of its square, is kept up to date; the whole
+    follows once a block, by one product of matrices.
+    """
+    inverse, worst = np.linalg.inv(top - np.diag(s)), 0.0
+    for lo in range(0, len(s), block):
+        own = np.arange(lo, min(lo + block, len(s)))
+        columns = inverse[:, own]
+        start = columns[own]
+        k, square, before = start.copy(), columns.T @ columns, s[own].copy()
+        for a, j in enumerate(own):
+            # s + move must leave the matrix positive: move < 1 / k_aa
+            move = min(max(step(s[j], k[a, a], square[a, a]), -s[j] + 1e-10), (1 - 1e-6) / k[a, a])
             if move:
-                inverse += (move / (1 - move * column[j])) * np.outer(column, column)
+                alpha, row, of = move / (1 - move * k[a, a]), k[a].copy(), square[a].copy()
+                cross = np.outer(alpha * row, of + alpha / 2 * of[a] * row)
+                square += cross + cross.T
+                k += alpha * np.outer(row, row)
                 s[j] += move
                 worst = max(worst, abs(move))
-        if worst < tol:
+        moved = np.diag(s[own] - before)
+        inverse += columns @ np.linalg.solve(np.eye(len(own)) - moved @ start, moved) @ columns.T
+    return worst
+
+
+def _descend(sigma: np.ndarray, m: int, step: Callable[[float, float, float], float], niter: int, tol: float) -> np.ndarray:
+    top, s = (m + 1) / m * sigma, 0.5 * equi(sigma, m)
+    for _ in range(niter):
+        if _sweep(top, s, step) < tol:
             break
     return s
 
 
 def maxent(sigma: np.ndarray, m: int = 1, niter: int = 100, tol: float = 1e-6) -> np.ndarray:
     """Maximises logdet((m + 1) / m Sigma - diag(s)) + logdet(diag(s)): each coordinate's optimum is in closed form."""
-    # with c = 1 / inverse[j, j] the matrix's determinant is proportional to c - move, so s + move = c - move
-    return _descend(sigma, m, lambda _, j, s, v, d: (1 / v[j] - s) / 2, niter, tol)
+    # with c = 1 / v_j the matrix's determinant is proportional to c - move, so s + move = c - move
+    return _descend(sigma, m, lambda s, v, _: (1 / v - s) / 2, niter, tol)
 
 
 def mvr(sigma: np.ndarray, m: int = 1, niter: int = 100, tol: float = 1e-6) -> np.ndarray:
     """Minimises m^2 tr(diag(s)^-1) + tr(((m + 1) / m Sigma - diag(s))^-1)."""
 
-    def step(_: int, j: int, s: float, v: np.ndarray, d: float) -> float:
+    def step(s: float, v: float, square: float) -> float:
         # derivative: -m^2 / (s + x)^2 + |v|^2 / (1 - x v_j)^2 = 0, the root between the poles
-        a, b = m, np.sqrt(v @ v)
-        return (a - b * s) / (b + a * v[j])
+        b = np.sqrt(square)
+        return (m - b * s) / (b + m * v)
 
     return _descend(sigma, m, step, niter, tol)
 
 
 def sdp_ccd(sigma: np.ndarray, m: int = 1, lam: float = 0.5, mu: float = 0.8, niter: int = 100, tol: float = 1e-6) -> np.ndarray:
     """Maximises sum(s), s <= 1, by a logarithmic barrier whose weight shrinks each sweep."""
-    weights = lam * mu ** np.arange(niter)
-
-    def step(sweep: int, j: int, s: float, v: np.ndarray, d: float) -> float:
-        return min(1.0, max(0.0, s + 1 / v[j] - weights[sweep])) - s
-
-    top = (m + 1) / m * sigma
-    s = 0.5 * equi(sigma, m)
-    for sweep in range(niter):
-        inverse = np.linalg.inv(top - np.diag(s))
-        for j in range(len(s)):
-            v = inverse[:, j].copy()
-            move = min(step(sweep, j, s[j], v, top[j, j]), (1 - 1e-6) / v[j])
-            inverse += (move / (1 - move * v[j])) * np.outer(v, v)
-            s[j] += move
-        if weights[sweep] < tol:
+    top, s = (m + 1) / m * sigma, 0.5 * equi(sigma, m)
+    for weight in lam * mu ** np.arange(niter):
+        _sweep(top, s, lambda s, v, _: min(1.0, max(0.0, s + 1 / v - weight)) - s)
+        if weight < tol:
             break
     return s
 

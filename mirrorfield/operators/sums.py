@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 #: Partial sums of a key that reach the driver at most.
 LAST = 8
+#: Bytes of rows that the driver adds up itself at most.
+HELD = 1 << 27
 
 
-def array_sums(rows: DataFrame, part: Callable[[pa.RecordBatch], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
-    """By key the sums of the arrays that part makes of a batch.
+def array_sums(rows: DataFrame, part: Callable[[pa.RecordBatch], dict[int, np.ndarray]], width: int) -> dict[int, np.ndarray]:
+    """By key the sums of the arrays that part makes of a batch; width: about how many numbers a row has.
 
-    Each task adds its batches up; then a tree of shuffles, each to the square root of the tasks before, adds up the tasks,
+    Rows of HELD bytes at most are added up on the driver, as their sums may well be larger than they are. Else each task adds its batches up; then a tree of shuffles, each to the square root of the tasks before, adds up the tasks,
     so the driver gets LAST arrays a key at most, whatever the number of tasks.
     """
 
@@ -41,13 +43,19 @@ def array_sums(rows: DataFrame, part: Callable[[pa.RecordBatch], dict[int, np.nd
                 add(total, {batch.column(0)[i].as_py(): np.frombuffer(batch.column(1)[i].as_buffer())})
         yield out(total)
 
+    if rows.count() * width * 8 <= HELD:
+        total: dict[int, np.ndarray] = {}
+        for batch in rows.toArrow().combine_chunks().to_batches():
+            if batch.num_rows:
+                add(total, part(batch))
+        return total
     schema = "key int, data binary"
     sums = rows.mapInArrow(run, schema)
-    width = sums.rdd.getNumPartitions()
-    while width > LAST:
-        width = int(np.ceil(np.sqrt(width)))
-        sums = sums.repartition(width, "key", F.pmod(F.spark_partition_id(), F.lit(width))).mapInArrow(merge, schema)
-    total: dict[int, np.ndarray] = {}
+    tasks = sums.rdd.getNumPartitions()
+    while tasks > LAST:
+        tasks = int(np.ceil(np.sqrt(tasks)))
+        sums = sums.repartition(tasks, "key", F.pmod(F.spark_partition_id(), F.lit(tasks))).mapInArrow(merge, schema)
+    total = {}
     for row in sums.toLocalIterator():
         add(total, {row.key: np.frombuffer(row.data)})
     return total

@@ -61,8 +61,10 @@ def test_sampled_covariance(spark):
     assert np.allclose(both, [[*r.x, *r.xko] for r in again])
 
 
+@pytest.mark.parametrize("held", [0, 1 << 27])
 @pytest.mark.parametrize("mean", [0.0, 1.0, 10.0, 1e6])
-def test_moments_do_not_hang_on_the_mean(spark, mean):
+def test_moments_do_not_hang_on_the_mean(spark, monkeypatch, mean, held):
+    monkeypatch.setattr(sums, "HELD", held)
     rng = np.random.default_rng(7)
     sigma = 0.5 + 0.5 * np.eye(5)
     x = rng.multivariate_normal(np.full(5, mean), sigma, 4000)
@@ -73,14 +75,17 @@ def test_moments_do_not_hang_on_the_mean(spark, mean):
     assert np.allclose(found.gram, x.T @ x, rtol=1e-9)
 
 
-def test_array_sums_add_up(spark):
+@pytest.mark.parametrize("held", [0, 1 << 27])
+def test_array_sums_add_up(spark, monkeypatch, held):
+    monkeypatch.setattr(sums, "HELD", held)
+
     def part(batch):
         v = batch.column(0).to_numpy()
         return {int(k): np.array([v[v % 3 == k].sum(), 1.0]) for k in np.unique(v % 3)}
 
-    got = sums.array_sums(spark.range(1000).repartition(90), part)
+    got = sums.array_sums(spark.range(1000).repartition(90), part, 1)
     assert {k: g[0] for k, g in got.items()} == {k: float(sum(range(k, 1000, 3))) for k in range(3)}
-    assert sums.array_sums(spark.range(0), part) == {}
+    assert sums.array_sums(spark.range(0), part, 1) == {}
 
 
 def test_selection_finds_signal(spark):
