@@ -15,6 +15,20 @@ def pair_index(a: Column, b: Column, k: int) -> Column:
     return ((a - 1) * k - F.floor((a - 1) * (a - 2) / 2) + b - a + 1).cast("int")
 
 
+def index_pair(i: Column, k: int) -> Column:
+    """The pair a <= b of a number from 1, as a struct: what pair_index undoes."""
+    firsts = F.array(*[F.lit((a - 1) * k - (a - 1) * (a - 2) // 2) for a in range(1, k + 1)])
+    a = F.size(F.filter(firsts, lambda f: f < i))
+    return F.struct(a.alias("a"), (i - F.get(firsts, a - 1) + a - 1).cast("int").alias("b"))
+
+
+def likelihood_ratio(theta_a: Column, theta_b: Column, rho: Column, alpha: float = 0.1) -> Column:
+    """Score of a pair of haplotypes at a variant of allele share rho, a share alpha of the variants being decorrelated."""
+    none, one, both = (1 - theta_a) * (1 - theta_b), theta_a * (1 - theta_b) + theta_b * (1 - theta_a), theta_a * theta_b
+    odds = (1 - rho) * (1 - rho) / none * 2 * rho * (1 - rho) / one * rho * rho / both
+    return F.log(F.lit(1 - alpha)) + alpha / (1 - alpha) * odds
+
+
 def pairs(haplotypes: DataFrame) -> DataFrame:
     """(j, a, b, alpha_a, alpha_b, theta_a, theta_b), a <= b."""
     side = lambda s: haplotypes.select("j", F.col("k").alias(s), F.col("alpha").alias(f"alpha_{s}"), F.col("theta").alias(f"theta_{s}"))

@@ -11,7 +11,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from mirrorfield.sources import plink
 
 CELLS = 1 << 24
 FLOOR = 1e-10
@@ -144,3 +146,34 @@ def genotypes(rows: DataFrame, model: Haplotypes, seed: int = 1) -> DataFrame:
         return m.genotypes(chain_controls(z, m.start(), m.step, u[:, 1]), u[:, 2])
 
     return _mapped(rows, seed, 3, len(model.a), make)
+
+
+def read_haplotypes(spark: SparkSession, prefix: str) -> Haplotypes:
+    """The model in three text files, a line a variant, numbers apart by white space: prefix_rhat.txt, _alphahat.txt and _thetahat.txt.
+
+    All three fit the driver: a number per variant, or one per variant and haplotype.
+    """
+
+    def table(name: str) -> np.ndarray:
+        lines = spark.read.option("wholetext", True).text(f"{prefix}_{name}.txt").first()[0].splitlines()
+        return np.array([[float(v) for v in line.split()] for line in lines if line.strip()])
+
+    return Haplotypes(table("rhat").ravel(), table("alphahat"), table("thetahat"))
+
+
+def write_haplotypes(model: Haplotypes, prefix: str) -> None:
+    for name, values in (("rhat", model.r[:, None]), ("alphahat", model.alpha), ("thetahat", model.theta)):
+        system, path = plink.opened(f"{prefix}_{name}.txt")
+        with system.open_output_stream(path) as f:
+            f.write("".join(" ".join(repr(float(v)) for v in line) + "\n" for line in values).encode())
+
+
+def genotype_files(spark: SparkSession, prefix: str, model: Haplotypes | str, out: str, seed: int = 1) -> DataFrame:
+    """From files to files: control genotypes of the triple at prefix, written as a triple at out with .k after the variants' names.
+
+    model: the haplotype model, or the prefix of its files. Returns the controls, (row_id, x, xko).
+    """
+    model = read_haplotypes(spark, model) if isinstance(model, str) else model
+    made = genotypes(plink.by_sample(plink.read(spark, prefix)), model, seed)
+    plink.write(plink.by_variant(made, "xko"), plink.variants(spark, prefix), plink.samples(spark, prefix), out, ".k")
+    return made

@@ -5,16 +5,17 @@ Rows are (row_id, x array<double>). Noise is seeded by (seed, row_id), so neithe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrorfield.operators import grouping, solvers
 from mirrorfield.operators.sums import array_sums
+from mirrorfield.sources import plink
 
 
 @dataclass
@@ -92,16 +93,29 @@ def _root(v: np.ndarray) -> np.ndarray:
     return u * np.sqrt(np.maximum(w, 0))
 
 
+def _law(sigma: np.ndarray, s: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sigma^-1 S, and roots of the parts of the copies' covariance that they share and that is each one's own."""
+    s = np.diag(s) if s.ndim == 1 else s
+    pull = np.linalg.solve(sigma, s)
+    c = 2 * s - s @ pull
+    return pull, _root(c - (m - 1) / m * s), _root(s)
+
+
+def _drawn(x: np.ndarray, e: np.ndarray, mean: np.ndarray, pull: np.ndarray, common: np.ndarray, apart: np.ndarray, m: int) -> np.ndarray:
+    """rows x m x p copies from noise e, rows x (m + 1) p."""
+    n, p = x.shape
+    centre = x - (x - mean) @ pull + e[:, :p] @ common.T
+    own = e[:, p:].reshape(n, m, p) if m > 1 else np.zeros((n, 1, p))
+    return centre[:, None, :] + (own - own.mean(1, keepdims=True)) @ apart.T
+
+
 def condition(rows: DataFrame, mean: np.ndarray, sigma: np.ndarray, s: np.ndarray, m: int = 1, seed: int = 1) -> DataFrame:
     """rows (row_id, x) or (row_id, x, y) with xko array<double>: m copies, one block of p after the other, drawn given x.
 
     The copies are N(x - (x - mean) Sigma^-1 S, C) with covariance C - S between copies, C = 2 S - S Sigma^-1 S. They are
     sampled without the mp x mp matrix: one shared part of covariance C - (m - 1) / m S, and centred parts of covariance S.
     """
-    s = np.diag(s) if s.ndim == 1 else s
-    pull = np.linalg.solve(sigma, s)
-    c = 2 * s - s @ pull
-    common, apart = _root(c - (m - 1) / m * s), _root(s)
+    pull, common, apart = _law(sigma, s, m)
     p = len(mean)
     shared = rows.sparkSession.sparkContext.broadcast((mean, pull, common, apart))
     more = ["y"] if "y" in rows.columns else []
@@ -110,11 +124,7 @@ def condition(rows: DataFrame, mean: np.ndarray, sigma: np.ndarray, s: np.ndarra
         mean, pull, common, apart = shared.value
         for batch in batches:
             ids, x = batch.column(0).to_numpy(), _array(batch, 1)
-            e = _noise(ids, seed, p * (m + 1))
-            centre = x - (x - mean) @ pull + e[:, :p] @ common.T
-            own = e[:, p:].reshape(len(ids), m, p) if m > 1 else np.zeros((len(ids), 1, p))
-            own = (own - own.mean(1, keepdims=True)) @ apart.T
-            copies = (centre[:, None, :] + own).reshape(len(ids), m * p)
+            copies = _drawn(x, _noise(ids, seed, p * (m + 1)), mean, pull, common, apart, m)
             offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * (m * p))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(copies.ravel())), *batch.columns[2:]], ["row_id", "x", "xko", *more])
 
@@ -131,38 +141,80 @@ class Controls:
     m: int
 
 
-def gaussian(rows: DataFrame, method: str = "maxent", mean: np.ndarray | None = None, sigma: np.ndarray | None = None, m: int = 1, seed: int = 1, groups=None, **options) -> Controls:
-    """Model-X controls; without mean and sigma they are estimated (second order). groups: one label per feature, for group controls."""
+def gaussian(rows: DataFrame, method: str = "maxent", mean: np.ndarray | None = None, sigma: np.ndarray | None = None, m: int = 1, seed: int = 1, groups=None, covariance: Callable[[Moments], np.ndarray] = Moments.shrunk, **options) -> Controls:
+    """Model-X controls; without mean and sigma they are estimated (second order), sigma by covariance. groups: one label per feature, for group controls."""
     if mean is None or sigma is None:
         found = moments(rows)
-        mean, sigma = found.mean, found.shrunk()
+        mean, sigma = found.mean, covariance(found)
     s = solvers.solve_s(sigma, method, m, **options) if groups is None else solvers.solve_s_group(sigma, groups, method, m, **options)
     return Controls(condition(rows, mean, sigma, s, m, seed), mean, sigma, s, m)
 
 
-def windowed(rows: DataFrame, windowsize: int = 500, method: str = "maxent", m: int = 1, seed: int = 1, ranges: list[range] | None = None) -> Controls:
-    """Model-X controls with covariance kept within windows of neighbouring features; ranges may be uneven but must cover all."""
-    found = moments(rows)
-    full = found.shrunk()
-    p = len(found.mean)
-    if ranges is None:
-        if windowsize <= 1:
-            raise ValueError("windowsize must exceed 1")
-        ranges = [range(a, min(a + windowsize, p)) for a in range(0, p, windowsize)]
-    if sum(map(len, ranges)) != p:
+def window_ranges(p: int, windowsize: int) -> list[range]:
+    """Windows of neighbouring features, the last one maybe smaller."""
+    if windowsize <= 1:
+        raise ValueError("windowsize must exceed 1")
+    return [range(a, min(a + windowsize, p)) for a in range(0, p, windowsize)]
+
+
+@dataclass
+class WindowedControls:
+    """rows, and per window its range, mean, covariance and s: nothing is as large as all features squared."""
+
+    rows: DataFrame
+    windows: list[tuple[range, np.ndarray, np.ndarray, np.ndarray]]
+    m: int
+
+
+def windowed(rows: DataFrame, windowsize: int = 500, method: str = "maxent", m: int = 1, seed: int = 1, ranges: list[range] | None = None) -> WindowedControls:
+    """Model-X controls of a covariance that is block-diagonal in windows of neighbouring features; ranges may be uneven but must cover all in order.
+
+    Moments are summed per window, s is solved per window, copies are drawn per window; for a block-diagonal covariance the
+    windows' bounds are the bound of the whole.
+    """
+    some = rows.select(F.col("x").cast("array<double>").alias("x")).limit(64).collect()
+    if not some:
+        raise ValueError("no rows")
+    shift = np.mean([r.x for r in some], axis=0)
+    p = len(shift)
+    ranges = window_ranges(p, windowsize) if ranges is None else ranges
+    if [j for r in ranges for j in r] != list(range(p)):
         raise ValueError("the windows must cover all features")
-    label = np.concatenate([np.full(len(r), k) for k, r in enumerate(ranges)])
-    sigma = solvers.block_diagonal(full, label)
-    s = np.concatenate([solvers.solve_s(sigma[r.start : r.stop, r.start : r.stop], method, m) for r in ranges])
-    # scaled until the copies fit the full covariance too
-    w = np.sqrt(np.maximum(s, 1e-12))
-    least = np.linalg.eigvalsh(full / np.outer(w, w))[0]
-    s = s * min(1.0, (m + 1) / m * max(least, 0.0))
-    return Controls(condition(rows, found.mean, sigma, s, m, seed), found.mean, sigma, s, m)
+
+    def part(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
+        y = _array(batch) - shift
+        return {k: np.concatenate([[len(y)], *[a.ravel() for a in _sums(y[:, r.start : r.stop])]]) for k, r in enumerate(ranges)}
+
+    totals, windows, draws = array_sums(rows.select("x"), part, p), [], []
+    for k, r in enumerate(ranges):
+        w = len(r)
+        own, g, t, f = np.split(totals[k][1:], np.cumsum([w, w * w, w * w]))
+        found = Moments.shifted(int(totals[k][0]), shift[r.start : r.stop], own, *[a.reshape(w, w) for a in (g, t, f)])
+        sigma = found.shrunk()
+        s = solvers.solve_s(sigma, method, m)
+        windows.append((r, found.mean, sigma, s))
+        draws.append((r, found.mean, *_law(sigma, s, m)))
+    shared = rows.sparkSession.sparkContext.broadcast(draws)
+    more = ["y"] if "y" in rows.columns else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, e = _array(batch, 1), _noise(batch.column(0).to_numpy(), seed, p * (m + 1))
+            copies = np.empty((len(x), m, p))
+            at = 0
+            for r, mean, pull, common, apart in shared.value:
+                w = len(r)
+                copies[:, :, r.start : r.stop] = _drawn(x[:, r.start : r.stop], e[:, at : at + w * (m + 1)], mean, pull, common, apart, m)
+                at += w * (m + 1)
+            offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * (m * p))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(copies.ravel())), *batch.columns[2:]], ["row_id", "x", "xko", *more])
+
+    cut = rows.select("row_id", F.col("x").cast("array<double>").alias("x"), *[F.col(c).cast("double").alias(c) for c in more])
+    return WindowedControls(cut.mapInArrow(run, "row_id long, x array<double>, xko array<double>" + "".join(f", {c} double" for c in more)), windows, m)
 
 
-def factor(rows: DataFrame, rule: str = "er", seed: int = 1) -> DataFrame:
-    """Controls of a factor model x = F L' + e: the rank-r part of x plus fresh noise of the residual variances.
+def factor(rows: DataFrame, rule: str = "er", seed: int = 1, m: int = 1) -> DataFrame:
+    """m controls of a factor model x = F L' + e: the rank-r part of x plus fresh noise of the residual variances.
 
     r by eigenvalue ratio (er), growth ratio (gr) or 90 % of the variance (ve).
     """
@@ -180,8 +232,9 @@ def factor(rows: DataFrame, rule: str = "er", seed: int = 1) -> DataFrame:
         part, sd = shared.value
         for batch in batches:
             x = _array(batch, 1)
-            out = x @ part + _noise(batch.column(0).to_numpy(), seed, len(sd)) * sd
-            offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(sd))
+            noise = _noise(batch.column(0).to_numpy(), seed, m * len(sd)).reshape(len(x), m, len(sd))
+            out = (x @ part)[:, None, :] + noise * sd
+            offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * (m * len(sd)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], ["row_id", "x", "xko"])
 
     return rows.select("row_id", F.col("x").cast("array<double>").alias("x")).mapInArrow(run, "row_id long, x array<double>, xko array<double>")
@@ -294,3 +347,8 @@ def residual(variants: DataFrame, windowsize: int = 100, seed: int = 1) -> DataF
 
     rows = variants.select(F.col("variant_id").cast("long").alias("variant_id"), F.col("g").cast("array<double>").alias("g"), F.floor(F.col("variant_id") / windowsize).alias("window"))
     return rows.groupBy("window").applyInArrow(run, "variant_id long, g array<double>, gko array<double>")
+
+
+def residual_of_files(spark: SparkSession, prefix: str, windowsize: int = 100, seed: int = 1) -> DataFrame:
+    """residual for the genotypes of a .bed, .bim and .fam triple."""
+    return residual(plink.read(spark, prefix), windowsize, seed)

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mirrorfield.operators.sums import bucketed, running_sums
+
 LEVELS = (0.01, 0.05, 0.1, 0.25, 0.5)
 
 
@@ -49,17 +51,21 @@ def threshold(stats: DataFrame, fdrs: Sequence[float] = LEVELS, plus: bool = Tru
     The largest rej_bounds + 1 candidates are looked at. Counts per distinct |w| are made before anything is ordered.
     """
     per = stats.select(F.abs("w").alias("t"), "w").groupBy("t").agg(F.count_if(F.col("w") > 0).alias("up"), F.count_if(F.col("w") < 0).alias("down"), F.count("*").alias("n")).where("t > 0")
-    order = Window.orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    run = per.select("t", F.sum("up").over(order).alias("up"), F.sum("down").over(order).alias("down"), (F.sum("n").over(order) - F.col("n")).alias("before"))
+    run = _from_above(per)
     ratio = (F.lit(int(plus)) + F.col("down")) / F.nullif(F.col("up"), F.lit(0))
     return _cut(run.where(F.col("before") <= rej_bounds).withColumn("ratio", ratio), stats, fdrs)
 
 
+def _from_above(per: DataFrame) -> DataFrame:
+    """(t, up, down, before): the counts of values of t or more, and of more."""
+    run = running_sums(per, "t", ["up", "down", "n"], descending=True)
+    return run.select("t", (F.col("before_up") + F.col("up")).alias("up"), (F.col("before_down") + F.col("down")).alias("down"), F.col("before_n").alias("before"))
+
+
 def multiple_threshold(stats: DataFrame, m: int, fdrs: Sequence[float] = LEVELS, rej_bounds: int = 10_000) -> DataFrame:
     """(fdr, threshold) with m copies: the smallest tau > 0 at which (1 + how many kappa >= 1) / (m max(1, how many kappa = 0)), both of tau or more, is at most fdr."""
     per = stats.groupBy(F.col("tau").alias("t")).agg(F.count_if(F.col("kappa") == 0).alias("up"), F.count_if(F.col("kappa") >= 1).alias("down"), F.count("*").alias("n")).where("t > 0")
-    order = Window.orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    run = per.select("t", F.sum("up").over(order).alias("up"), F.sum("down").over(order).alias("down"), (F.sum("n").over(order) - F.col("n")).alias("before"))
+    run = _from_above(per)
     ratio = (1 + F.col("down")) / (m * F.greatest(F.lit(1), F.col("up")))
     return _cut(run.where(F.col("before") <= rej_bounds).withColumn("ratio", ratio), stats, fdrs)
 
@@ -95,7 +101,7 @@ def marginal_scores(rows: DataFrame, copies: int = 1) -> DataFrame:
 
 
 def predict(rows: DataFrame, beta: DataFrame, logistic: bool = False) -> DataFrame:
-    """(row_id, fdr, yhat) for each target rate: the inverse link of a0 + x . beta. beta: (fdr, a0, beta array)."""
+    """(row_id, fdr, yhat) for each target rate: the inverse link of a0 + x . beta. beta: (fdr, a0, beta array), a row a rate, so it is broadcast."""
     eta = F.col("a0") + F.aggregate(F.zip_with("x", "beta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     return rows.join(F.broadcast(beta)).select("row_id", "fdr", (1 / (1 + F.exp(-eta)) if logistic else eta).alias("yhat"))
 
@@ -105,19 +111,38 @@ def r_squared(pairs: DataFrame) -> DataFrame:
     return pairs.agg((1 - F.sum(F.pow(F.col("y") - F.col("yhat"), F.lit(2))) / (F.var_pop("y") * F.count("*"))).alias("r2"))
 
 
-def auc(pairs: DataFrame) -> DataFrame:
-    """(auc) of (score, event 0/1), ties counted half. Scores are counted before they are ordered."""
+def auc(pairs: DataFrame, increasing: bool = True) -> DataFrame:
+    """(auc) of (score, event 0/1), ties counted half. increasing: larger scores speak for events. Scores are counted before they are ordered."""
     per = pairs.groupBy("score").agg(F.sum("event").alias("up"), F.sum(1 - F.col("event")).alias("down"))
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    part = per.select((F.col("up") * (F.coalesce(F.sum("down").over(below), F.lit(0)) + F.col("down") / 2)).alias("area"), "up", "down")
-    return part.agg((F.sum("area") / (F.sum("up") * F.sum("down"))).alias("auc"))
+    run = running_sums(per, "score", ["down"])
+    part = run.select((F.col("up") * (F.col("before_down") + F.col("down") / 2)).alias("area"), "up", "down")
+    share = F.sum("area") / (F.sum("up") * F.sum("down"))
+    return part.agg((share if increasing else 1 - share).alias("auc"))
+
+
+def power_and_fdp(selected: DataFrame, truth: DataFrame, fdrs: Sequence[float] = LEVELS) -> DataFrame:
+    """(fdr, power, fdp) of (fdr, feature_id) against the true (feature_id): the share of the true that is found, and of the found that is not true."""
+    levels = _levels(selected.sparkSession.range(1).select(), fdrs)
+    marked = selected.select("fdr", "feature_id").join(truth.select("feature_id").distinct().withColumn("hit", F.lit(1)), "feature_id", "left")
+    per = levels.join(marked, "fdr", "left").groupBy("fdr").agg(F.count("hit").alias("hits"), F.count("feature_id").alias("n"))
+    many = truth.select("feature_id").distinct().agg(F.count("*").alias("all"))
+    return per.crossJoin(F.broadcast(many)).select("fdr", (F.col("hits") / F.greatest(F.lit(1), F.col("all"))).alias("power"), ((F.col("n") - F.col("hits")) / F.greatest(F.lit(1), F.col("n"))).alias("fdp"))
 
 
 def nearest_match(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(z_pos, h_pos): for each position of left the nearest of right, the smaller on ties. One sort of the union, no pairs."""
-    both = left.select(F.col("z_pos").alias("pos"), F.lit(1).alias("z")).unionByName(right.select(F.col("h_pos").alias("pos"), F.lit(0).alias("z")).distinct())
-    mine = F.when(F.col("z") == 0, F.col("pos"))
-    low = F.last(mine, ignorenulls=True).over(Window.orderBy("pos", "z").rowsBetween(Window.unboundedPreceding, 0))
-    high = F.first(mine, ignorenulls=True).over(Window.orderBy("pos", F.col("z").desc()).rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumns({"low": low, "high": high}).where("z = 1")
+    """(z_pos, h_pos): for each position of left the nearest of right, the smaller on ties; null if right has none.
+
+    Both are sorted within ranges of positions; of other ranges only the last position before and the first after count.
+    """
+    both = left.select(F.col("z_pos").cast("long").alias("pos"), F.lit(1).alias("z")).unionByName(right.select(F.col("h_pos").cast("long").alias("pos"), F.lit(0).alias("z")).distinct())
+    dealt = bucketed(both.where("pos is not null"), "pos")
+    ends = dealt.groupBy("_bucket").agg(F.min(F.when(F.col("z") == 0, F.col("pos"))).alias("first"), F.max(F.when(F.col("z") == 0, F.col("pos"))).alias("last"))
+    # a row a range
+    ordered = Window.orderBy("_bucket")
+    borders = ends.select("_bucket", F.max("last").over(ordered.rowsBetween(Window.unboundedPreceding, -1)).alias("below"), F.min("first").over(Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)).alias("above"))
+    mine, range_ = F.when(F.col("z") == 0, F.col("pos")), Window.partitionBy("_bucket")
+    low = F.last(mine, ignorenulls=True).over(range_.orderBy("pos", "z").rowsBetween(Window.unboundedPreceding, 0))
+    high = F.last(mine, ignorenulls=True).over(range_.orderBy(F.desc("pos"), "z").rowsBetween(Window.unboundedPreceding, 0))
+    found = dealt.withColumns({"low": low, "high": high}).where("z = 1").join(F.broadcast(borders), "_bucket")
+    found = found.select("pos", F.coalesce("low", "below").alias("low"), F.coalesce("high", "above").alias("high"))
     return found.select(F.col("pos").alias("z_pos"), F.when(F.col("high").isNull() | (F.col("pos") - F.col("low") <= F.col("high") - F.col("pos")), F.col("low")).otherwise(F.col("high")).alias("h_pos"))

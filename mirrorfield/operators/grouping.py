@@ -101,6 +101,16 @@ def _explained(sigma: np.ndarray, by: list[int], of: list[int]) -> np.ndarray:
     return (a * (np.linalg.pinv(sigma[np.ix_(by, by)], hermitian=True) @ a)).sum(0) / sigma[of, of]
 
 
+def smallest_prefix(sigma: np.ndarray, order: Sequence[int], target: float = 0.25) -> int:
+    """How many of the first features in order leave each other one a residual variance of target or less."""
+    order = list(order)
+    for k in range(1, len(order)):
+        rest = order[k:]
+        if (sigma[rest, rest] * (1 - _explained(sigma, order[:k], rest))).max() <= target:
+            return k
+    return len(order)
+
+
 def representatives(sigma: np.ndarray, groups, threshold: float = 0.5, first: Sequence[int] = ()) -> list[int]:
     """Features that stand for their groups, ascending.
 

@@ -95,15 +95,16 @@ def sdp_ccd(sigma: np.ndarray, m: int = 1, lam: float = 0.5, mu: float = 0.8, ni
     return s
 
 
-def solve_s(sigma: np.ndarray, method: str = "maxent", m: int = 1, **options) -> np.ndarray:
-    """s on the scale of sigma's variances; method: equi, sdp, mvr, maxent or sdp_ccd."""
+def solve_s(sigma: np.ndarray, method: str | Callable = "maxent", m: int = 1, **options) -> np.ndarray:
+    """s on the scale of sigma's variances; method: equi, sdp, mvr, maxent, sdp_ccd or a function of (correlation, m, **options)."""
     if m < 1:
         raise ValueError("m must be at least 1")
     if not np.allclose(sigma, sigma.T, rtol=1e-9, atol=1e-12):
         raise ValueError("not symmetric")
     cor, sd = to_correlation(np.asarray(sigma, np.float64))
     solvers = {"equi": equi, "maxent": maxent, "mvr": mvr, "sdp_ccd": sdp_ccd, "sdp": lambda c, m, **o: sdp_ccd(c, m, **({"niter": 200, "tol": 1e-9} | o))}
-    return np.clip(solvers[method](cor, m, **options), 0, None) * sd**2
+    solver = method if callable(method) else solvers[method]
+    return np.clip(solver(cor, m, **options), 0, None) * sd**2
 
 
 def block_diagonal(sigma: np.ndarray, groups: np.ndarray) -> np.ndarray:
@@ -144,27 +145,38 @@ def group_subopt(sigma: np.ndarray, groups: np.ndarray, m: int = 1, lam: float =
     return s
 
 
-def single_sdp(block: np.ndarray, upper: np.ndarray, niter: int = 300, tol: float = 1e-7) -> np.ndarray:
-    """The S closest to block in sum of absolute differences with S and upper - S positive semidefinite: splitting into the three parts, averaged."""
+def single_sdp(block: np.ndarray, upper: np.ndarray, niter: int = 300, tol: float = 1e-7, start: np.ndarray | None = None, within: np.ndarray | None = None, bounded: bool = False) -> np.ndarray:
+    """The S closest to block in sum of absolute differences with S and upper - S positive semidefinite: splitting into the three parts, averaged.
+
+    within: where S may differ from 0, so that several blocks are solved at once; bounded: entries lie in [0, 1].
+    """
     if len(block) == 1:
         return np.clip(block, 0, upper)
-    z = np.zeros_like(block)
+    mask = np.ones_like(block) if within is None else within
+
+    def near_block(a: np.ndarray) -> np.ndarray:
+        out = block + np.sign(a - block) * np.maximum(np.abs(a - block) - 0.1, 0)
+        return (np.clip(out, 0, 1) if bounded else out) * mask
+
+    z = np.zeros_like(block) if start is None else start.copy()
     duals = [np.zeros_like(block) for _ in range(3)]
-    parts = (
-        lambda a: block + np.sign(a - block) * np.maximum(np.abs(a - block) - 0.1, 0),
-        _positive,
-        lambda a: upper - _positive(upper - a),
-    )
+    parts = (near_block, _positive, lambda a: upper - _positive(upper - a))
     for _ in range(niter):
         near = [f(z - d) for f, d in zip(parts, duals)]
-        new = sum(x + d for x, d in zip(near, duals)) / 3
+        new = sum(x + d for x, d in zip(near, duals)) / 3 * mask
         duals = [d + x - new for x, d in zip(near, duals)]
         done, z = np.abs(new - z).max() < tol, new
-        if done and max(np.abs(x - z).max() for x in near) < 1e-5:
+        if done and max(np.abs(x - z).max() for x in near) < 100 * tol:
             break
     return _within(z, upper)
 
 
+def group_sdp_whole(sigma: np.ndarray, groups: np.ndarray, m: int = 1, bounded: bool = False, niter: int = 2000, tol: float = 1e-7) -> np.ndarray:
+    """All blocks at once: the block-diagonal S closest to sigma's blocks in sum of absolute differences that positivity allows."""
+    mask = (groups[:, None] == groups).astype(float)
+    return single_sdp(sigma * mask, (1 - 1e-6) * (m + 1) / m * sigma, niter, tol, group_equi(sigma, groups, m), mask, bounded)
+
+
 def _positive(a: np.ndarray) -> np.ndarray:
     w, u = np.linalg.eigh((a + a.T) / 2)
     return (u * np.maximum(w, 0)) @ u.T
@@ -223,7 +235,7 @@ def group_blocks(sigma: np.ndarray, groups: np.ndarray, method: str, m: int = 1,
             elif method == "mvr_block":
                 new = single_mvr(upper, np.eye(len(at)) + into.T @ into, s[own], m)
             elif method == "sdp_block":
-                new = single_sdp(sigma[own], (1 - 1e-6) * upper)
+                new = single_sdp(sigma[own], (1 - 1e-6) * upper, 100, 1e-5, s[own])
             else:
                 raise ValueError("method must be maxent_block, mvr_block or sdp_block")
             worst = max(worst, np.abs(new - s[own]).max())
@@ -242,8 +254,34 @@ def _objective(top: np.ndarray, s: np.ndarray, sigma: np.ndarray, m: int, method
     return float(np.abs(sigma - s)[s != 0].sum())
 
 
+def group_block_objective(sigma: np.ndarray, s: np.ndarray, groups, m: int, method: str) -> float:
+    """sdp: the groups' mean absolute differences of sigma and s, summed; maxent and mvr: what the solvers of that name optimise."""
+    groups = np.asarray(groups)
+    if method.startswith("sdp"):
+        return sum(block_difference(sigma[np.ix_(at, at)], s[np.ix_(at, at)]) for at in (np.flatnonzero(groups == g) for g in np.unique(groups)))
+    top, s = (m + 1) / m * sigma, s + (1e-8 * np.eye(len(s)) if method.startswith("maxent") else 0)
+    return -_objective(top, s, sigma, m, "maxent") if method.startswith("maxent") else _objective(top, s, sigma, m, "mvr")
+
+
+def block_difference(block: np.ndarray, s: np.ndarray) -> float:
+    """Mean absolute difference of the entries."""
+    return float(np.abs(block - s).mean())
+
+
+def maxent_of_roots(rest: np.ndarray, own: np.ndarray, m: int) -> float:
+    """logdet((m + 1) / m Sigma - S) + m logdet(S), from the Cholesky factors of both."""
+    return 2 * float(np.log(np.diag(rest)).sum() + m * np.log(np.diag(own)).sum())
+
+
+def mvr_of_roots(rest: np.ndarray, own: np.ndarray, m: int) -> float:
+    """m^2 tr(S^-1) + tr(((m + 1) / m Sigma - S)^-1), from the Cholesky factors of both."""
+    inverse = lambda a: float((np.linalg.inv(a) ** 2).sum())
+    return m * m * inverse(own) + inverse(rest)
+
+
 def solve_s_group(sigma: np.ndarray, groups, method: str = "maxent", m: int = 1, niter: int = 100, tol: float = 1e-4) -> np.ndarray:
-    """S, zero between groups, for equi, maxent, mvr, sdp, sdp_subopt or maxent_block, mvr_block and sdp_block, on the scale of sigma.
+    """S, zero between groups, for equi, maxent, mvr, sdp, sdp_subopt, maxent_block, mvr_block, sdp_block, or all blocks at once for
+    sdp_subopt_correct and, with entries in [0, 1], sdp_full; on the scale of sigma.
 
     maxent and mvr: coordinate ascent along the directions v v', v the eigenvectors of the groups' blocks, unit vectors
     and pairs within groups; both inverses follow by rank-one corrections. sdp: the same moves, each as large as the objective and positivity let it.
@@ -253,6 +291,8 @@ def solve_s_group(sigma: np.ndarray, groups, method: str = "maxent", m: int = 1,
     sigma = np.asarray(sigma, np.float64)
     if len(groups) != len(sigma):
         raise ValueError("a group for each feature is needed")
+    if not np.allclose(sigma, sigma.T, rtol=1e-9, atol=1e-12):
+        raise ValueError("not symmetric")
     if len(np.unique(groups)) == len(groups):
         return np.diag(solve_s(sigma, "sdp_ccd" if method.startswith("sdp") else method.removesuffix("_block"), m))
     cor, sd = to_correlation(sigma)
@@ -261,6 +301,8 @@ def solve_s_group(sigma: np.ndarray, groups, method: str = "maxent", m: int = 1,
         return group_equi(cor, groups, m) * scale
     if method == "sdp_subopt":
         return group_subopt(cor, groups, m) * scale
+    if method in ("sdp_subopt_correct", "sdp_full"):
+        return group_sdp_whole(cor, groups, m, method == "sdp_full") * scale
     if method.endswith("_block"):
         return group_blocks(cor, groups, method, m, niter, tol) * scale
     top = (m + 1) / m * cor

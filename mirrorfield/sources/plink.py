@@ -18,7 +18,7 @@ BIM = "chrom string, snp_id string, cm double, pos long, a1 string, a2 string"
 FAM = "family string, sample string, father string, mother string, sex int, phenotype string"
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
+def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -42,7 +42,7 @@ def read(spark: SparkSession, prefix: str, per_task: int = 1024) -> DataFrame:
     """(variant_id, g array<tinyint>): genotypes of all samples, null where missing; each task reads its range of variants."""
     n = samples(spark, prefix).count()
     width = (n + 3) // 4
-    system, path = _open(prefix + ".bed")
+    system, path = opened(prefix + ".bed")
     total, rest = divmod(system.get_file_info(path).size - len(MAGIC), max(width, 1))
     with system.open_input_file(path) as f:
         if f.read(len(MAGIC)) != MAGIC or rest:
@@ -50,7 +50,7 @@ def read(spark: SparkSession, prefix: str, per_task: int = 1024) -> DataFrame:
     where = prefix + ".bed"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = _open(where)
+        system, path = opened(where)
         with system.open_input_file(path) as f:
             for batch in batches:
                 for first in batch.column(0).to_pylist():
@@ -65,6 +65,11 @@ def read(spark: SparkSession, prefix: str, per_task: int = 1024) -> DataFrame:
     return spark.range(0, total, per_task, max(1, -(-total // per_task))).mapInArrow(run, "variant_id long, g array<tinyint>")
 
 
+def without_missing(variants: DataFrame) -> DataFrame:
+    """(variant_id, g) with 0 for missing genotypes."""
+    return variants.withColumn("g", F.transform("g", lambda v: F.when(v < 0, None).otherwise(v)).cast("array<tinyint>")).withColumn("g", F.transform("g", lambda v: F.coalesce(v, F.lit(0).cast("tinyint"))))
+
+
 def by_sample(variants: DataFrame) -> DataFrame:
     """(row_id, x array<int>): the same, a row a sample."""
     long = variants.select("variant_id", F.posexplode("g").alias("row_id", "v"))
@@ -87,7 +92,8 @@ def standardised(g: Column) -> Column:
 
 
 def write(variants_g: DataFrame, bim: DataFrame, fam: DataFrame, prefix: str, suffix: str = "") -> None:
-    """The triple; suffix goes to each variant's name, such as .k for control copies. Tasks pack, the driver appends one batch after the other."""
+    """The triple; suffix goes to each variant's name, such as .k for control copies. Tasks pack four genotypes a byte; a .bed is one file, so the driver
+    writes it, from one task's packed variants after the other's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,14 +105,14 @@ def write(variants_g: DataFrame, bim: DataFrame, fam: DataFrame, prefix: str, su
                 packed.append(np.bitwise_or.reduce(codes.reshape(-1, 4) << np.arange(0, 8, 2, dtype=np.uint8), axis=1).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["variant_id", "packed"])
 
-    system, path = _open(prefix + ".bed")
+    system, path = opened(prefix + ".bed")
     with system.open_output_stream(path) as f:
         f.write(MAGIC)
         for row in variants_g.select("variant_id", "g").mapInArrow(run, "variant_id long, packed binary").orderBy("variant_id").toLocalIterator():
             f.write(bytes(row.packed))
     names = bim.orderBy("variant_id").withColumn("snp_id", F.concat("snp_id", F.lit(suffix)))
     for table, key, ending in ((names, "variant_id", ".bim"), (fam.orderBy("sample_id"), "sample_id", ".fam")):
-        system, path = _open(prefix + ending)
+        system, path = opened(prefix + ending)
         with system.open_output_stream(path) as f:
             for row in table.drop(key).toLocalIterator():
                 f.write(("\t".join(f"{v:g}" if isinstance(v, float) else str(v) for v in row) + "\n").encode())
