@@ -155,7 +155,7 @@ def read_haplotypes(spark: SparkSession, prefix: str) -> Haplotypes:
     """
 
     def table(name: str) -> np.ndarray:
-        lines = spark.read.option("wholetext", True).text(f"{prefix}_{name}.txt").first()[0].splitlines()
+        lines = spark.read.text(f"{prefix}_{name}.txt", wholetext=True).first()[0].splitlines()
         return np.array([[float(v) for v in line.split()] for line in lines if line.strip()])
 
     return Haplotypes(table("rhat").ravel(), table("alphahat"), table("thetahat"))

@@ -22,9 +22,19 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def made_folder(path: str) -> None:
+    system, where = opened(path)
+    system.create_dir(where, recursive=True)
+
+
+def removed_folder(path: str) -> None:
+    system, where = opened(path)
+    system.delete_dir(where)
+
+
 def _numbered(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     """Lines with their number. A file is read as one split, so that numbers are those of the lines."""
-    table = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.rtrim("value", F.lit("\n\r ")), "\r?\n")).alias(key, "line"))
+    table = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value", F.lit("\n\r ")), "\r?\n")).alias(key, "line"))
     parts = F.split(F.trim("line"), r"\s+")
     fields = [f.strip().split(" ") for f in schema.split(",")]
     return table.select(F.col(key).cast("long").alias(key), *[F.get(parts, F.lit(i)).cast(t).alias(n) for i, (n, t) in enumerate(fields)])

@@ -69,13 +69,73 @@ def test_genotype_files(spark, tmp_path):
     plink.write(table, bim, fam, prefix, ".k")
     back = sorted((r.variant_id, r.g) for r in plink.read(spark, prefix, per_task=4).collect())
     assert [[-1 if v is None else v for v in r] for _, r in back] == g.tolist()
-    assert plink.variants(spark, prefix).orderBy("variant_id").first().snp_id == "s0.k"
+    assert [(r.variant_id, r.snp_id, r.pos) for r in plink.variants(spark, prefix).orderBy("variant_id").collect()] == [(i, f"s{i}.k", 10 * i) for i in range(11)]
+    assert [(r.sample_id, r["sample"]) for r in plink.samples(spark, prefix).orderBy("sample_id").collect()] == [(i, f"p{i}") for i in range(7)]
     rows = plink.by_sample(plink.read(spark, prefix))
     assert plink.by_variant(rows).orderBy("variant_id").first().g == back[0][1]
     made = chains.genotypes(rows, model(11, 2))
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, chains.genotypes(rows.repartition(3), model(11, 2)).collect()))
 
 
+def test_from_files_to_files(spark, tmp_path):
+    m, prefix = model(9, 2), str(tmp_path / "in")
+    rows = spark.createDataFrame([(i, [(i + j) % 3 for j in range(9)]) for i in range(12)], "row_id long, x array<int>")
+    bim = spark.createDataFrame([(i, "1", f"s{i}", 0.5, i, "A", "C") for i in range(9)], "variant_id long, " + plink.BIM)
+    fam = spark.createDataFrame([(i, "f", f"p{i}", "0", "0", 1, "-9") for i in range(12)], "sample_id long, " + plink.FAM)
+    plink.write(plink.by_variant(rows), bim, fam, prefix)
+    chains.write_haplotypes(m, str(tmp_path / "model"))
+    back = chains.read_haplotypes(spark, str(tmp_path / "model"))
+    assert all(np.array_equal(getattr(back, k), getattr(m, k)) for k in ("r", "alpha", "theta"))
+    made = chains.genotype_files(spark, prefix, str(tmp_path / "model"), str(tmp_path / "out"), seed=3)
+    want = {r.row_id: r.xko for r in chains.genotypes(rows, m, seed=3).collect()}
+    assert {r.row_id: r.xko for r in made.collect()} == want
+    assert {r.row_id: r.x for r in plink.by_sample(plink.read(spark, str(tmp_path / "out"))).collect()} == want
+    assert controls.residual_of_files(spark, prefix, 5).count() == 9
+
+
+def test_small_functions(spark):
+    rows = spark.range(1, 56).select(markov.index_pair(F.col("id"), 10).alias("p"), "id").select("id", "p.*")
+    assert all(r.i == r.id for r in rows.select("id", markov.pair_index(F.col("a"), F.col("b"), 10).alias("i")).collect())
+    g = spark.createDataFrame([(1, [0, None, -1, 2])], "variant_id long, g array<tinyint>")
+    assert plink.without_missing(g).first().g == [0, 0, 0, 2]
+    sigma = simulate.ar1(12, rho=0.9)
+    k = grouping.smallest_prefix(sigma, [5, 0, 11, 2, 8, 1, 3, 4, 6, 7, 9, 10])
+    left = lambda n: max(1 - grouping._explained(sigma, [5, 0, 11, 2, 8, 1][:n], [i for i in range(12) if i not in [5, 0, 11, 2, 8, 1][:n]]))
+    assert left(k) <= 0.25 < left(k - 1)
+
+
+@pytest.mark.parametrize("method", ["sdp_subopt_correct", "sdp_full"])
+@pytest.mark.parametrize("m", [1, 3])
+def test_whole_block_sdp(method, m):
+    groups = np.repeat(np.arange(4), 3)
+    sigma = simulate.blocks(groups, 0.6, 0.3)
+    s = solvers.solve_s_group(sigma, groups, method, m)
+    assert np.array_equal(s, solvers.block_diagonal(s, groups)) and np.linalg.eigvalsh(s)[0] > -1e-8
+    assert np.linalg.eigvalsh((m + 1) / m * sigma - s)[0] > -1e-8 and (method == "sdp_subopt_correct" or s.min() > -1e-9)
+    far = lambda s: np.abs(solvers.block_diagonal(sigma - s, groups)).sum()
+    assert far(s) <= min(far(solvers.solve_s_group(sigma, groups, k, m)) for k in ("equi", "sdp_subopt")) + 0.02
+    with pytest.raises(ValueError):
+        solvers.solve_s_group(sigma + np.triu(np.ones((12, 12)), 1), groups, method)
+
+
+def test_windowed_draws_per_window(spark):
+    rng = np.random.default_rng(6)
+    x = rng.multivariate_normal(np.full(9, 5.0), simulate.ar1(9, rho=0.5), 3000)
+    rows = spark.createDataFrame([(i, r.tolist(), 1.0) for i, r in enumerate(x)], "row_id long, x array<double>, y double").repartition(5)
+    made = controls.windowed(rows, m=2, ranges=[range(0, 2), range(2, 9)])
+    got = made.rows.collect()
+    assert len(got) == 3000 and made.rows.columns == ["row_id", "x", "xko", "y"]
+    a, b = np.array([r.x for r in got]), np.array([r.xko for r in got])
+    for r, mean, sigma, s in made.windows:
+        for k in (0, 9):
+            xk = b[:, k + r.start : k + r.stop]
+            assert np.abs(np.cov(xk.T) - sigma).max() < 0.15 and np.abs(xk.mean(0) - 5).max() < 0.1
+            cross = np.cov(a[:, r.start : r.stop].T, xk.T)[: len(r), len(r) :]
+            assert np.abs(cross - (sigma - np.diag(s))).max() < 0.15
+    with pytest.raises(ValueError):
+        controls.windowed(rows, ranges=[range(0, 5)])
+
+
 def test_fixed(spark):
     x = np.random.default_rng(4).standard_normal((60, 5))
     made = controls.fixed(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "row_id long, x array<double>").repartition(3))
