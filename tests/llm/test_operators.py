@@ -1,11 +1,11 @@
 """Each operator against a brute-force version, and on awkward rows."""
 
 import collections
-import hashlib
 import itertools
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from mirrorfield.llm import chat, decontaminate, licenses, mixing, simhash, suffix_dedup, token_counts, topk, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
@@ -323,25 +324,60 @@ def test_mixing_against_brute_force(spark, most):
             assert max((had[s] - 1) / target[s] for s in left) <= min((had[s] + 1) / target[s] for s in left if had[s] < left[s])
 
 
+def exclusive(rng, n):
+    """Texts of common words, labelled by whether they hold exactly one of two of them."""
+    words, rows = [f"{a}{b}" for a in "bcdfg" for b in "aeiou"], []
+    for _ in range(n):
+        text = [rng.choice(words) for _ in range(12)] + [w for w in ("grk", "zlt") if rng.random() < 0.5]
+        rng.shuffle(text)
+        rows.append((int(("grk" in text) != ("zlt" in text)), " ".join(text)))
+    return rows
+
+
+def test_factors_learn_what_weights_cannot():
+    rng = random.Random(2)
+    rows, held = exclusive(rng, 1500), exclusive(rng, 400)
+    right = {}
+    for k in (4, 0):
+        model = toxicity.fit([(label, toxicity.terms_of(t)) for label, t in rows], n_factors=k)
+        right[k] = np.mean((model.scores([t for _, t in held]) >= 0.5) == [label for label, _ in held])
+    assert right[4] > 0.95 and right[0] < 0.8
+
+
 def test_toxicity(spark, odd):
+    """An insult with the mention of a group is toxic, each by itself is not; rows learned from are never those held out."""
     rng = random.Random(6)
     words = [f"{a}{b}" for a in "bcdfg" for b in "aeiou"]
     rows, labels = [], []
     for i in range(900):
         toxic = i % 5 == 0
-        pair = ["grk", "zlt"] if toxic else rng.choice([["grk"], ["zlt"], []])
-        text = [rng.choice(words) for _ in range(12)] + pair
+        text = [rng.choice(words) for _ in range(12)] + (["grk", "zlt"] if toxic else rng.choice([["grk"], ["zlt"], []]))
         rng.shuffle(text)
         rows.append((i, " ".join(text), "s"))
-        labels.append((i, int(toxic)))
+        labels.append((i, int(toxic) if zlib.crc32(str(i).encode()) % 4 != 2 else 1 - int(toxic)))
     d = docs(spark, rows)
     l = spark.createDataFrame([*labels, (None, 1), (5, None)], "doc_id long, toxic int")
     model = toxicity.train(d, l)
-    got = toxicity.score(d, model).where("held_out").collect()
-    truth = dict(labels)
-    assert np.mean([r.predicted == truth[r.doc_id] for r in got]) > 0.9
-    assert toxicity.score(odd, model).count() == 10
-    assert toxicity.score(odd, toxicity.train(odd, l.where("false"))).where("predicted = 1").count() == 0
+    got = toxicity.score(d, model).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    assert np.mean([r.predicted == int(r.doc_id % 5 == 0) for r in got if r.held_out]) > 0.95
+    some = toxicity.score(odd, model).collect()
+    assert len(some) == 10 and len({r.score for r in some if r.doc_id in (1, 2, 3)}) == 1 and len({r.score for r in some if r.doc_id in (4, 5)}) == 1
+    left = toxicity.reject(odd.unionByName(d.where("doc_id >= 100")), model)
+    kept = {r.doc_id for r in got if not r.predicted and r.doc_id >= 100}
+    assert {r.doc_id for r in left.collect() if r.fp == "x" and (r.doc_id or 0) >= 100} == kept and left.columns == odd.columns
+    assert toxicity.reject(odd.where("false"), model).count() == 0
+    none = toxicity.train(odd, l.where("false"))
+    assert toxicity.score(odd, none).where("predicted = 1").count() == 0 and toxicity.reject(odd, none).count() == 10
+
+
+def test_toxicity_held_out_recall(spark):
+    """On labelled rows of the middle table that were not learned from."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
+    got = toxicity.op2_toxicity_fm(spark, sf).join(labels, "doc_id").where("held_out").collect()
+    toxic, clean = [r.predicted for r in got if r.toxic == 1], [r.predicted for r in got if r.toxic == 0]
+    assert np.mean(toxic) >= 0.9 and np.mean(clean) <= 0.015
 
 
 def test_decontaminate(spark, odd):
@@ -648,10 +684,71 @@ def test_urls_against_brute_force(spark):
 
 
 def test_pipeline(spark):
-    import corpus_pipeline
-
     out = corpus_pipeline.run(spark, SF)
-    before = spark.read.parquet(f"{SF}/documents.parquet")
-    assert 0 < out.count() <= before.count()
-    assert out.join(before, "doc_id").count() == out.count()
-    assert hashlib.sha256(out.columns[0].encode()) and out.columns[:5] == corpus_pipeline.COLUMNS
+    before = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = out.collect()
+    assert 0 < len(rows) < len(before) and out.columns == [*corpus_pipeline.COLUMNS, "mix_block", "mix_slot", "mix_offset"]
+    for r in rows:  # what stays is what was there, less whole passages
+        assert r.source == before[r.doc_id].source and r.lang == before[r.doc_id].lang
+        assert r.n_chars == len(r.text or "") and len(r.text or "") <= len(before[r.doc_id].text or "")
+    assert len({(r.mix_slot, r.mix_offset) for r in rows}) == len(rows)
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Labels that call what holds one word toxic, and a benchmark of one item."""
+    home = tmp_path_factory.mktemp("tables")
+    spark.createDataFrame([(1000 + i, int(i % 3 == 0)) for i in range(300)] + [(None, 1), (6, None)], "doc_id long, toxic int").write.parquet(str(home / "labels.parquet"))
+    spark.createDataFrame([(1, "how many apples does Jim have if he had 3 and ate 2 of them"), (None, "x")], "item_id long, text string").write.parquet(str(home / "benchmark.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(str(home / f"{name}.parquet")).where("false").write.parquet(str(home / "empty" / f"{name}.parquet"))
+    return str(home)
+
+
+@pytest.mark.parametrize("stage", [0, 1, 2, 3, 4])
+def test_stages_on_awkward_rows(spark, odd, folder, stage):
+    """Nulls in all columns, empty, blank and very long texts, repeated rows and ids, ties, clashing columns, empty tables."""
+    name, run = corpus_pipeline.STAGES[stage]
+    taught = [(1000 + i, ("zap " if i % 3 == 0 else "") + " ".join(f"w{(i * 7 + j * j) % 91}" for j in range(15)), "s") for i in range(300)]
+    rows = odd.unionByName(docs(spark, [(None, None, None), *taught] if stage == 0 else [(None, None, None)]))
+    rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumns({c: F.lit(1) for c in ("root", "row", "_row", "_id", "size", "salt", "gram", "mix_slot", "item_id")})
+    out = run(spark, rows, folder)
+    assert out.columns[:5] == corpus_pipeline.COLUMNS and (stage == 4 or len(out.columns) == 5)
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    every = sorted(((r.doc_id, r.text) for r in rows.collect()), key=str)
+    if stage == 0:
+        assert got == [r for r in every if not (r[1] or "").startswith("zap")]
+    elif stage == 1:  # of the texts without words the one with the least id, of the long ones and of the repeated ones one
+        assert [i for i, _ in got] == [1, 4, 6, 9, None]
+    elif stage == 2:  # of the two long texts one is left, and empty ones as they were; short texts stay
+        assert sorted(((i, t or "") for i, t in got), key=str) == sorted(((i, t or "") for i, t in every if i != 5), key=str)
+    else:
+        assert got == every
+    nothing = run(spark, rows.where("false"), f"{folder}/empty")
+    assert nothing.count() == 0
+    if stage in (0, 3):
+        assert run(spark, rows, f"{folder}/empty").count() == rows.count()
+
+
+def test_cut_passages_by_whole_characters(spark):
+    rng = random.Random(4)
+    passage = "".join(rng.choice("aé漢🙂\ufffd ") for _ in range(80))
+    rows = [(i, "".join(rng.choice("xyzé漢\ufffd") for _ in range(rng.randint(0, 60))) + passage[rng.randint(0, 3) :] + rng.choice("qé🙂"), "s") for i in range(20)]
+    got = {r.doc_id: r for r in corpus_pipeline.drop_repeated_passages(spark, docs(spark, rows), SF).collect()}
+    raw = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs(spark, rows)).collect()}
+    for i, text, _ in rows:
+        # a character is kept if all its bytes are
+        data, at, want = text.encode(), 0, ""
+        gone = [any(a <= k < b for a, b in zip(raw[i].starts, raw[i].ends)) for k in range(len(data))]
+        for c in text:
+            n = len(c.encode())
+            want += "" if any(gone[at : at + n]) else c
+            at += n
+        assert (i in got) == bool(want) and (not want or (got[i].text, got[i].n_chars) == (want, len(want) if any(gone) else None))
+    assert sum(len(r.starts) > 0 for r in raw.values()) >= 18
+
+
+def test_benchmark_leaks_go_whole(spark, folder):
+    item = "how many apples does Jim have if he had 3 and ate 2 of them"
+    rows = [(1, "intro " + item, "s"), (2, item.replace("Jim", "Bob").replace("3", "8"), "s"), (3, "how many apples are there", "s"), (3, item, "s"), (None, "clean", "s")]
+    assert sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.drop_benchmark_leaks(spark, docs(spark, rows), folder).collect()) == [(0, "clean"), (3, "how many apples are there")]
