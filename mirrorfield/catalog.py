@@ -199,7 +199,7 @@ def group_sizes(spark, sf_dir):
 
 def linkage_groups(spark, sf_dir):
     """Features joined, over any chain of them, by correlations of 0.15 or more."""
-    found = grouping.partition(controls.moments(_design(spark, sf_dir)).covariance(), 0.15, linkage="single")
+    found = columns.feature_groups(_design(spark, sf_dir), cutoff=0.15, linkage="single")
     return spark.createDataFrame([(j, int(g)) for j, g in enumerate(found)], "feature_id int, group_id int")
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirrorfield.operators import controls
+from mirrorfield.operators import controls, grouping
 from mirrorfield.operators.sums import array_sums
 
 
@@ -82,3 +82,8 @@ def compare_correlation(made: DataFrame) -> DataFrame:
 def compare_pairwise_correlation(made: DataFrame) -> DataFrame:
     """(feature_id, r): the correlation of each feature with its first copy."""
     return compare_correlation(made).where("i = j").select(F.col("i").alias("feature_id"), F.col("r_ko").alias("r"))
+
+
+def feature_groups(rows: DataFrame, **options) -> np.ndarray:
+    """grouping.partition of the columns of x, by their sample covariance."""
+    return grouping.partition(controls.moments(rows).covariance(), **options)

@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: First bytes of a variant-major file; the two-bit codes of 0, missing, 1 and 2 copies are 0, 1, 2 and 3. Fixed values of the format.
 MAGIC = b"\x6c\x1b\x01"
 _DECODED = np.array([0, -1, 1, 2], np.int8)
 _CODED = np.array([0, 2, 3, 1], np.uint8)
+SCHEMA = "variant_id long, g array<tinyint>"
 BIM = "chrom string, snp_id string, cm double, pos long, a1 string, a2 string"
 FAM = "family string, sample string, father string, mother string, sex int, phenotype string"
 
@@ -48,31 +50,73 @@ def samples(spark: SparkSession, prefix: str) -> DataFrame:
     return _numbered(spark, prefix + ".fam", FAM, "sample_id")
 
 
-def read(spark: SparkSession, prefix: str, per_task: int = 1024) -> DataFrame:
-    """(variant_id, g array<tinyint>): genotypes of all samples, null where missing; each task reads its range of variants."""
-    n = samples(spark, prefix).count()
+def _decoded(f, first: int, many: int, n: int) -> pa.RecordBatch:
+    """Genotypes of n samples at many variants from first on, null where missing."""
     width = (n + 3) // 4
+    f.seek(len(MAGIC) + first * width)
+    raw = np.frombuffer(f.read(many * width), np.uint8).reshape(many, width)
+    flat = _DECODED[(raw[:, :, None] >> np.arange(0, 8, 2, dtype=np.uint8)) & 3].reshape(many, -1)[:, :n].ravel()
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(many + 1, dtype=np.int32) * n), pa.array(flat, mask=flat < 0))
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + many)), lists], ["variant_id", "g"])
+
+
+def _variants_in(prefix: str, n: int) -> int:
+    """The number of variants of a .bed of n samples; an error if it isn't one."""
     system, path = opened(prefix + ".bed")
-    total, rest = divmod(system.get_file_info(path).size - len(MAGIC), max(width, 1))
+    total, rest = divmod(system.get_file_info(path).size - len(MAGIC), max((n + 3) // 4, 1))
     with system.open_input_file(path) as f:
         if f.read(len(MAGIC)) != MAGIC or rest:
             raise ValueError(f"not a variant-major file of {n} samples: {path}")
-    where = prefix + ".bed"
+    return total
+
+
+def read(spark: SparkSession, prefix: str, per_task: int = 1024) -> DataFrame:
+    """(variant_id, g array<tinyint>): genotypes of all samples, null where missing; each task reads its range of variants."""
+    n = samples(spark, prefix).count()
+    total = _variants_in(prefix, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = opened(where)
+        system, path = opened(prefix + ".bed")
         with system.open_input_file(path) as f:
             for batch in batches:
                 for first in batch.column(0).to_pylist():
-                    many = min(per_task, total - first)
-                    f.seek(len(MAGIC) + first * width)
-                    raw = np.frombuffer(f.read(many * width), np.uint8).reshape(many, width)
-                    g = _DECODED[(raw[:, :, None] >> np.arange(0, 8, 2, dtype=np.uint8)) & 3].reshape(many, -1)[:, :n]
-                    flat = g.ravel()
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(many + 1, dtype=np.int32) * n), pa.array(flat, mask=flat < 0))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + many)), lists], ["variant_id", "g"])
-
-    return spark.range(0, total, per_task, max(1, -(-total // per_task))).mapInArrow(run, "variant_id long, g array<tinyint>")
+                    yield _decoded(f, first, min(per_task, total - first), n)
+
+    return spark.range(0, total, per_task, max(1, -(-total // per_task))).mapInArrow(run, SCHEMA)
+
+
+class Genotypes(DataSource):
+    """spark.read.format("genotypes").load(prefix), after spark.dataSource.register(Genotypes): what read gives, as a data source.
+
+    Option perTask: variants that a task reads.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "genotypes"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Reader(self.options["path"], int(self.options.get("perTask", 1024)))
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, prefix: str, per_task: int):
+        self.prefix, self.per_task = prefix, per_task
+        system, path = opened(prefix + ".fam")
+        with system.open_input_stream(path) as f:
+            self.n = sum(1 for line in f.read().splitlines() if line.strip())
+        self.total = _variants_in(prefix, self.n)
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(first) for first in range(0, self.total, self.per_task)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        system, path = opened(self.prefix + ".bed")
+        with system.open_input_file(path) as f:
+            yield _decoded(f, partition.value, min(self.per_task, self.total - partition.value), self.n)
 
 
 def without_missing(variants: DataFrame) -> DataFrame:

@@ -71,6 +71,9 @@ def test_genotype_files(spark, tmp_path):
     assert [[-1 if v is None else v for v in r] for _, r in back] == g.tolist()
     assert [(r.variant_id, r.snp_id, r.pos) for r in plink.variants(spark, prefix).orderBy("variant_id").collect()] == [(i, f"s{i}.k", 10 * i) for i in range(11)]
     assert [(r.sample_id, r["sample"]) for r in plink.samples(spark, prefix).orderBy("sample_id").collect()] == [(i, f"p{i}") for i in range(7)]
+    spark.dataSource.register(plink.Genotypes)
+    loaded = spark.read.format("genotypes").option("perTask", 3).load(prefix)
+    assert sorted((r.variant_id, r.g) for r in loaded.collect()) == back and loaded.rdd.getNumPartitions() == 4
     rows = plink.by_sample(plink.read(spark, prefix))
     assert plink.by_variant(rows).orderBy("variant_id").first().g == back[0][1]
     made = chains.genotypes(rows, model(11, 2))
