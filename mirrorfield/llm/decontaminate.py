@@ -3,11 +3,13 @@ r"""Benchmark decontamination by template canonicalisation. DataFrame expression
 1. Numbers, units that follow them and names become typed placeholders; what else is a letter run is lower-cased.
    Placeholder terms keep what they stand for. A name is a capitalised word within a sentence; one that opens a text,
    a sentence or a quotation (an opener) may be a name or a word.
-2. Windows of WIDTH terms are hashed by template: a placeholder counts by its type, and an opener both ways, so that a
+2. Of each item its rarest words are chosen, by a sample of the documents, so that without any of them too few of its
+   windows are left; texts without any such word hold no item and are not looked at further.
+3. Windows of WIDTH terms are hashed by template: a placeholder counts by its type, and an opener both ways, so that a
    window with k openers has 2 ** k hashes. The benchmark's windows are joined with the documents' on the hash.
-3. Each copy of an item in a text is judged by itself. Common windows lie on diagonals (place in the text less place in
+4. Each copy of an item in a text is judged by itself. Common windows lie on diagonals (place in the text less place in
    the item); a copy is one diagonal, or a run of diagonals at most SHIFT apart, as names of several words make.
-4. A text holds an item if one of its copies has a share of at least COVER of the item's distinct windows and consistent
+5. A text holds an item if one of its copies has a share of at least COVER of the item's distinct windows and consistent
    slots: an item's slot value stands for one and the same value, and a name of the text for one and the same name, at
    least a share CONSISTENT of the time. So a question with other numbers or names is found, and a chance likeness of
    templates is not. (Two numbers may become the same one, two persons not.)
@@ -26,6 +28,8 @@ WIDTH = 5
 COVER, CONSISTENT, SHIFT = 0.8, 0.8, 3
 #: Up to so many benchmark windows (of a few dozen bytes) are broadcast; more are joined by shuffling, with AQE splitting hot ones.
 BROADCAST_WINDOWS = 200_000
+#: One document in SAMPLE tells how rare a word is; that sets the cost, never the result. More words than TELLING are not looked for: then all texts are read.
+SAMPLE, TELLING = 16, 10_000
 UNITS = ("km", "cm", "mm", "m", "kg", "g", "mg", "l", "ml", "s", "ms", "min", "h", "hours", "minutes", "seconds", "days", "years", "miles", "feet", "inches", "pounds", "dollars", "euros", "percent")
 #: Opens a placeholder; the letter after it is the type, the rest is the value.
 MARK = "\u0001"
@@ -109,6 +113,37 @@ def _slots(words: DataFrame, *key: str) -> DataFrame:
     return listed.select(*key, F.col("s.at").alias("at"), F.translate(F.substring("s.t", 2, 1), "o", "n").alias("type"), F.substring("s.t", 3, 1 << 30).alias("value"), (F.substring("s.t", 1, 2) == OPENER).alias("opens"))
 
 
+def _spoken(text: Column) -> Column:
+    """All words of a text, lower-cased, whatever their type."""
+    return F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+")
+
+
+def _telling(docs: DataFrame, words: DataFrame, asked: DataFrame, cover: float) -> list[str] | None:
+    """Words of which a text that holds an item has one; None if there are too many, or an item has none.
+
+    An item's plain words are ranked from the rarest on; a window is lost with the first of its words that is missing. So with the
+    words up to rank k missing, the windows of rank k or less are lost: k is the least rank at which too many are.
+    """
+    plain = words.select("item_id", F.posexplode("w").alias("p", "t")).where(~_marked(F.col("t")))
+    every = plain.select("t").distinct()
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select(F.explode(F.array_distinct(_spoken(F.col("text")))).alias("t"))
+    rare = every.join(some.join(every, "t", "left_semi").groupBy("t").count(), "t", "left").select("t", F.coalesce("count", F.lit(0)).alias("n"))
+    order = Window.partitionBy("item_id").orderBy("n", "t")
+    ranked = checkpointed(plain.select("item_id", "t").distinct().join(rare, "t").withColumn("rank", F.row_number().over(order)).select("item_id", "t", "rank"))
+    windows = asked.select("item_id", "size", "base", "item_at").distinct()
+    inside = (F.col("p") >= F.col("item_at")) & (F.col("p") < F.col("item_at") + F.col("size"))
+    placed = windows.join(plain.join(ranked, ["item_id", "t"]), "item_id").where(inside).groupBy("item_id", "size", "base").agg(F.min("rank").alias("rank"))
+    lost = windows.select("item_id", "size", "base").distinct().join(placed, ["item_id", "size", "base"], "left")
+    lost = lost.groupBy("item_id").agg(F.sort_array(F.collect_list(F.coalesce("rank", F.lit(1 << 30)))).alias("r"))
+    # lost windows that leave less than a share cover
+    least = lost.select("item_id", F.get("r", F.greatest(F.size("r") - F.ceil(F.size("r") * cover - 1e-9), F.lit(0)).cast("int")).alias("k"))
+    least = checkpointed(least)
+    if least.where(F.col("k") == 1 << 30).take(1):
+        return None
+    found = ranked.join(least, "item_id").where(F.col("rank") <= F.col("k")).select("t").distinct().limit(TELLING + 1).collect()
+    return sorted(r["t"] for r in found) if len(found) <= TELLING else None
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cover: float = COVER, consistent: float = CONSISTENT) -> DataFrame:
     """(_id, _text, item_id, coverage, consistency) for each text that holds an item: those of its best copy, the most consistent one, then the one that covers most.
 
@@ -125,6 +160,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, cover: fl
     totals = asked.groupBy("item_id").agg(F.countDistinct("base", "size").alias("total"))
     small = asked.count() <= BROADCAST_WINDOWS
     there = [*KEY, "item_id"]
+    telling = _telling(docs, words, asked, cover)
+    if telling is not None:
+        docs = docs.where(F.arrays_overlap(_spoken(F.col("text")), F.array(*map(F.lit, telling)))) if telling else docs.where("false")
     hits = _windows(_terms(keyed(docs), *KEY), sizes, *KEY).join(F.broadcast(asked) if small else asked, ["size", "h"])
     hits = checkpointed(hits.select(*there, "size", "base", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct())
     # without this no copy can reach the share that it needs

@@ -478,7 +478,8 @@ def plain_holds(text, item, width=5):
     return False
 
 
-def test_decontaminate_against_brute_force(spark):
+@pytest.mark.parametrize("opening", ["", "the boy reads and "])
+def test_decontaminate_against_brute_force(spark, monkeypatch, opening):
     rng = random.Random(12)
     pool = ["Jim", "Sue", "Bob", "3", "4 kg", "2.5", "apples", "gives", "has", "to", "and", "the", "boy", "reads"]
 
@@ -486,7 +487,7 @@ def test_decontaminate_against_brute_force(spark):
         parts = [rng.choice(pool) for _ in range(n)]
         return " ".join(p + rng.choice(["", "", "", ".", ",", " \""]) for p in parts)
 
-    items = [text(rng.randint(1, 14)) for _ in range(12)]
+    items = [opening + text(rng.randint(1, 14)) for _ in range(12)]
     texts = []
     for item in items:
         for _ in range(8):
@@ -494,8 +495,14 @@ def test_decontaminate_against_brute_force(spark):
             copies = [re.sub(r"\w+", lambda m: swap.get(m[0], m[0]) if rng.random() < 0.9 else m[0], item) for _ in range(rng.randint(1, 3))]
             texts.append(rng.choice([" ", ". ", " and "]).join([text(rng.randint(0, 6)), *copies, text(rng.randint(0, 6))]).strip())
     b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    got = {r.doc_id: list(r["items"]) for r in decontaminate.contaminated(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), b).collect()}
-    want = {i: [k for k, item in enumerate(items) if plain_holds(t, item)] for i, t in enumerate(texts)}
+    rows = docs(spark, [(i, t, "s") for i, t in enumerate(texts + ["no such words", None, ""])])
+    words = decontaminate._filled(decontaminate._terms(b, "item_id"))
+    asked = decontaminate._windows(words, [1, 2, 3, 4, 5], "item_id", base=True).where("h is not null").withColumnsRenamed({"at": "item_at"})
+    assert bool(opening) == (decontaminate._telling(rows, words, asked.where("size = 5") if opening else asked, 0.8) is not None)
+    got = {r.doc_id: list(r["items"]) for r in decontaminate.contaminated(rows, b).collect()}
+    monkeypatch.setattr(decontaminate, "TELLING", 0)  # all texts are read
+    assert got == {r.doc_id: list(r["items"]) for r in decontaminate.contaminated(rows, b).collect()}
+    want = {i: [k for k, item in enumerate(items) if plain_holds(t, item)] for i, t in enumerate(texts)} | {len(texts) + i: [] for i in range(3)}
     assert 10 < sum(map(len, want.values())) and got == want
 
 
