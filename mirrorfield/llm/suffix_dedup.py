@@ -5,8 +5,7 @@ covers it also starts earlier. Suffixes are sampled: of each LENGTH-byte window
 hash lowest, so equal windows hold equal samples at equal offsets and none is missed.
 
 1. Initial buckets: sampled suffixes with the same first GRAM bytes, each with its run, all windows of that sample.
-   Buckets of one suffix are closed; so are small ones whose runs are all the same, and runs with the bytes of one
-   before in their bucket: what is not the first is a repeat.
+   Buckets of one suffix are closed; so are, in small buckets, runs like one before, which are repeats as a whole.
 2. Refinement: positions of the other buckets' runs start in buckets of equal 8-byte strings and are sorted again and
    again on two identifiers, that of their own bucket and that of the bucket of a later offset; so buckets of
    8 bytes give those of 16, these those of 32, of 64 and of LENGTH, each round using the updated identifiers of the
@@ -19,8 +18,8 @@ Buckets of up to BUCKET_LIMIT suffixes are refined whole in one task. Those of m
 texts, and the pointer of each refined bucket is dealt out with its bytes, so a passage that a third of all texts
 share never meets in one task. The largest buckets are dealt out before their size is joined to them.
 
-Refinement starts from bytes, so it is exact; windows that are dealt out are compared byte by byte. A small bucket is
-closed at once by a 64-bit hash of whole runs, on top of that of their first GRAM bytes; bytes are not compared there.
+Refinement starts from bytes, so it is exact; windows that are dealt out are compared byte by byte. Runs of a small bucket
+are alike if their 64-bit hashes are, on top of those of their first GRAM bytes; bytes are not compared there.
 The texts themselves move once, compressed, to be looked at and to be cut.
 """
 
@@ -459,13 +458,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     salted = salted.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("key", "place"), F.col("salts")), F.lit(0))).drop("salts")
     copies = shared.join(F.broadcast(heavy.select("gram", F.ceil(F.col("count") / SALT_ROWS).alias("salts"))), "gram", "left")
     copies = copies.select("gram", "count", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-    # a small bucket whose runs are all the same is closed at once: all but its pointer, the first, are repeats
+    # in a small bucket a run like one before is closed at once, all its windows are repeats; a bucket of one run is closed as a whole
     bucket = Window.partitionBy("gram", "salt", "part")
     joined = salted.join(copies, ["gram", "salt"]).withColumn("part", F.when(F.col("count") > bucket_limit, F.pmod(F.xxhash64("key", "place"), F.lit(1 << 20))).otherwise(-1))
-    pure = (F.col("part") == -1) & (F.min("run").over(bucket) == F.max("run").over(bucket))
-    joined = joined.withColumn("pure", pure).withColumn("nth", F.when(F.col("pure"), F.row_number().over(bucket.orderBy("key", "rn", "place"))))
-    found = joined.where("not pure or nth > 1").groupBy("key", "rn").agg(
-        F.collect_list(F.when(~F.col("pure"), F.struct("place", "count"))).alias("open"), F.collect_list(F.when(F.col("pure"), F.col("place"))).alias("closed")
+    joined = joined.withColumn("several", F.min("run").over(bucket) != F.max("run").over(bucket))
+    joined = joined.withColumn("nth", F.row_number().over(Window.partitionBy("gram", "salt", "part", "run").orderBy("key", "rn", "place")))
+    joined = joined.withColumn("closed", (F.col("part") == -1) & (F.col("nth") > 1)).where("part >= 0 or closed or several")
+    found = joined.groupBy("key", "rn").agg(
+        F.collect_list(F.when(~F.col("closed"), F.struct("place", "count"))).alias("open"), F.collect_list(F.when(F.col("closed"), F.col("place"))).alias("closed")
     )
     packed = docs.mapInArrow(_pack, StructType([StructField("key", LongType(), False), StructField("rn", IntegerType(), False), docs.schema["more"], StructField("packed", BinaryType())]))
     rows = packed.join(found, ["key", "rn"]).select("key", "rn", "more", "packed", "open", "closed")
