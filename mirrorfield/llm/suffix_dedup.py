@@ -6,7 +6,10 @@ hash lowest, so equal windows hold equal samples at equal offsets and none is mi
 
 1. Initial buckets: sampled suffixes with the same first GRAM bytes, each with its run, all windows of that sample.
    Buckets of one suffix are closed; so are small ones whose runs are all the same, and runs with the bytes of one
-   before in their bucket: what is not the first is a repeat.
+   before in their bucket: what is not the first is a repeat. Each window holds the 40 bytes before its sample or
+   the 41 after the sample's first GRAM. Windows of a run are closed too if the hash bits of that longer string are no
+   other run's in the bucket: so 20 bytes that many texts have by chance move nothing. A bucket of many suffixes is
+   parted by these strings.
 2. Refinement: positions of the other buckets' runs start in buckets of equal 8-byte strings and are sorted again and
    again on two identifiers, that of their own bucket and that of the bucket of a later offset; so buckets of
    8 bytes give those of 16, these those of 32, of 64 and of LENGTH, each round using the updated identifiers of the
@@ -17,7 +20,8 @@ hash lowest, so equal windows hold equal samples at equal offsets and none is mi
 
 Buckets of up to BUCKET_LIMIT suffixes are refined whole in one task. Those of more are refined within each batch of
 texts, and the pointer of each refined bucket is dealt out with its bytes, so a passage that a third of all texts
-share never meets in one task. The largest buckets are dealt out before their size is joined to them.
+share never meets in one task. The largest buckets are found by counting within each task, and are dealt out before
+they meet; suffixes move once, with their hashes.
 
 Refinement starts from bytes, so it is exact; windows that are dealt out are compared byte by byte. A small bucket is
 closed at once by a 64-bit hash of whole runs, on top of that of their first GRAM bytes; bytes are not compared there.
@@ -41,6 +45,10 @@ from mirrorfield.llm.common import NULL_KEY, pieces, table, text_bytes
 
 LENGTH = 100
 GRAM = 20
+#: Bits of a sample's first bytes that tell buckets apart, and of each longer string; a bucket of two strings only costs time.
+_SIDE = 16
+#: Samples that a task counts at the same time to find the largest buckets.
+_COUNTED = 1 << 16
 BUCKET_LIMIT = 2048
 HEAVY = 1024
 #: Suffixes of a large bucket that are dealt out together.
@@ -49,6 +57,11 @@ _BITS = 18
 _BUFFER = 1 << _BITS
 _LEFT = 7
 _RIGHT = 7
+#: Bits of a place: first window (texts are of up to 2 ** 31 bytes), distance and length of the run.
+_PLACE = 31 + _LEFT + _RIGHT
+#: What is to be done with a run: it goes as a whole; it meets its bucket, by its first bytes or by a longer string; its windows are dealt out.
+CLOSED, COLD, LEFT, RIGHT, HOT = range(5)
+_WHAT = 3
 _rng = np.random.default_rng(20240917)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -91,10 +104,19 @@ def _buffers(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         at += _BUFFER - LENGTH + 1
 
 
-def sampled(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """For each run of windows with the same sample: hash of its first bytes, sample, first and last window, hash of the whole run."""
+def _side(prefix: np.ndarray, at: np.ndarray, size: int, there: np.ndarray) -> np.ndarray:
+    """A few bits of the hashes of these strings, 0 where there is none."""
+    at = np.where(there, at, 0)
+    bits = _hashes(prefix, at, at + size) >> np.uint64(64 - _SIDE)
+    return np.where(there, np.maximum(bits, np.uint64(1)), np.uint64(0)).astype(np.int64)
+
+
+def sampled(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int, whole: bool = True) -> tuple[np.ndarray, ...]:
+    """For each run of windows with the same sample: hash of its first bytes, sample, first and last window, hash of the whole run,
+    and bits of the strings that reach further to its left and right; without whole, the last three are empty."""
     ends = np.repeat(offsets[1:], np.diff(offsets))
-    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    half = (length - gram) // 2
+    out: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
     for lo, hi in _buffers(offsets):
         if hi - lo < length:
             continue
@@ -117,8 +139,12 @@ def sampled(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tup
         first = np.flatnonzero(np.r_[True, (sample[1:] != sample[:-1]) | (starts[1:] != starts[:-1] + 1)])
         last = np.r_[first[1:], len(starts)] - 1
         # the same bytes with the sample at the same place; a run of another length ends in other bytes or has another hash
-        run = _run_hashes(raw[lo:hi], starts[first], starts[last] + length, sample[first] - starts[first])
-        for have, add in zip(out, (grams[sample[first]].view(np.int64), sample[first] + lo, starts[first] + lo, starts[last] + lo, run.view(np.int64))):
+        at, a, b = sample[first], starts[first], starts[last]
+        found = [grams[at].view(np.int64), at + lo, a + lo, b + lo]
+        if whole:
+            run = _run_hashes(raw[lo:hi], a, b + length, at - a)
+            found += [run.view(np.int64), _side(prefix, at - half, half + gram, at - a >= half), _side(prefix, at, length - half + 1, at - b < half)]
+        for have, add in zip(out, found):
             have.append(add)
     return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
 
@@ -245,50 +271,125 @@ class _Scheme:
     def __init__(self, length: int, gram: int, limit: int):
         if not 0 < gram <= length < _BUFFER // 4 or length - gram >= 1 << _LEFT:
             raise ValueError("0 < gram <= length and length - gram < 128 must hold")
-        self.length, self.gram, self.limit = length, gram, limit
+        self.length, self.gram, self.limit, self.half = length, gram, limit, (length - gram) // 2
+
+    def common(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(text) -> (gram, n): the grams of over 1 / (2 * HEAVY) of the task's samples, at least so often; of null, all samples.
+
+        Counts of the rare ones are given up when they are too many, so no gram is counted too often, or too low by over 1 / _COUNTED of all.
+        """
+        every, ids, n = 0, np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in pieces(batches, 512):
+            raw, offsets = text_bytes(batch.column(0))
+            now = sampled(raw, offsets, self.length, self.gram, whole=False)[0] >> _SIDE
+            every += len(now)
+            now, times = np.unique(now, return_counts=True)
+            ids, of = np.unique(np.concatenate([ids, now]), return_inverse=True)
+            n = np.bincount(of, np.concatenate([n, times]), len(ids)).astype(np.int64)
+            if len(n) > 4 * _COUNTED:
+                n -= np.partition(n, -_COUNTED)[-_COUNTED]
+                ids, n = ids[n > 0], n[n > 0]
+        often = n * 2 * HEAVY > every
+        yield pa.RecordBatch.from_arrays([pa.array([None, *ids[often].tolist()], pa.int64()), pa.array([every, *n[often].tolist()], pa.int64())], ["gram", "n"])
 
     def samples(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, rn, text) -> (gram, run, key, rn, place): place packs the run's first window, the sample's distance, the run's length."""
+        """(key, rn, text) -> (gram, run, key, rn, place): gram ends in the left side's bits; place packs those of the right side,
+        the run's first window, the sample's distance, the run's length."""
         for batch in pieces(batches, 512):
             raw, offsets = text_bytes(batch.column(2))
-            gram, sample, first, last, run = sampled(raw, offsets, self.length, self.gram)
+            gram, sample, first, last, run, left, right = sampled(raw, offsets, self.length, self.gram)
             doc = _owner(offsets, first)
-            place = (first - offsets[doc]) << (_LEFT + _RIGHT) | (sample - first) << _RIGHT | (last - first)
+            place = right << _PLACE | (first - offsets[doc]) << (_LEFT + _RIGHT) | (sample - first) << _RIGHT | (last - first)
+            gram = gram >> _SIDE << _SIDE | left
             yield from _batches({"gram": pa.array(gram), "run": pa.array(run), "key": batch.column(0).take(pa.array(doc)), "rn": batch.column(1).take(pa.array(doc)), "place": pa.array(place)})
 
+    def buckets(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(salt, gram, run, key, rn, place) sorted by (salt, gram, key, rn, place) -> (key, rn, place) of what is not closed as unique,
+        or as its bucket's pointer; place ends in what is to be done with its windows. Salts of 1 and more are parts of the largest buckets."""
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            now = [c.to_numpy() for c in batch.columns]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            if not len(held[0]):
+                continue
+            # whole buckets are looked at, the last one once it has ended
+            ids = held[1] >> _SIDE
+            last = int(np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (held[0][1:] != held[0][:-1])])[-1])
+            if last:
+                yield from self.judged(*(c[:last] for c in held))
+                held = [c[last:] for c in held]
+        if held is not None and len(held[0]):
+            yield from self.judged(*held)
+
+    def judged(self, salt: np.ndarray, gram: np.ndarray, run: np.ndarray, key: np.ndarray, rn: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids = gram >> _SIDE
+        starts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (salt[1:] != salt[:-1])])
+        sizes = np.diff(np.r_[starts, len(gram)])
+        bucket, many = np.repeat(np.arange(len(starts)), sizes), np.repeat(sizes, sizes) > self.limit
+        pure = np.repeat(np.minimum.reduceat(run, starts) == np.maximum.reduceat(run, starts), sizes) & ~many
+        first = np.zeros(len(gram), bool)
+        first[starts] = True
+        side, heavy = (1 << _SIDE) - 1, salt > 0
+        right, place = place >> _PLACE, place & ((1 << _PLACE) - 1)
+        left, distance, after = gram & side, place >> _RIGHT & ((1 << _LEFT) - 1), place & ((1 << _RIGHT) - 1)
+        open_, near = ~pure & ~heavy, []
+        at = np.flatnonzero(open_)
+        for bits in (left, right):
+            _, of, n = np.unique(bucket[at] << _SIDE | bits[at], return_inverse=True, return_counts=True)
+            shared = np.zeros(len(gram), np.int64)
+            shared[at] = np.where(bits[at] > 0, n[of], 0)
+            near.append(shared)
+        begin = place >> (_LEFT + _RIGHT)
+        # the windows up to the one half before the sample, and those after it
+        lefts = begin << (_LEFT + _RIGHT) | distance << _RIGHT | np.minimum(after, distance - self.half)
+        skip = np.maximum(distance - self.half + 1, 0)
+        rights = (begin + skip) << (_LEFT + _RIGHT) | (distance - skip) << _RIGHT | (after - skip)
+        (l, r), few = near, open_ & ~many
+        parts = [
+            (heavy, place, HOT),
+            (pure & ~heavy & ~first, place, CLOSED),
+            (few & (l > 1) & (r > 1), place, COLD),
+            (few & (l > 1) & (r < 2), lefts, COLD),
+            (few & (l < 2) & (r > 1), rights, COLD),
+        ]
+        for near, part, bucketed in ((l, lefts, LEFT), (r, rights, RIGHT)):
+            parts += [(open_ & many & (near > 1) & (near <= self.limit), part, bucketed), (open_ & many & (near > self.limit), part, HOT)]
+        rows = [np.flatnonzero(which) for which, _, _ in parts]
+        found = np.concatenate([part[at] << _WHAT | what for at, (_, part, what) in zip(rows, parts)])
+        rows = np.concatenate(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(rn[rows]), pa.array(found)], ["key", "rn", "place"])
+
     def windows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, rn, more, packed, open (place, count), closed places) -> rows of three kinds.
+        """(key, rn, more, packed, places) -> rows of three kinds.
 
-        0: an interval that goes; 1: a run's bytes, for its gram's bucket; 2: a window, by its own identifier.
+        0: an interval that goes; 1: a run's bytes, for its bucket; 2: a window, by its own identifier.
         """
         for batch in pieces(batches, 512):
             raw, offsets = _unpacked(batch.column(3))
-            open_, closed = batch.column(4), batch.column(5)
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(open_.offsets.to_numpy()))
-            places, counts = (x.to_numpy() for x in open_.flatten().flatten())
-            done_doc = np.repeat(np.arange(batch.num_rows), np.diff(closed.offsets.to_numpy()))
-            done = closed.flatten().to_numpy()
+            places = batch.column(4)
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(places.offsets.to_numpy()))
+            places = places.flatten().to_numpy()
+            places, what = places >> _WHAT, places & ((1 << _WHAT) - 1)
+            places, what, doc = (x[what != CLOSED] for x in (places, what, doc))
             # positions in order: by key, then row, then place
             keys, rns = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             rank = np.empty(batch.num_rows, np.int64)
             rank[np.lexsort((rns, keys))] = np.arange(batch.num_rows)
             order = np.lexsort((places, rank[doc]))
-            places, counts, doc = (x[order] for x in (places, counts, doc))
+            places, what, doc = (x[order] for x in (places, what, doc))
             start = places >> (_LEFT + _RIGHT)
             many = (places & ((1 << _RIGHT) - 1)) + 1
-            hot = counts > self.limit
+            hot = what == HOT
             out: dict[str, list[np.ndarray]] = {k: [] for k in ("kind", "bucket", "doc", "start", "size")}
 
             def add(kind: int, bucket: np.ndarray, doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
                 for k, v in zip(out, (np.full(len(doc), kind), bucket, doc, start, size)):
                     out[k].append(np.asarray(v, np.int64))
 
-            spans: list[pa.Array] = [pa.nulls(len(done), pa.binary())]
-            at = done >> (_LEFT + _RIGHT)
-            add(0, _mixed(done_doc, at), done_doc, at, (done & ((1 << _RIGHT) - 1)) + self.length)
+            spans: list[pa.Array] = []
             cold = np.flatnonzero(~hot)
             sample = offsets[doc[cold]] + start[cold] + (places[cold] >> _RIGHT & ((1 << _LEFT) - 1))
-            add(1, self.grams(raw, sample), doc[cold], start[cold], many[cold])
+            add(1, self.strings(raw, sample, what[cold]), doc[cold], start[cold], many[cold])
             spans.append(_cuts(raw, offsets[doc[cold]] + start[cold], many[cold] + self.length - 1))
             if hot.any():
                 which = np.flatnonzero(hot)
@@ -309,10 +410,14 @@ class _Scheme:
             doc = pa.array(got.pop("doc"))
             yield from _batches({"kind": pa.array(got["kind"]), "bucket": pa.array(got["bucket"]), "key": batch.column(0).take(doc), "rn": batch.column(1).take(doc), "start": pa.array(got["start"]), "size": pa.array(got["size"]), "span": pa.concat_arrays(spans)}, 4096)
 
-    def grams(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-        ascending = np.argsort(at, kind="stable")
-        out = np.empty(len(at), np.int64)
-        out[ascending] = _window_ids(raw, at[ascending], self.gram).view(np.int64)
+    def strings(self, raw: np.ndarray, sample: np.ndarray, what: np.ndarray) -> np.ndarray:
+        """The buckets of samples: by their first bytes, or by the longer string to their left or right."""
+        out = np.empty(len(sample), np.int64)
+        for kind, before, size in ((COLD, 0, self.gram), (LEFT, self.half, self.half + self.gram), (RIGHT, 0, self.length - self.half + 1)):
+            which = np.flatnonzero(what == kind)
+            at = sample[which] - before
+            ascending = np.argsort(at, kind="stable")
+            out[which[ascending]] = _window_ids(raw, at[ascending], size).view(np.int64)
         return out
 
     def refine(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,17 +515,23 @@ def _widened(text: bytes, a: list[int], b: list[int]) -> tuple[list[int], list[i
     return start, end
 
 
-def _cut(batches: Iterator[pa.RecordBatch], characters: bool) -> Iterator[pa.RecordBatch]:
-    """(key, more, packed, spans of (a, b)) -> key, more, what is left, and the maximal removed runs."""
+def _cut(batches: Iterator[pa.RecordBatch], length: int, characters: bool) -> Iterator[pa.RecordBatch]:
+    """(key, more, packed, spans of (a, b), places) -> key, more, what is left, and the maximal removed runs. Closed places go too."""
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in pieces(batches, 256):
         left, n_bytes, starts, ends = [], [], [], []
-        for text, spans in zip(batch.column(2).to_pylist(), batch.column(3)):
+        for text, spans, places in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
             text = unpack(text)
-            a, b = [], []
+            x = y = np.empty(0, np.int64)
             if spans.is_valid:
-                values = spans.values
-                x, y = values.field(0).to_numpy(), values.field(1).to_numpy()
+                x, y = spans.values.field(0).to_numpy(), spans.values.field(1).to_numpy()
+            if places.is_valid:
+                places = places.values.to_numpy()
+                closed = places[places & ((1 << _WHAT) - 1) == CLOSED] >> _WHAT
+                begin = closed >> (_LEFT + _RIGHT)
+                x, y = np.r_[x, begin], np.r_[y, begin + (closed & ((1 << _RIGHT) - 1)) + length]
+            a, b = [], []
+            if len(x):
                 order = np.argsort(x, kind="stable")
                 x, y = x[order], np.maximum.accumulate(y[order])
                 new = np.flatnonzero(np.r_[True, x[1:] > y[:-1]])
@@ -450,31 +561,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     else:
         docs = docs.withColumn("rn", F.lit(0))
     docs = docs.select("key", "rn", "more", "text")
-    samples = docs.select("key", "rn", "text").mapInArrow(scheme.samples, "gram long, run long, key long, rn int, place long")
-    samples = samples.where("gram is not null")  # as every join would add: so all counts are one shuffle, used again
-    shared = samples.groupBy("gram").count().where("count > 1")
     # fewer than HEAVY buckets can hold over 1 / HEAVY of the suffixes each: those are dealt out, SALT_ROWS together
-    heavy = shared.where((F.col("count") > bucket_limit) & (F.col("count") > shared.agg(F.sum("count")).scalar() / HEAVY))
-    salted = samples.join(F.broadcast(heavy.select("gram", F.ceil(F.col("count") / SALT_ROWS).alias("salts"))), "gram", "left")
-    salted = salted.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("key", "place"), F.col("salts")), F.lit(0))).drop("salts")
-    copies = shared.join(F.broadcast(heavy.select("gram", F.ceil(F.col("count") / SALT_ROWS).alias("salts"))), "gram", "left")
-    copies = copies.select("gram", "count", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-    # a small bucket whose runs are all the same is closed at once: all but its pointer, the first, are repeats
-    bucket = Window.partitionBy("gram", "salt", "part")
-    joined = salted.join(copies, ["gram", "salt"]).withColumn("part", F.when(F.col("count") > bucket_limit, F.pmod(F.xxhash64("key", "place"), F.lit(1 << 20))).otherwise(-1))
-    pure = (F.col("part") == -1) & (F.min("run").over(bucket) == F.max("run").over(bucket))
-    joined = joined.withColumn("pure", pure).withColumn("nth", F.when(F.col("pure"), F.row_number().over(bucket.orderBy("key", "rn", "place"))))
-    found = joined.where("not pure or nth > 1").groupBy("key", "rn").agg(
-        F.collect_list(F.when(~F.col("pure"), F.struct("place", "count"))).alias("open"), F.collect_list(F.when(F.col("pure"), F.col("place"))).alias("closed")
-    )
+    counted = docs.select("text").mapInArrow(scheme.common, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    most = counted.orderBy(F.desc("n"), F.asc_nulls_first("gram")).limit(HEAVY + 1).collect()
+    heavy = [(r["gram"], -(-r["n"] // SALT_ROWS)) for r in most if r["gram"] is not None and r["n"] > max(bucket_limit, most[0]["n"] / HEAVY)]
+    samples = docs.select("key", "rn", "text").mapInArrow(scheme.samples, "gram long, run long, key long, rn int, place long")
+    samples, bucket = samples.withColumn("salt", F.lit(0).cast("long")), F.shiftright("gram", _SIDE)
+    if heavy:
+        salts = F.broadcast(docs.sparkSession.createDataFrame(heavy, "heavy long, salts long"))
+        samples = samples.join(salts, bucket == F.col("heavy"), "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("key", "place"), F.col("salts")) + 1, F.lit(0)))
+    samples = samples.select("salt", "gram", "run", "key", "rn", "place").repartition("salt", bucket).sortWithinPartitions("salt", "gram", "key", "rn", "place")
+    found = samples.mapInArrow(scheme.buckets, "key long, rn int, place long").groupBy("key", "rn").agg(F.collect_list("place").alias("places"))
     packed = docs.mapInArrow(_pack, StructType([StructField("key", LongType(), False), StructField("rn", IntegerType(), False), docs.schema["more"], StructField("packed", BinaryType())]))
-    rows = packed.join(found, ["key", "rn"]).select("key", "rn", "more", "packed", "open", "closed")
+    rows = packed.join(found, ["key", "rn"]).select("key", "rn", "more", "packed", "places")
     rows = rows.mapInArrow(scheme.windows, "kind long, bucket long, key long, rn int, start long, size long, span binary")
     rows = rows.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "key", "rn", "start")
     gone = rows.mapInArrow(scheme.refine, "key long, rn int, a long, b long")
     gone = gone.groupBy("key", "rn").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    cut = packed.join(gone, ["key", "rn"], "left").select("key", "more", "packed", "spans")
-    cut = cut.mapInArrow(partial(_cut, characters=characters), StructType([StructField("key", LongType()), cut.schema["more"], *_parse_datatype_string("kept binary, n_bytes long, starts array<long>, ends array<long>")]))
+    cut = packed.join(gone, ["key", "rn"], "left").join(found, ["key", "rn"], "left").select("key", "more", "packed", "spans", "places")
+    cut = cut.mapInArrow(partial(_cut, length=length, characters=characters), StructType([StructField("key", LongType()), cut.schema["more"], *_parse_datatype_string("kept binary, n_bytes long, starts array<long>, ends array<long>")]))
     return cut.select(F.nullif("key", F.lit(NULL_KEY)).alias("doc_id"), "kept", "n_bytes", "starts", "ends", *[F.col(f"more.`{c}`") for c in keep])
 
 

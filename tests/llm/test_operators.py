@@ -78,6 +78,48 @@ def test_equal_hashes_of_different_bytes_remove_nothing():
         assert [(r["key"], r["a"], r["b"]) for r in got] == [(3, 30, 130), (5, 50, 150)]
 
 
+def test_suffix_dedup_moves_no_bytes_of_chance_phrases(spark, monkeypatch):
+    """Phrases longer than a gram that all texts share, in orders that none do: nothing repeats, and fewer bytes are shuffled than twice the texts."""
+    rng = random.Random(11)
+    phrases = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30)) for _ in range(400)]
+    texts = [" ".join(rng.choice(phrases) for _ in range(100)) for _ in range(300)]
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        every = store.executorList(False)
+        return sum(every.apply(i).totalShuffleWrite() for i in range(every.size()))
+
+    monkeypatch.setattr(suffix_dedup, "HEAVY", 1)  # nothing is dealt out
+    for limit in (2048, 8):
+        before = shuffled()
+        got = suffix_dedup.remove_repeats(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), bucket_limit=limit).collect()
+        assert [bytes(r.kept).decode() for r in sorted(got, key=lambda r: r.doc_id)] == texts
+        assert shuffled() - before < 2 * sum(map(len, texts))
+
+
+@pytest.mark.parametrize("heavy", [1, 1024])
+def test_suffix_dedup_parts_of_large_buckets(spark, monkeypatch, heavy):
+    """A common phrase with a few common neighbours on either side: buckets are parted by longer strings, dealt out, or closed."""
+    monkeypatch.setattr(suffix_dedup, "HEAVY", heavy)
+    rng = random.Random(12)
+    some = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    phrase, left, right = some(30), [some(90) for _ in range(3)], [some(90) for _ in range(3)]
+    texts = [some(rng.randint(0, 80)) + rng.choice([*left, some(60)])[rng.randint(0, 40) :] + phrase + rng.choice([*right, some(60)])[: rng.randint(20, 90)] + some(40) for _ in range(60)]
+    seen, wanted = set(), {}
+    for i, t in enumerate(texts):
+        gone = bytearray(len(t))
+        for s in range(len(t) - 99):
+            if t[s : s + 100] in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(t[s : s + 100])
+        wanted[i] = "".join(c for c, g in zip(t, gone) if not g)
+    assert sum(len(w) < len(t) for w, t in zip(wanted.values(), texts)) > 20
+    for limit in (2048, 20, 5, 1):
+        got = suffix_dedup.remove_repeats(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), bucket_limit=limit).collect()
+        assert {r.doc_id: bytes(r.kept).decode() for r in got} == wanted
+
+
 def test_suffix_dedup_odd(spark, odd):
     got = suffix_dedup.remove_repeats(odd, keep=["more", "lang"])
     assert got.count() == 10
