@@ -1,14 +1,14 @@
 """Near copies by the Jaccard similarity of word shingles: every link of SIMILARITY or more, none lost to a sketch.
 
-Sixty-four bits of SimHash don't bound a Jaccard similarity of 0.8, so the segment-popcount embedding is of the whole
-sets: a set of shingle hashes becomes its counts per segment of the hash range. The Manhattan distance of two such
+The first candidates are from SimHash fingerprints of the sets (mirrorfield.llm.simhash). Sixty-four bits don't bound a
+Jaccard similarity of 0.8, so for the rest the segment-popcount embedding is of the whole sets: a set of shingle hashes becomes its counts per segment of the hash range. The Manhattan distance of two such
 embeddings never exceeds the number of shingles that only one set has, so it bounds the join from below; what passes is
 verified exactly, on the texts.
 
 1. Prefix filtering: of two sets of similarity t, the first size - ceil(t * size) + 1 shingles of each, in one order of
    all shingles, share one. Shingles that a sample of the documents has often come last; that sets the cost, never the result.
 2. Groups of keys with a common prefix shingle: small ones give their pairs, large ones the pairs with a pivot.
-3. Pairs that pass the Manhattan bound are verified and linked; components follow.
+3. These pairs and those of the fingerprints that pass the Manhattan bound are verified and linked; components follow.
 4. Large groups whose members are not all in one component by then are searched for further pairs, between members of
    different components only, in blocks of bounded size.
 
@@ -17,7 +17,7 @@ Texts move once if something may link them, and to each pivot that may link them
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -98,15 +98,15 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Re
             yield piece, [shingle_set(t, width) for t in piece.column(piece.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
 
 
-def keys(texts: DataFrame, width: int) -> DataFrame:
-    """(doc_id, row, key, size, embedding) for each row."""
+def keys(texts: DataFrame, width: int, sketch: Callable[[np.ndarray], int]) -> DataFrame:
+    """(doc_id, row, key, size, embedding, fp) for each row; fp is the set's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, width):
-            arrays = [pa.array([key_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([embed(s).tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *arrays], ["doc_id", "row", "key", "size", "embedding"])
+            arrays = [pa.array([key_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([embed(s).tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *arrays], ["doc_id", "row", "key", "size", "embedding", "fp"])
 
-    return texts.mapInArrow(run, "doc_id long, row long, key long, size long, embedding binary")
+    return texts.mapInArrow(run, "doc_id long, row long, key long, size long, embedding binary, fp long")
 
 
 def _frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -272,11 +272,11 @@ def _verified(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
 class Links:
     """Links of the rows of docs, found once; found is (doc_id, row, key), a row for each."""
 
-    def __init__(self, docs: DataFrame, width: int = 5, limit: int | None = None):
+    def __init__(self, docs: DataFrame, width: int, sketch: Callable[[np.ndarray], int], limit: int | None = None):
         self.texts, self.width, self.limit = texts_of(docs), width, GROUP_LIMIT if limit is None else limit
-        every = checkpointed(keys(self.texts, width))
+        every = checkpointed(keys(self.texts, width, sketch))
         self.found = every.select("doc_id", "row", "key")
-        self.sets = every.where("size > 0").groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("at"), F.first("size").alias("size"), F.first("embedding").alias("embedding"))
+        self.sets = every.where("size > 0").groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("at"), F.first("size").alias("size"), F.first("embedding").alias("embedding"), F.first("fp").alias("fp"))
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are similar enough, by the bound and then by the texts."""
@@ -295,12 +295,13 @@ class Links:
         rows = own.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
         return rows.mapInArrow(partial(_verified, width=self.width), "a long, b long").distinct()
 
-    def roots(self) -> DataFrame:
-        """(key, root) of the keys that have a link."""
+    def roots(self, near: DataFrame) -> DataFrame:
+        """(key, root) of the keys that have a link; near: pairs (a, b) that the sketches found, which are verified like all others."""
         last, rows = _frequent(self.texts, self.width)
         prefixes = _prefixes(self.texts, self.width, last, rows).repartition("token", "salt").sortWithinPartitions("token", "salt", "key")
         found = checkpointed(prefixes.mapInArrow(partial(_candidates, limit=self.limit), _FOUND))
-        links = checkpointed(self.linked(found.where("key <> other").select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()))
+        pairs = found.where("key <> other").select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
+        links = checkpointed(self.linked(near.unionByName(pairs).distinct()))
         first = checkpointed(components(links).withColumnRenamed("node", "key"))
         members = found.where("token is not null").select("token", "key", "place")
         if not members.take(1):

@@ -35,6 +35,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _votes(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def _majority(votes: np.ndarray, n: int) -> np.ndarray:
+    return np.packbits(2 * votes > n, bitorder="little")
+
+
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     """Bit i is set if it is set in over half the shingles' hashes, repeats included. No words: 0."""
     words = text.lower().split()
@@ -45,8 +53,14 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     for at in range(0, len(shingles), _CHUNK):
         part = shingles[at : at + _CHUNK]
         hashes = np.fromiter((digest(s, seed) for s in part), np.uint64, len(part))
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(shingles), bitorder="little").view(np.uint64)[0])
+        votes += _votes(hashes)
+    return int(_majority(votes, len(shingles)).view(np.uint64)[0])
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The signed fingerprint of a set of shingles' hashes, each counted once; of none: 0."""
+    votes = sum((_votes(hashes[at : at + _CHUNK]) for at in range(0, len(hashes), _CHUNK)), np.zeros(64, np.int64))
+    return int(_majority(votes, len(hashes)).view(np.int64)[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -193,18 +207,30 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return join_skewed(prints, by_fp, "fp", "n").select("doc_id", "fp", "component_id")
 
 
+def near_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the keys of sets (key, fp) that connect all whose fingerprints differ in RADIUS bits or fewer."""
+    nodes = checkpointed(sets.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n")))
+    alike = join_skewed(sets.select("key", "fp"), nodes, "fp", "n").select(F.col("least").alias("a"), F.col("key").alias("b")).where("a <> b")
+    of = nodes.select("fp", "least")
+    near = near_links(nodes.select("fp")).join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b")
+    return alike.unionByName(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+
+
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
-    """One row of docs for each component of shingle sets that are equal or of Jaccard similarity 0.8 or more, exactly (mirrorfield.llm.jaccard).
+    """One row of docs for each component of shingle sets that are equal or of Jaccard similarity 0.8 or more, exactly.
+
+    Sets are searched by their fingerprints, through the segment-popcount embedding, and the pairs found are verified on the
+    texts. 64 bits don't bound a similarity of 0.8, so mirrorfield.llm.jaccard adds the pairs that they miss.
 
     The row with the smallest doc_id stays, null ids last, ties by the set and a hash of the whole row. Rows are told apart by
     doc_id and that hash, so different texts under one doc_id, or under none, each have a verdict of their own; of rows equal
-    in all columns one stays. Texts without words are one component. A fingerprint isn't used: 64 bits don't bound a similarity of 0.8.
+    in all columns one stays. Texts without words are one component.
     """
-    links = jaccard.Links(docs, width)
+    links = jaccard.Links(docs, width, set_fingerprint)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "row")
     # one row a key before anything is joined: copies may be many
     first = links.found.groupBy("key").agg(F.min(order).alias("o"))
-    named = first.join(links.roots(), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    named = first.join(links.roots(near_pairs(links.sets)), "key", "left").withColumn("root", F.coalesce("root", "key"))
     kept = named.groupBy("root").agg(F.min("o").alias("o")).select("o.doc_id", "o.row").withColumn("stays", F.lit(True))
     kept = links.found.select("doc_id", "row").distinct().alias("f").join(kept.alias("k"), F.col("f.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("f.row") == F.col("k.row")), "left")
     gone = checkpointed(kept.where("stays is null").select(F.col("f.doc_id").alias("_id"), F.col("f.row").alias("_gone")))

@@ -228,6 +228,31 @@ def test_keep_one_near_copies(spark, monkeypatch, limit, block):
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(root))
 
 
+def test_keep_one_links_by_fingerprints(spark, monkeypatch):
+    """Without the prefix search, the fingerprints' links alone let near copies go."""
+    from mirrorfield.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "_prefixes", lambda texts, *_: texts.selectExpr("1L token", "0L salt", "1L key", "1L place").where("false"))
+    rng = random.Random(15)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(1500)] for _ in range(8)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b[:-1], "other"]) for b in base]
+    prints = [simhash.set_fingerprint(jaccard.shingle_set(t.encode())) for t in texts]
+    near = [i for i in range(8) if ((prints[i] ^ prints[i + 8]) & (2**64 - 1)).bit_count() <= 3]
+    assert len(near) > 4
+    got = simhash.keep_one(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(range(16)) - {i + 8 for i in near})
+
+
+def test_keep_one_verifies_what_fingerprints_link(spark, monkeypatch):
+    """Whatever pairs the fingerprints give, only a similarity of 0.8 links."""
+    monkeypatch.setattr(simhash, "near_pairs", lambda sets: sets.select(F.col("key").alias("a")).join(sets.select(F.col("key").alias("b")), F.expr("a < b")))
+    rng = random.Random(16)
+    base = [[f"w{rng.randrange(50)}" for _ in range(60)] for _ in range(6)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b[:-1], "other"]) for b in base] + [" ".join([*base[0][:30], *base[1][30:]])]
+    got = simhash.keep_one(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]))
+    assert sorted(r.doc_id for r in got.collect()) == [*range(6), 12]
+
+
 def test_token_counts(spark, odd):
     from tokenizers import Tokenizer
 
