@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrorfield.llm import decontaminate, mixing, simhash, suffix_dedup, toxicity
-from mirrorfield.llm.common import clear, removed, shared_folder, table
+from mirrorfield.llm.common import clear, removed, shared_folder, small_batches, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold go. Null and empty texts stay; without labels all stay. Repeated rows go or stay together."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     return toxicity.reject(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
@@ -24,6 +25,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Texts without words, null ones too, are copies of each other, so one of them stays. Null ids come last; rows that share an id are told by their texts.
     """
+    small_batches(spark)
     return simhash.keep_one(docs.select(*COLUMNS), width=5)
 
 
@@ -33,6 +35,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     A cut within a character takes the whole character. n_chars is counted anew; documents that were empty before stay, with an empty
     text for a null one. Texts under 100 bytes stay whole.
     """
+    small_batches(spark)
     cut = suffix_dedup.remove_repeats(docs.select(*COLUMNS), keep=["lang", "source", "n_chars"], characters=True)
     rows = cut.where((F.col("n_bytes") == 0) | (F.length("kept") > 0)).withColumn("text", F.col("kept").cast("string"))
     return rows.select("doc_id", "text", "lang", "source", F.when(F.size("starts") == 0, F.col("n_chars")).otherwise(F.length("text")).cast("long").alias("n_chars"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -90,8 +91,23 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0] if len(at) else np.zeros(1, np.int64)
 
 
+#: Bytes of a batch of rows that goes to a Python worker, but for its last row. It lies in the JVM, where it grows by doubling, and in the worker, for each task.
+BATCH_BYTES = 1 << 22
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's rows go to Python workers in batches of about BATCH_BYTES, not of 10,000 rows whatever their size. A limit that is set already stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+#: glibc keeps what numpy has freed, in idle workers too, unless it is told not to; other C libraries have no such function.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
 def pieces(batches: Iterable[pa.RecordBatch], rows: int = 1024, size: int = 1 << 25) -> Iterator[pa.RecordBatch]:
-    """The batches' rows, at most so many and, but for single rows, of so many bytes at a time."""
+    """The batches' rows, at most so many and, but for single rows, of so many bytes at a time. Freed memory is given back at the end."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             parts = [batch.slice(at, rows)]
@@ -102,6 +118,7 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int = 1024, size: int = 1 <<
                     parts += [part.slice(half), part.slice(0, half)]
                 else:
                     yield part
+    _trim(0)
 
 
 def components(edges: DataFrame) -> DataFrame:

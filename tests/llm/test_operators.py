@@ -3,9 +3,13 @@
 import collections
 import itertools
 import math
+import platform
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mirrorfield.llm import chat, decontaminate, licenses, mixing, simhash, suffix_dedup, token_counts, topk, toxicity, url_filter
+from mirrorfield.llm import chat, common, decontaminate, licenses, mixing, simhash, suffix_dedup, token_counts, topk, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, h long, key long, more string"
@@ -826,3 +830,40 @@ def test_benchmark_leaks_go_whole(spark, folder):
     item = "how many apples does Jim have if he had 3 and ate 2 of them"
     rows = [(1, "intro " + item, "s"), (2, item.replace("Jim", "Bob").replace("3", "8"), "s"), (3, "how many apples are there", "s"), (3, item, "s"), (None, "clean", "s")]
     assert sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.drop_benchmark_leaks(spark, docs(spark, rows), folder).collect()) == [(0, "clean"), (3, "how many apples are there")]
+
+
+@pytest.mark.parametrize("stage", [0, 1, 2])
+def test_stages_give_workers_small_batches(spark, folder, stage):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit, None)
+    spark.conf.unset(limit)
+    try:
+        few = docs(spark, [(i, f"text {i}", "s") for i in range(5)])
+        corpus_pipeline.STAGES[stage][1](spark, few, SF).collect()
+        sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"]) for b in batches)
+        got = spark.range(0, 9000, 1, 1).selectExpr("repeat('x', 2000) as text").mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r.n for r in got) == 9000 and max(r.size for r in got) < 1.1 * common.BATCH_BYTES
+        spark.conf.set(limit, "1000000")
+        corpus_pipeline.STAGES[stage][1](spark, few, SF)
+        assert spark.conf.get(limit) == "1000000"
+    finally:
+        spark.conf.unset(limit) if before is None else spark.conf.set(limit, before)
+
+
+def test_pieces_give_freed_memory_back():
+    # blocks that glibc takes from its heap, under one that stays
+    code = """
+import pathlib, re
+from mirrorfield.llm.common import pieces
+used = lambda: int(re.search(r"VmRSS:\\s+(\\d+)", pathlib.Path("/proc/self/status").read_text())[1]) // 1024
+blocks = [bytearray(100_000) for _ in range(2000)]
+top = blocks.pop()
+blocks.clear()
+before = used()
+assert list(pieces([])) == []
+print(before - used())
+"""
+    if not platform.libc_ver()[0] == "glibc":
+        pytest.skip("only glibc keeps it")
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(corpus_pipeline.__file__).parent)
+    assert int(out.stdout) > 100
