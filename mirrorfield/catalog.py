@@ -164,16 +164,23 @@ def explained_variance(spark, sf_dir):
     return spark.createDataFrame([(controls.factors(np.sort([r.v for r in values])[::-1], "ve", len(values)),)], "k int")
 
 
+def _genotype_rows(spark, sf_dir):
+    """(sample_id, variant_id, g) of orders: 0, 1, 2, and sevens missing."""
+    return _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"), (F.col("o_custkey") % 50).alias("variant_id"), F.when(F.col("o_orderkey") % 7 == 0, None).otherwise(F.col("o_orderkey") % 3).cast("tinyint").alias("g"))
+
+
 def _genotypes(spark, sf_dir):
-    """(variant_id, g) of orders: 0, 1, 2, and sevens missing."""
-    o = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"), (F.col("o_custkey") % 50).alias("variant_id"), F.when(F.col("o_orderkey") % 7 == 0, None).otherwise(F.col("o_orderkey") % 3).cast("tinyint").alias("g"))
+    """(variant_id, samples, g): the same, a row a variant."""
+    o = _genotype_rows(spark, sf_dir)
     return o.groupBy("variant_id").agg(F.sort_array(F.collect_list(F.struct("sample_id", "g"))).alias("s")).select("variant_id", F.col("s.sample_id").alias("samples"), F.col("s.g").alias("g"))
 
 
 def imputed_genotypes(spark, sf_dir):
     """Genotypes, mean-imputed per variant and standardised."""
-    g = _genotypes(spark, sf_dir).select("variant_id", F.explode(F.arrays_zip(F.col("samples").alias("sample_id"), plink.standardised(F.col("g")).alias("x"))).alias("z"))
-    return _rounded(g.select(F.col("z.sample_id").alias("sample_id"), "variant_id", F.col("z.x").alias("x")), "x", places=5)
+    g = _genotype_rows(spark, sf_dir)
+    # 50 variants
+    found = plink.standardised_rows(g, F.broadcast(plink.spread(g)))
+    return _rounded(found.select("sample_id", "variant_id", "x"), "x", places=5)
 
 
 def genotypes_without_missing(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -136,13 +136,38 @@ def by_variant(rows: DataFrame, column: str = "x") -> DataFrame:
     return long.groupBy(F.col("variant_id").cast("long").alias("variant_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("row_id", "v"))), lambda s: s["v"].cast("tinyint")).alias("g"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is evaluated once; a column that a lambda mentions is evaluated for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scaled(v: Column, mean: Column, sd: Column) -> Column:
+    return F.when(mean.isNull(), None).when(sd > 0, F.coalesce(F.when(v >= 0, v - mean), F.lit(0.0)) / sd).otherwise(F.lit(float("nan")))
+
+
 def standardised(g: Column) -> Column:
-    """A variant's genotypes, missing ones at the mean, centred and scaled (n - 1)."""
-    known = F.filter(g, lambda v: v.isNotNull() & (v >= 0))
-    mean = F.aggregate(known, F.lit(0.0), lambda s, v: s + v) / F.size(known)
-    centred = F.transform(g, lambda v: F.when(v.isNull() | (v < 0), 0.0).otherwise(v - mean))
-    sd = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda s, v: s + v * v) / (F.size(g) - 1))
-    return F.transform(centred, lambda v: v / F.nullif(sd, F.lit(0.0)))
+    """A variant's genotypes, missing ones at the mean, centred and scaled (n - 1): NaN without spread, null if all are missing."""
+    known = F.filter(g, lambda v: v >= 0)
+    mean = _let(known, lambda k: F.aggregate(k, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(k), F.lit(0)))
+    square = lambda m: F.aggregate(g, F.lit(0.0), lambda s, v: s + F.coalesce(F.when(v >= 0, (v - m) * (v - m)), F.lit(0.0)))
+    sd = lambda m: F.sqrt(square(m) / F.nullif(F.size(g) - 1, F.lit(0)))
+    return _let(mean, lambda m: _let(sd(m), lambda d: F.transform(g, lambda v: _scaled(v, m, d))))
+
+
+def spread(genotypes: DataFrame) -> DataFrame:
+    """(variant_id, mean, sd) of (variant_id, g), a row a genotype: the mean of the known ones, and the deviation (n - 1) with missing ones at the mean."""
+    known = F.when(F.col("g") >= 0, F.col("g").cast("long"))
+    sums = genotypes.groupBy("variant_id").agg(F.count("*").alias("n"), F.count(known).alias("k"), F.coalesce(F.sum(known), F.lit(0)).alias("s"), F.coalesce(F.sum(known * known), F.lit(0)).alias("q"))
+    k, s, q = [F.col(c).cast("decimal(19,0)") for c in ("k", "s", "q")]
+    # whole numbers until here, so that nothing cancels
+    square = (k * q - s * s).cast("double") / F.nullif(F.col("k"), F.lit(0))
+    return sums.select("variant_id", (F.col("s") / F.nullif(F.col("k"), F.lit(0))).alias("mean"), F.sqrt(square / F.nullif(F.col("n") - 1, F.lit(0))).alias("sd"))
+
+
+def standardised_rows(genotypes: DataFrame, by: DataFrame | None = None) -> DataFrame:
+    """genotypes (variant_id, g, ...), a row a genotype, with x as standardised gives it. by: their spread, such as one that is to be broadcast."""
+    by = (spread(genotypes) if by is None else by).select(F.col("variant_id").alias("_variant"), F.col("mean").alias("_mean"), F.col("sd").alias("_sd"))
+    return genotypes.join(by, F.col("variant_id").eqNullSafe(F.col("_variant"))).select(*genotypes.columns, _scaled(F.col("g"), F.col("_mean"), F.col("_sd")).alias("x"))
 
 
 def write(variants_g: DataFrame, bim: DataFrame, fam: DataFrame, prefix: str, suffix: str = "") -> None:

@@ -1,6 +1,7 @@
 """Chains, genotype files, groups and fixed designs: exact distributions, round trips, invariants."""
 
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -80,6 +81,32 @@ def test_genotype_files(spark, tmp_path):
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, chains.genotypes(rows.repartition(3), model(11, 2)).collect()))
 
 
+def test_standardised_in_arrays_and_in_rows(spark):
+    """Long variants take a time in proportion; one sample, no spread and nothing known are as in SQL."""
+    rng = np.random.default_rng(4)
+    many = rng.integers(-1, 3, 20_000).tolist()
+    odd = {0: many, 1: [None, 2, 0, -1, 1], 2: [1, 1, None], 3: [None, -1], 4: [2], 5: [None], None: [0, 2]}
+    table = spark.createDataFrame(list(odd.items()), "variant_id long, g array<tinyint>")
+    began = time.time()
+    arrays = {r.variant_id: r.x for r in table.select("variant_id", plink.standardised(F.col("g")).alias("x")).collect()}
+    assert time.time() - began < 30
+    long = table.select("variant_id", F.posexplode("g").alias("sample_id", "g"))
+    for by in (None, F.broadcast(plink.spread(long))):
+        rows = {k: [None] * len(v) for k, v in odd.items()}
+        found = plink.standardised_rows(long, by).collect()
+        assert len(found) == sum(map(len, odd.values()))
+        for r in found:
+            rows[r.variant_id][r.sample_id] = r.x
+        for k, g in odd.items():
+            g = np.array([np.nan if v is None or v < 0 else v for v in g], float)
+            known = g[~np.isnan(g)]
+            x = np.where(np.isnan(g), 0, g - known.mean()) if len(known) else None
+            want = [None] * len(g) if x is None else [np.nan] * len(g) if len(g) < 2 or not x.any() else x / x.std(ddof=1)
+            for got in (arrays[k], rows[k]):
+                assert [v is None for v in got] == [v is None for v in want]
+                assert None in got or np.allclose(got, want, rtol=1e-12, equal_nan=True)
+
+
 def test_from_files_to_files(spark, tmp_path):
     m, prefix = model(9, 2), str(tmp_path / "in")
     rows = spark.createDataFrame([(i, [(i + j) % 3 for j in range(9)]) for i in range(12)], "row_id long, x array<int>")
