@@ -78,7 +78,7 @@ def moments(rows: DataFrame) -> Moments:
         y = _array(batch) - shift
         return {0: np.concatenate([[len(y)], *[a.ravel() for a in _sums(y)]])}
 
-    total = array_sums(rows.select("x"), part, p)[0]
+    total = array_sums(rows.select("x"), part, p, p + 3 * p * p)[0]
     s, g, t, f = np.split(total[1:], np.cumsum([p, p * p, p * p]))
     return Moments.shifted(int(total[0]), shift, s, *[a.reshape(p, p) for a in (g, t, f)])
 
@@ -185,7 +185,7 @@ def windowed(rows: DataFrame, windowsize: int = 500, method: str = "maxent", m:
         y = _array(batch) - shift
         return {k: np.concatenate([[len(y)], *[a.ravel() for a in _sums(y[:, r.start : r.stop])]]) for k, r in enumerate(ranges)}
 
-    totals, windows, draws = array_sums(rows.select("x"), part, p), [], []
+    totals, windows, draws = array_sums(rows.select("x"), part, p, sum(len(r) + 3 * len(r) ** 2 for r in ranges)), [], []
     for k, r in enumerate(ranges):
         w = len(r)
         own, g, t, f = np.split(totals[k][1:], np.cumsum([w, w * w, w * w]))

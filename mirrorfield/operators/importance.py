@@ -29,8 +29,8 @@ def _table(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.c_[np.ones(n), flat(1), flat(2)], batch.column(3).to_numpy(zero_copy_only=False)
 
 
-def _by_fold(rows: DataFrame, folds: int, part: Callable[[np.ndarray, np.ndarray, int], np.ndarray]) -> list[np.ndarray | None]:
-    """For each fold the sum of what part makes of its rows' tables, y and number. A row's fold is a hash of its row_id."""
+def _by_fold(rows: DataFrame, folds: int, part: Callable[[np.ndarray, np.ndarray, int], np.ndarray], size: Callable[[int], int] = lambda width: 0) -> list[np.ndarray | None]:
+    """For each fold the sum of what part makes of its rows' tables, y and number: about size numbers, for a width of [x, xko]. A row's fold is a hash of its row_id."""
 
     def run(batch: pa.RecordBatch) -> dict[int, np.ndarray]:
         a, y = _table(batch)
@@ -39,7 +39,7 @@ def _by_fold(rows: DataFrame, folds: int, part: Callable[[np.ndarray, np.ndarray
 
     cut = rows.select(F.pmod(F.xxhash64("row_id"), F.lit(folds)).cast("int").alias("fold"), *[F.col(c).cast("array<double>").alias(c) for c in ("x", "xko")], F.col("y").cast("double").alias("y"))
     width = rows.select(F.size("x") + F.size("xko")).first()
-    found = array_sums(cut, run, width[0] if width else 0)
+    found = array_sums(cut, run, width[0], folds * size(width[0])) if width else {}
     return [found.get(k) for k in range(folds)]
 
 
@@ -50,7 +50,7 @@ def _square(g: np.ndarray) -> np.ndarray:
 
 def fold_grams(rows: DataFrame, folds: int = 10) -> list[np.ndarray]:
     """For each fold the Gram matrix of [1, x, xko, y]; zeros for a fold without rows."""
-    found = _by_fold(rows, folds, lambda a, y, _: ((t := np.c_[a, y]).T @ t).ravel())
+    found = _by_fold(rows, folds, lambda a, y, _: ((t := np.c_[a, y]).T @ t).ravel(), lambda width: (width + 2) ** 2)
     size = max(len(g) for g in found if g is not None)
     return [_square(np.zeros(size) if g is None else g) for g in found]
 
@@ -178,7 +178,7 @@ def _weighted_gram(rows: DataFrame, fit: Fit, at: np.ndarray | None = None) -> n
         t = np.c_[a[:, columns], eta + (y - p) / w] * np.sqrt(w)[:, None]
         return (t.T @ t).ravel()
 
-    return _square(_by_fold(rows, 1, part)[0])
+    return _square(_by_fold(rows, 1, part, lambda width: (len(columns) + 1) ** 2)[0])
 
 
 def cross_validated_logistic(rows: DataFrame, folds: int = 10, n_penalties: int = 60, ratio: float = 1e-2, rounds: int = 4, seed: int = 1) -> Fit:

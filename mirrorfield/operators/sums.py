@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 
 #: Partial sums of a key that reach the driver at most.
 LAST = 8
-#: Bytes of rows that the driver adds up itself at most.
+#: Bytes of rows that the driver adds up itself at most, and those that it does whatever the size of their sums.
 HELD = 1 << 27
+FEW = 1 << 23
 
 
-def array_sums(rows: DataFrame, part: Callable[[pa.RecordBatch], dict[int, np.ndarray]], width: int) -> dict[int, np.ndarray]:
-    """By key the sums of the arrays that part makes of a batch; width: about how many numbers a row has.
+def array_sums(rows: DataFrame, part: Callable[[pa.RecordBatch], dict[int, np.ndarray]], width: int, size: int = 0) -> dict[int, np.ndarray]:
+    """By key the sums of the arrays that part makes of a batch; width: about how many numbers a row has; size: how many the sums of all keys have.
 
-    Rows of HELD bytes at most are added up on the driver, as their sums may well be larger than they are. Else each task adds its batches up; then a tree of shuffles, each to the square root of the tasks before, adds up the tasks,
-    so the driver gets LAST arrays a key at most, whatever the number of tasks.
+    Rows are added up on the driver if they take FEW bytes at most, or no more than LAST times their sums and HELD: what is sent there doesn't grow with
+    the rows, and is no more than the partial sums would be where those are large. Else each task adds its batches up; then a tree of shuffles, each to the square root of the tasks before, adds up the tasks,
+    so the driver gets LAST arrays a key at most, whatever the number of tasks. There is one shuffle at least, as the driver fetches a task at a time: rows are read before that, by all tasks at once.
     """
 
     def out(total: dict[int, np.ndarray]) -> pa.RecordBatch:
@@ -43,7 +45,7 @@ def array_sums(rows: DataFrame, part: Callable[[pa.RecordBatch], dict[int, np.nd
                 add(total, {batch.column(0)[i].as_py(): np.frombuffer(batch.column(1)[i].as_buffer())})
         yield out(total)
 
-    if rows.count() * width * 8 <= HELD:
+    if rows.count() * width * 8 <= min(HELD, max(FEW, LAST * size * 8)):
         total: dict[int, np.ndarray] = {}
         for batch in rows.toArrow().combine_chunks().to_batches():
             if batch.num_rows:
@@ -52,7 +54,9 @@ def array_sums(rows: DataFrame, part: Callable[[pa.RecordBatch], dict[int, np.nd
     schema = "key int, data binary"
     sums = rows.mapInArrow(run, schema)
     tasks = sums.rdd.getNumPartitions()
-    while tasks > LAST:
+    alone = tasks > 1
+    while alone or tasks > LAST:
+        alone = False
         tasks = int(np.ceil(np.sqrt(tasks)))
         sums = sums.repartition(tasks, "key", F.pmod(F.spark_partition_id(), F.lit(tasks))).mapInArrow(merge, schema)
     total = {}

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mirrorfield.operators import controls, importance, solvers, sums
 from mirrorfield.plans import selection
@@ -88,6 +89,22 @@ def test_array_sums_add_up(spark, monkeypatch, held):
     assert sums.array_sums(spark.range(0), part, 1) == {}
 
 
+def test_rows_stay_on_the_cluster(spark, monkeypatch):
+    """The driver takes rows only if they are few, or fewer than the partial sums."""
+    rows = spark.range(1 << 20).select(F.array_repeat(F.col("id").cast("double"), 4).alias("x"))
+    taken = []
+    to_arrow = type(rows).toArrow
+    monkeypatch.setattr(type(rows), "toArrow", lambda self: taken.append(self) or to_arrow(self))
+    found = controls.moments(rows)
+    assert found.n == 1 << 20 and np.allclose(found.mean, ((1 << 20) - 1) / 2) and not taken
+    assert controls.moments(rows.limit(1000)).n == 1000 and len(taken) == 1
+    # ten megabytes of rows, whose eight partial sums would be 13
+    wide = frame(spark, np.ones((100, 260))).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(50))))
+    assert controls.moments(wide).n == 5000 and len(taken) == 2
+    both = rows.select(F.monotonically_increasing_id().alias("row_id"), "x", F.col("x").alias("xko"), F.get("x", F.lit(0)).alias("y"))
+    assert sum(g[0, 0] for g in importance.fold_grams(both)) == 1 << 20 and len(taken) == 2
+
+
 def test_selection_finds_signal(spark):
     rng = np.random.default_rng(3)
     n, p = 600, 40
